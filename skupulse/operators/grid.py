@@ -73,3 +73,13 @@ def densify(facts: DataFrame, keys: DataFrame, date_col: str, start, end,
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Append the columns of a global aggregate (exactly one row) to every row.
+
+    The right side is the output of an ungrouped ``agg`` - one row by
+    construction - so broadcasting it is size-safe; this replaces a window
+    without ``partitionBy`` (which would pull all rows into one task).
+    """
+    return df.crossJoin(F.broadcast(one_row))
