@@ -102,12 +102,23 @@ def count_if(cond: Column) -> Column:
     return F.sum(F.coalesce(cond, F.lit(False)).cast("long"))
 
 
+def round_binary(c, scale: int = 6) -> Column:
+    """round(x * 10^s) / 10^s on the binary double (half away from zero).
+
+    ``F.round`` rounds the shortest decimal string of the double, so a value
+    printed as ...5 at the cut rounds up even when the stored binary value is
+    just below the half; this form rounds the stored value, matching SQL
+    engines that scale, round and divide."""
+    m = float(10 ** scale)
+    return F.round(col_(c) * m, 0) / m
+
+
 def round_doubles(df: DataFrame, scale: int = 6) -> DataFrame:
     """Round every double column (used on query outputs for stable hashes)."""
     cols = []
     for f in df.schema.fields:
         if f.dataType.typeName() in ("double", "float"):
-            cols.append(F.round(F.col(f.name), scale).alias(f.name))
+            cols.append(round_binary(F.col(f.name), scale).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

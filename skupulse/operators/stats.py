@@ -88,17 +88,18 @@ def variance_metrics(df: DataFrame, keys: list[str], value: str = "demand") -> D
     for k in keys:
         f = f.filter(F.col(k).isNotNull())
     s = f.groupBy(*keys).agg(F.count(value).alias("count"), F.avg(value).alias("mean"),
-                            F.stddev_samp(value).alias("std"))
+                            F.stddev_samp(value).alias("std"), F.min(value).alias("min"),
+                            F.max(value).alias("max"))
     return s.withColumn("cv", F.try_divide(F.col("std"), F.nullif(F.col("mean"), F.lit(0))))
 
 
 def variance_summary(stats: DataFrame, approx: bool = False) -> DataFrame:
     """Cv mean / median, share cv < 0.1 and < 0.2 (null = false, T4),
-    mean / median of means, max cv."""
+    mean / median of means, largest group maximum."""
     return stats.agg(
         F.avg("cv").alias("cv_mean"), median("cv", approx).alias("cv_median"),
         bool_rate(F.col("cv") < 0.1).alias("share_cv_lt_0_1"),
         bool_rate(F.col("cv") < 0.2).alias("share_cv_lt_0_2"),
         F.avg("mean").alias("mean_of_means"), median("mean", approx).alias("median_of_means"),
-        F.max("cv").alias("cv_max"), F.count(F.lit(1)).alias("groups"),
+        F.max("max").alias("max_demand"), F.count(F.lit(1)).alias("groups"),
     )

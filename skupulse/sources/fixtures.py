@@ -211,3 +211,17 @@ class Tables:
 
 def bind(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(spark, sf_dir)
+
+
+def clusters_alt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second cluster scheme (B) for scheme comparison: size mod 5."""
+    return (table(spark, sf_dir, "part").select("p_partkey", "p_size")
+            .filter(F.col("p_partkey") % 50 != 0)
+            .select(F.col("p_partkey").alias("sku_ID"),
+                    (F.col("p_size") % 5).alias("sku_cluster_ID")))
+
+
+def clicks_daily_shifted(clicks_df: DataFrame) -> DataFrame:
+    """A6 on the order calendar: clicks per (sku, shifted day)."""
+    return clicks_df.groupBy("sku_ID", shift_click_date(F.col("request_time")).alias("order_date")).agg(
+        F.count(F.lit(1)).alias("daily_clicks"))
