@@ -39,3 +39,4 @@ CLICK_EPOCH = _dt.date(2024, 1, 1)
 
 # Default route time when no route has a known lead time (hours).
 DEFAULT_ROUTE_HOURS = 24.0
+INNER_TRAIN_END = _dt.date(1998, 3, 17)

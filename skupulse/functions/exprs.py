@@ -113,12 +113,22 @@ def round_binary(c, scale: int = 6) -> Column:
     return F.round(col_(c) * m, 0) / m
 
 
+def round_stable(c, scale: int = 6) -> Column:
+    """Round to ``scale`` decimals after snapping to ``scale + 3``.
+
+    Sums and averages of the same values in a different order differ in the
+    last bits; for values with a dyadic tail (n / 128 ends in ...5 at the 7th
+    decimal) that noise decides which way the 6-decimal rounding goes.
+    Snapping to 9 decimals first removes the noise and keeps true values."""
+    return round_binary(round_binary(c, scale + 3), scale)
+
+
 def round_doubles(df: DataFrame, scale: int = 6) -> DataFrame:
     """Round every double column (used on query outputs for stable hashes)."""
     cols = []
     for f in df.schema.fields:
         if f.dataType.typeName() in ("double", "float"):
-            cols.append(round_binary(F.col(f.name), scale).alias(f.name))
+            cols.append(round_stable(F.col(f.name), scale).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

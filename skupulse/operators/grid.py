@@ -2,11 +2,9 @@
 
 Design for scale
 ----------------
-* Dimension sets (warehouses, clusters) are small by nature, but their size
-  is *checked* before they are broadcast: ``bounded_dim`` counts at most
-  ``limit + 1`` rows and only then marks the frame for broadcast.  Above the
-  bound the product falls back to Spark's own cartesian join, which is slow
-  but exact.
+* Dimension sets (warehouses, clusters) are small by nature; whether the
+  product is broadcast is decided by AQE from the measured size of each
+  distinct set (Spark's broadcast threshold), never by a blind hint.
 * Dates are never joined: ``explode(sequence(start, end))`` generates them
   per grid row (no shuffle, no driver round trip).
 * Zero filling is ``union`` of the zero grid with the (pre-projected) facts
@@ -23,24 +21,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIM_BROADCAST_LIMIT = 100_000
-
-
-def bounded_dim(df: DataFrame, limit: int = DIM_BROADCAST_LIMIT) -> DataFrame:
-    """Broadcast-mark a dimension frame only if it provably has <= limit rows."""
-    n = df.limit(limit + 1).count()
-    return F.broadcast(df) if n <= limit else df
-
-
-def dim_product(dims: list[DataFrame], limit: int = DIM_BROADCAST_LIMIT) -> DataFrame:
-    """Cartesian product of small dimension sets (each distinct, size-checked).
+def dim_product(dims: list[DataFrame]) -> DataFrame:
+    """Cartesian product of small dimension sets (each distinct).
 
     This is the only use of crossJoin in the library: the product IS the
-    dense panel's key set, its size is the output size by definition.
+    dense panel's key set, its size is the output size by definition.  No
+    broadcast hint is forced: the dimension sets come out of a distinct
+    (a shuffle), so AQE measures them at run time and plans a broadcast
+    nested-loop join only when a side is under
+    ``spark.sql.autoBroadcastJoinThreshold`` - the size check is Spark's own,
+    and there is no eager counting job at plan-build time.
     """
     out = dims[0]
     for d in dims[1:]:
-        out = out.crossJoin(bounded_dim(d, limit))
+        out = out.crossJoin(d)
     return out
 
 

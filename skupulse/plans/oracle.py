@@ -23,16 +23,42 @@ def _order(names, out, seen):
         out.append(n)
 
 
+def stable_rounding(text: str) -> str:
+    """Rewrite every ``round(x, 6)`` as ``round(round(x, 9), 6)`` - the same
+    two-step rounding the Spark side applies to its outputs."""
+    out, i, low = [], 0, text.lower()
+    while True:
+        j = low.find("round(", i)
+        if j < 0:
+            out.append(text[i:])
+            return "".join(out)
+        if j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_"):
+            out.append(text[i:j + 6])
+            i = j + 6
+            continue
+        depth, k = 1, j + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[k], 0)
+            k += 1
+        inner = text[j + 6:k - 1]
+        head, _, scale = inner.rpartition(",")
+        if scale.strip() == "6" and head:
+            out.append(text[i:j] + f"round(round({stable_rounding(head)}, 9), 6)")
+        else:
+            out.append(text[i:j] + "round(" + stable_rounding(inner) + ")")
+        i = k
+
+
 def sql(body: str, *names: str) -> str:
     order: list[str] = []
     _order(names, order, set())
+    b = body.strip()
     if not order:
-        return body.strip()
+        return stable_rounding(b)
     parts = [f"{n} AS ({CTES[n][0].strip()})" for n in order]
-    b = body.strip()
     if b[:4].lower() == "with":
-        return "WITH " + ",\n".join(parts) + ",\n" + b[4:].lstrip()
-    return "WITH " + ",\n".join(parts) + "\n" + b
+        return stable_rounding("WITH " + ",\n".join(parts) + ",\n" + b[4:].lstrip())
+    return stable_rounding("WITH " + ",\n".join(parts) + "\n" + b)
 
 
 # ----------------------------------------------------------------- bindings

@@ -59,3 +59,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Cut lineage: write ``df`` once to the checkpoint folder and read it back.
+
+    Used where one derived input (e.g. a month of order lines from a 5-way
+    join) feeds many branches of a plan: the join runs once, every branch
+    scans the checkpoint, and a lost executor re-reads files instead of
+    recomputing the join.  Reliable checkpoint only (never a local one).
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
