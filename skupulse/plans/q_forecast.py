@@ -228,7 +228,12 @@ class Inputs:
         self.t = bind(spark, sf_dir)
         self.lines = materialize(self.t.window_orders())
         self.mapping = self.t.clusters()
-        self.train, self.test, self.full = fc.opt_panels(self.lines, self.mapping)
+        _, _, full = fc.opt_panels(self.lines, self.mapping)
+        # the dense panel is the hand-off between the data stage and the
+        # model stage: materialized once, split by date afterwards
+        self.full = materialize(full)
+        self.train = self.full.filter(F.col("date") <= F.lit(config.TRAIN_END))
+        self.test = self.full.filter(F.col("date") >= F.lit(config.TEST_START))
         self.wh = fc.warehouse_universe(self.lines, self.mapping)
         self.clusters = self.mapping.select("sku_cluster_ID").dropna().distinct()
         self._cache = {}
@@ -247,12 +252,12 @@ class Inputs:
                                                                 config.WINDOW_END))
 
     def dmat(self):
-        return self._memo("dmat", lambda: fc.training_matrix(
-            self.full, fc.KEYS, self.whctx().join(self.gctx(), "date", "left"), ["date", "warehouse"]))
+        return self._memo("dmat", lambda: materialize(fc.training_matrix(
+            self.full, fc.KEYS, self.whctx().join(self.gctx(), "date", "left"), ["date", "warehouse"])))
 
     def cmat(self):
-        return self._memo("cmat", lambda: fc.training_matrix(
-            fc.cluster_level_panel(self.full), ["sku_cluster_ID"], self.gctx(), ["date"]))
+        return self._memo("cmat", lambda: materialize(fc.training_matrix(
+            fc.cluster_level_panel(self.full), ["sku_cluster_ID"], self.gctx(), ["date"])))
 
     def cprice(self):
         return self._memo("cprice", lambda: params.cluster_prices(self.lines, self.mapping, self.train))
@@ -265,7 +270,7 @@ class Inputs:
             shares = fc.allocation_shares(self.train.filter(F.col("date") <= F.lit(shares_last)))
             alloc = fc.tag(fc.allocate(cpred, shares, self.wh, self.clusters), "cluster_to_warehouse",
                            "cluster total then warehouse allocation")
-            return direct.unionByName(alloc)
+            return materialize(direct.unionByName(alloc))
         return self._memo(("pred", start, end, shares_last), build)
 
     def merged_test(self):

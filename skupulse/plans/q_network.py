@@ -106,7 +106,10 @@ class NetInputs:
         self.mart = materialize(mart) if materialize_mart else mart
         self.summary = nw.daily_sku_dc(self.mart)
         self.legacy = nw.capacity_legacy(self.summary)
-        lines = self.t.window_orders()
+        # the window's order lines are a slice of the (materialized) mart -
+        # no second pass over the 5-way join
+        lines = (self.mart.filter(F.col("order_date").between(F.lit(config.WINDOW_START), F.lit(config.WINDOW_END)))
+                 if materialize_mart else self.t.window_orders())
         self.train, self.test, _ = fc.opt_panels(lines, self.t.clusters())
         self.universe = params.warehouse_universe(fc.warehouse_universe(lines, self.t.clusters()),
                                                   self.legacy, self.summary)
