@@ -190,7 +190,7 @@ def q_sku_features_price(spark, sf_dir):
     return panel.sku_price_features(panel.daily_sku(clean_orders(t.orders())), clicks_daily_shifted(t.clicks()))
 
 
-@query("sku_features_demand", sql("""
+cte("skufeat", """
 with g as (select s.sku_ID, cast(d.d as date) as order_date
            from (select distinct sku_ID from train_lines) s
            cross join generate_series(timestamp '1998-03-01', timestamp '1998-03-24', interval 1 day) d(d)),
@@ -207,13 +207,19 @@ dm as (select sku_ID, avg(daily_demand) as mean_daily_demand, coalesce(stddev_sa
 a as (select sku_ID, avg(final_unit_price) as mean_price, coalesce(stddev_samp(final_unit_price), 0.0) as std_price,
         avg(total_discount_per_unit) as mean_discount, avg(promo_line_flag) as promo_rate_active,
         count(distinct dc_des) as warehouse_count from train_lines group by sku_ID)
-select dm.sku_ID, round(mean_daily_demand, 6) as mean_daily_demand, round(std_daily_demand, 6) as std_daily_demand,
-  round(zero_rate, 6) as zero_rate, round(mean_daily_warehouses, 6) as mean_daily_warehouses,
-  round(coalesce(std_daily_demand / nullif(mean_daily_demand, 0), 0.0), 6) as cv_daily_demand,
-  round(mean_price, 6) as mean_price, round(std_price, 6) as std_price, round(mean_discount, 6) as mean_discount,
-  round(promo_rate_active, 6) as promo_rate_active, cast(warehouse_count as double) as warehouse_count,
-  round(mean_daily_clicks, 6) as mean_daily_clicks, round(zero_click_rate, 6) as zero_click_rate
-from dm left join a on dm.sku_ID = a.sku_ID""", "train_lines", "clicks_daily_shift"))
+select dm.sku_ID, mean_daily_demand, std_daily_demand, zero_rate, mean_daily_warehouses,
+  coalesce(std_daily_demand / nullif(mean_daily_demand, 0), 0.0) as cv_daily_demand,
+  mean_price, std_price, mean_discount, promo_rate_active, cast(warehouse_count as double) as warehouse_count,
+  mean_daily_clicks, zero_click_rate
+from dm left join a on dm.sku_ID = a.sku_ID""", "train_lines", "clicks_daily_shift")
+
+SKUFEAT_COLS = ["mean_daily_demand", "std_daily_demand", "zero_rate", "mean_daily_warehouses", "cv_daily_demand",
+                 "mean_price", "std_price", "mean_discount", "promo_rate_active", "warehouse_count",
+                 "mean_daily_clicks", "zero_click_rate"]
+
+
+@query("sku_features_demand", sql("select sku_ID, " + ", ".join(f"round({c}, 6) as {c}" for c in SKUFEAT_COLS)
+                                        + " from skufeat", "skufeat"))
 def q_sku_features_demand(spark, sf_dir):
     """SKU demand-shape + price + click features on the train window."""
     t = bind(spark, sf_dir)
