@@ -245,3 +245,87 @@ def q_load_report(spark, sf_dir):
     frames = {"orders": t.orders(), "clicks": t.clicks(), "users": t.users(), "skus": t.sku(),
               "network": t.network(), "inventory": t.inventory(), "delivery": t.delivery()}
     return cd.load_report({k: (v, REQUIRED[k]) for k, v in frames.items()})
+
+
+# ----------------------------------------------------------------- notebook parameters and cluster comparison
+
+from skupulse.functions.exprs import clean_orders  # noqa: E402
+from skupulse.operators import panel  # noqa: E402
+from skupulse.operators.grid import densify, dim_product  # noqa: E402
+from skupulse.plans import q_demand  # noqa: E402,F401  (registers region CTEs)
+
+
+def _month_mean(facts, key: str, value: str, out: str):
+    """Sum by (date, key, cluster), dense over the whole month x observed
+    keys x observed clusters, mean per (cluster, key)."""
+    keys = dim_product([facts.select(key).filter(F.col(key).isNotNull()).distinct(),
+                        facts.select("sku_cluster_ID").filter(F.col("sku_cluster_ID").isNotNull()).distinct()])
+    g = densify(facts, keys, "date", config.WINDOW_START, config.WINDOW_END, [value], [key, "sku_cluster_ID"])
+    return g.groupBy("sku_cluster_ID", key).agg(F.avg(value).alias(out))
+
+
+@query("demand_param_month", sql("""
+with d as (select order_date as date, dc_des as warehouse, sku_cluster_ID, sum(demand) as demand
+           from (select * from wh_grid_train union all select * from wh_grid_test) group by all),
+g as (select cast(ds.d as date) as date, w.warehouse, k.sku_cluster_ID
+      from generate_series(timestamp '1998-03-01', timestamp '1998-03-31', interval 1 day) ds(d)
+      cross join (select distinct warehouse from d where warehouse is not null) w
+      cross join (select distinct sku_cluster_ID from d where sku_cluster_ID is not null) k)
+select g.sku_cluster_ID, g.warehouse, round(avg(coalesce(d.demand, 0.0)), 6) as D_sj
+from g left join d on g.date = d.date and g.warehouse = d.warehouse and g.sku_cluster_ID = d.sku_cluster_ID
+group by all""", "wh_grid_train", "wh_grid_test"))
+def q_demand_param_month(spark, sf_dir):
+    """D_sj = mean daily demand over the month's dense panel."""
+    from skupulse.plans.q_panel import test_grid, train_grid
+    facts = train_grid(spark, sf_dir).unionByName(test_grid(spark, sf_dir)).select(
+        F.col("order_date").alias("date"), F.col("dc_des").alias("warehouse"), "sku_cluster_ID", "demand")
+    return _month_mean(facts, "warehouse", "demand", "D_sj")
+
+
+@query("inventory_param_month", sql("""
+with d as (select i.date, i.dc_ID as warehouse, c.sku_cluster_ID, cast(count(*) as double) as units
+           from inventory i join clusters c on i.sku_ID = c.sku_ID
+           where i.date between date '1998-03-01' and date '1998-03-31' group by all),
+g as (select cast(ds.d as date) as date, w.warehouse, k.sku_cluster_ID
+      from generate_series(timestamp '1998-03-01', timestamp '1998-03-31', interval 1 day) ds(d)
+      cross join (select distinct warehouse from d) w cross join (select distinct sku_cluster_ID from d) k)
+select g.sku_cluster_ID, g.warehouse, round(avg(coalesce(d.units, 0.0)), 6) as I0_sj
+from g left join d on g.date = d.date and g.warehouse = d.warehouse and g.sku_cluster_ID = d.sku_cluster_ID
+group by all""", "inventory", "clusters"))
+def q_inventory_param_month(spark, sf_dir):
+    """I0_sj = mean daily in-stock rows (one unit each) per (cluster, dc)."""
+    t = bind(spark, sf_dir)
+    inv = t.inventory().filter(F.col("date").between(F.lit(config.WINDOW_START), F.lit(config.WINDOW_END)))
+    facts = inv.join(t.clusters(), "sku_ID").select("date", F.col("dc_ID").alias("warehouse"), "sku_cluster_ID",
+                                                     F.lit(1.0).alias("units"))
+    return _month_mean(facts, "warehouse", "units", "I0_sj")
+
+
+@query("sku_metrics_by_cluster", sql("""
+select c.sku_cluster_ID, o.sku_ID, round(sum(o.quantity), 6) as total_demand, round(avg(o.final_unit_price), 6) as mean_price
+from order_lines o join clusters c on o.sku_ID = c.sku_ID group by all""", "order_lines", "clusters"))
+def q_sku_metrics_by_cluster(spark, sf_dir):
+    """Total demand and mean price per (cluster, SKU)."""
+    t = bind(spark, sf_dir)
+    return (panel.attach_cluster(t.orders(), t.clusters()).groupBy("sku_cluster_ID", "sku_ID")
+            .agg(F.sum("quantity").alias("total_demand"), F.avg("final_unit_price").alias("mean_price")))
+
+
+@query("region_date_demand", sql("""
+select order_date, region_ID, round(sum(demand), 6) as demand from region_grid_a group by all""", "region_grid_a"))
+def q_region_date_demand(spark, sf_dir):
+    """Region x date demand (long form of the heat-map pivot)."""
+    t = bind(spark, sf_dir)
+    g = panel.region_grid(t.orders(), t.clusters(), t.network())
+    return g.groupBy("order_date", "region_ID").agg(F.sum("demand").alias("demand"))
+
+
+@query("cluster_region_matrix", sql("""
+select sku_cluster_ID, region_ID, round(count_if(demand = 0) / count(*), 6) as zero_rate,
+  round(stddev_samp(demand) / nullif(avg(demand), 0), 6) as cv
+from region_grid_a group by all""", "region_grid_a"))
+def q_cluster_region_matrix(spark, sf_dir):
+    """Cluster x region zero rate and cv (long form of the pivots)."""
+    t = bind(spark, sf_dir)
+    m = panel.series_metrics(panel.region_grid(t.orders(), t.clusters(), t.network()), "region_ID", zero_fill=False)
+    return m.select("sku_cluster_ID", "region_ID", "zero_rate", "cv")
