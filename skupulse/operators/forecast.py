@@ -50,8 +50,8 @@ def opt_panels(lines: DataFrame, mapping: DataFrame, train=(config.TRAIN_START,
               .select(F.col("dc_des").alias("warehouse")).filter(F.col("warehouse").isNotNull()).distinct())
 
     def build(lines_, wh, span):
-        facts = lines_.select(F.col("order_date").alias("date"), F.col("dc_des").alias("warehouse"),
-                              "sku_cluster_ID", F.col("quantity").alias("demand"))
+        facts = lines_.groupBy(F.col("order_date").alias("date"), F.col("dc_des").alias("warehouse"),
+                               "sku_cluster_ID").agg(F.sum("quantity").alias("demand"))
         return densify(facts, dim_product([wh, clusters]), "date", span[0], span[1], ["demand"], KEYS)
 
     train_p = build(tr, wh_train, train)
