@@ -83,14 +83,20 @@ def is_weekend(d) -> Column:
     return (F.weekday(col_(d)) >= 5).cast("int")
 
 
+def micros_between(a, b) -> Column:
+    """Microseconds from a to b; on timestamp_ntz this is wall-clock
+    arithmetic, independent of the session time zone (no DST shifts)."""
+    return F.timestamp_diff("MICROSECOND", col_(a), col_(b))
+
+
 def days_between(a, b) -> Column:
     """Fractional days from a to b (may be negative)."""
-    return (F.unix_micros(col_(b).cast("timestamp")) - F.unix_micros(col_(a).cast("timestamp"))) / 86_400e6
+    return micros_between(a, b) / 86_400e6
 
 
 def hours_between(a, b) -> Column:
     """Fractional hours from a to b."""
-    return (F.unix_micros(col_(b).cast("timestamp")) - F.unix_micros(col_(a).cast("timestamp"))) / 3_600e6
+    return micros_between(a, b) / 3_600e6
 
 
 def bool_rate(cond: Column) -> Column:

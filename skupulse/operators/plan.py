@@ -41,12 +41,14 @@ def plan_inputs(planning: DataFrame, opening: DataFrame, universe: DataFrame, cl
     return out.fillna(0.0, subset=["demand", "inventory"])
 
 
-def _greedy_transfers(routes: dict):
+def _greedy_transfers(routes_bc):
     """Per-group greedy: deficits largest first (ties by warehouse) take from
-    surplus donors on feasible routes, shortest route time first."""
+    surplus donors on feasible routes, shortest route time first.  The route
+    table arrives as a broadcast variable (read once per executor)."""
     import pandas as pd
 
     def fn(pdf: "pd.DataFrame") -> "pd.DataFrame":
+        routes = routes_bc.value
         scen, day, s = pdf["scenario"].iloc[0], pdf["date"].iloc[0], int(pdf["sku_cluster_ID"].iloc[0])
         wh = [int(w) for w in pdf["warehouse"]]
         dem = dict(zip(wh, pdf["demand"].astype(float)))
@@ -86,8 +88,7 @@ def rule_transfers(cells: DataFrame, route_inputs: DataFrame) -> DataFrame:
     routes = {(int(r.source_warehouse), int(r.destination_warehouse)): (int(r.route_feasible), float(r.lead_time_hours))
               for r in route_inputs.select("source_warehouse", "destination_warehouse", "route_feasible",
                                            "lead_time_hours").toLocalIterator()}
-    bc = spark.sparkContext.broadcast(routes)
-    fn = _greedy_transfers(bc.value)
+    fn = _greedy_transfers(spark.sparkContext.broadcast(routes))
     return (cells.select(*CELL, "demand", "inventory")
             .groupBy("scenario", "date", "sku_cluster_ID").applyInPandas(fn, TRANSFER_SCHEMA))
 

@@ -96,23 +96,39 @@ from w a cross join w b left join obs o on o.dc_ori = a.x and o.dc_des = b.x""",
 
 
 class NetInputs:
-    """Shared sub-plans of one network query; the order mart is materialized
-    once (it feeds the daily summary, capacity, routes and inventory)."""
+    """Shared sub-plans of one network query.
+
+    The full-table order mart is lineitem-sized, so it is never written out:
+    capacity and the warehouse universe only need its per (dc, day) totals,
+    which are bounded by warehouses x days and are the one materialized
+    frame.  Routes and panels use a separate mart of the study window, whose
+    order filter is pushed into the scans."""
 
     def __init__(self, spark, sf_dir, materialize_mart: bool = True):
         self.t = bind(spark, sf_dir)
         self.orders = self.t.orders()
-        mart = nw.order_mart(self.orders, self.t.delivery(), self.t.inventory(), self.t.sku())
-        self.mart = materialize(mart) if materialize_mart else mart
+        self.mart = nw.order_mart(self.orders, self.t.delivery(), self.t.inventory(), self.t.sku())
         self.summary = nw.daily_sku_dc(self.mart)
-        self.legacy = nw.capacity_legacy(self.summary)
-        # the window's order lines are a slice of the (materialized) mart -
-        # no second pass over the 5-way join
-        lines = (self.mart.filter(F.col("order_date").between(F.lit(config.WINDOW_START), F.lit(config.WINDOW_END)))
-                 if materialize_mart else self.t.window_orders())
+        dc_day = self.summary.groupBy("dc_des", "order_day").agg(
+            F.sum("n_orders").alias("n_orders"), F.sum("inventory").alias("inventory"))
+        self.dc_day = materialize(dc_day) if materialize_mart else dc_day
+        self.legacy = nw.capacity_legacy(self.dc_day)
+        self._materialize = materialize_mart
+        self._window_mart = None
+        lines = self.t.window_orders()
         self.train, self.test, _ = fc.opt_panels(lines, self.t.clusters())
         self.universe = params.warehouse_universe(fc.warehouse_universe(lines, self.t.clusters()),
-                                                  self.legacy, self.summary)
+                                                  self.legacy, self.dc_day)
+
+    @property
+    def window_mart(self):
+        """Order mart of the study window (routes need lead times)."""
+        if self._window_mart is None:
+            w0, w1 = config.WINDOW_START, config.WINDOW_END
+            inv = self.t.inventory().filter(F.col("date").between(F.lit(w0), F.lit(w1)))
+            m = nw.order_mart(self.t.orders(w0, w1), self.t.delivery(w0, w1), inv, self.t.sku())
+            self._window_mart = materialize(m) if self._materialize else m
+        return self._window_mart
 
 
 def _r(cols):
@@ -202,7 +218,7 @@ def q_warehouse_universe(spark, sf_dir):
 def q_capacity(spark, sf_dir):
     """A29+J14: corrected capacity with legacy fallback."""
     i = NetInputs(spark, sf_dir)
-    return params.capacity(i.universe, i.legacy, i.summary)
+    return params.capacity(i.universe, i.legacy, i.dc_day)
 
 
 @query("procurement", sql("""
@@ -226,7 +242,7 @@ def q_inventory_share(spark, sf_dir):
 def _invparam(spark, sf_dir):
     i = NetInputs(spark, sf_dir)
     share = params.inventory_share(i.train, i.universe, i.train.select("sku_cluster_ID").distinct())
-    wh = params.warehouse_daily_inventory(i.t.inventory(), i.summary, i.universe, config.WINDOW_START,
+    wh = params.warehouse_daily_inventory(i.t.inventory(), i.dc_day, i.universe, config.WINDOW_START,
                                           config.WINDOW_END)
     return params.inventory_parameters(wh, share)
 
@@ -262,7 +278,7 @@ def q_demand_param(spark, sf_dir):
 def q_routes(spark, sf_dir):
     """Route lead time t_nm and existence r_nm (train window)."""
     i = NetInputs(spark, sf_dir)
-    return params.routes(i.mart, i.universe)
+    return params.routes(i.window_mart, i.universe)
 
 
 @query("route_inputs", sql("""
@@ -275,7 +291,7 @@ from b cross join m where dc_ori <> dc_des""", "wuniv", "routes_t"))
 def q_route_inputs(spark, sf_dir):
     """Feasible routes and lead times with median fallback."""
     i = NetInputs(spark, sf_dir)
-    return params.route_inputs(params.routes(i.mart, i.universe), i.universe)
+    return params.route_inputs(params.routes(i.window_mart, i.universe), i.universe)
 
 
 @query("order_composition", sql("""
