@@ -23,8 +23,12 @@ def excel_serial_dates(df: DataFrame, col: str) -> DataFrame:
     num = F.col(col).cast("string").try_cast("double")
     flag = df.agg(((F.sum(num.isNull().cast("int")) == 0) & (F.min(num) > 40000)).alias("_serial"))
     j = attach_one_row(df, flag)
+    text = F.col(col).cast("string")
+    as_date = F.to_date(F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")),
+                                   F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))))
     parsed = F.when(F.col("_serial"), F.date_add(F.lit("1899-12-30").cast("date"), num.cast("int"))) \
-        .otherwise(F.col(col).cast("string").try_cast("date"))
+        .otherwise(F.col(col).cast("date") if dict(df.dtypes)[col] in ("date", "timestamp", "timestamp_ntz")
+                   else as_date)
     return j.withColumn(col, parsed).drop("_serial")
 
 
