@@ -239,8 +239,9 @@ def _estimator(spec: dict, n_rows: int, label_std: float):
 
 
 def fit_predict(train: DataFrame, test: DataFrame, feature_cols: list[str], spec: dict,
-                target: str = "demand", numeric_impute: str = "median"):
-    """Fit one model on train rows and predict test rows (clipped at 0)."""
+                target: str = "demand", numeric_impute: str = "median", clip: bool = True):
+    """Fit one model on train rows and predict test rows (clipped at 0
+    unless ``clip`` is False)."""
     tr = train.withColumn("label", F.col(target).cast("double"))
     te = test.withColumn("label", F.col(target).cast("double"))
     for c in [c for c in feature_cols if c in CATEGORICAL]:
@@ -251,7 +252,8 @@ def fit_predict(train: DataFrame, test: DataFrame, feature_cols: list[str], spec
     st = tr.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s")).collect()[0]
     stages, names = preprocess_stages(feature_cols, numeric_impute)
     model = Pipeline(stages=stages + [_estimator(spec, st["n"], st["s"] or 1.0)]).fit(tr)
-    pred = model.transform(te).withColumn("predicted_demand", F.greatest(F.col("prediction"), F.lit(0.0)))
+    p = F.greatest(F.col("prediction"), F.lit(0.0)) if clip else F.col("prediction")
+    pred = model.transform(te).withColumn("predicted_demand", p)
     return model, pred, names
 
 

@@ -210,3 +210,24 @@ def q_model_grid(spark, sf_dir):
     for r in results[1:]:
         out = out.unionByName(r)
     return out
+
+
+@query("best_vs_baselines")
+def q_best_vs_baselines(spark, sf_dir):
+    """M21+E1: boosted trees on feature set B vs yesterday's demand and the
+    past-7-day mean, on rows with full history (lags 1-3 and a full 7-day
+    window), sorted by WAPE, RMSE, MAE."""
+    hist = fe.demand_history(_panel(spark, sf_dir)).withColumn(
+        "rolling_mean_7_demand", fe.shifted_rolling("demand", [fe.CLUSTER, fe.WAREHOUSE], 7, F.avg))
+    df = materialize(hist.dropna(subset=["lag_1_demand", "lag_2_demand", "lag_3_demand", "rolling_mean_7_demand"]))
+    train = df.filter(F.col("dataset_split") == "train")
+    test = df.filter(F.col("dataset_split") == "test")
+    _, pred, _ = md.fit_predict(train, test, fe.FEATURE_SETS["B"], md.MODEL_GRID["gradient_boosting"], clip=False)
+    runs = [("GBT_FeatureSet_B", pred),
+            ("Baseline_YesterdayDemand", test.withColumn("predicted_demand", F.col("lag_1_demand"))),
+            ("Baseline_Past7DayAverage", test.withColumn("predicted_demand", F.col("rolling_mean_7_demand")))]
+    out = None
+    for name, frame in runs:
+        m = ev.forecast_metrics(frame).withColumn("model_name", F.lit(name))
+        out = m if out is None else out.unionByName(m)
+    return out.orderBy(F.col("wape").asc_nulls_last(), "rmse", "mae")
