@@ -49,11 +49,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _ts_bounds(col: Column, start: dt.date | None, end: dt.date | None) -> Column | None:
+    # string literals cast to timestamp_ntz are wall-clock values, independent
+    # of the session and Python time zones
     cond = None
     if start is not None:
-        cond = col >= F.lit(dt.datetime.combine(start, dt.time())).cast("timestamp_ntz")
+        cond = col >= F.lit(f"{start.isoformat()} 00:00:00").cast("timestamp_ntz")
     if end is not None:
-        hi = col < F.lit(dt.datetime.combine(end + dt.timedelta(days=1), dt.time())).cast("timestamp_ntz")
+        hi = col < F.lit(f"{(end + dt.timedelta(days=1)).isoformat()} 00:00:00").cast("timestamp_ntz")
         cond = hi if cond is None else cond & hi
     return cond
 
