@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 import zlib
 
 import numpy as np
@@ -36,7 +37,7 @@ WINDOW = 4096
 END_ID = 2
 CHUNKS = 400_000         # chunks whose ids a worker remembers
 WORDS = 1_000_000        # words whose ids a worker remembers
-GROUP_ROWS = 20_000      # pieces per salted rank group, about
+GROUP_ROWS = 2_000       # pieces per salted rank group, about
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -92,11 +93,20 @@ class _Chunks(dict):
         return b"".join(map(self.__getitem__, chunks))
 
 
+def _known_chunks(path: str) -> _Chunks:
+    """The worker process's own store, which outlives a task: functions that
+    travel by value get fresh globals each time, the interpreter's stay."""
+    stores = vars(sys).setdefault("_skupulse_chunks", {})
+    if path not in stores:
+        stores[path] = _Chunks(path)
+    return stores[path]
+
+
 def _pieces(path: str, window: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        known = _Chunks(path)
+        known = _known_chunks(path)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
