@@ -16,9 +16,11 @@ Jaccard distance, the radius r = 1 - threshold.
   consequences of the triangle inequality and need no shingles: sizes (the
   distance to the empty set) and the counts of shingles in ``CELLS`` hashed
   subspaces, whose differences sum to at most the symmetric difference.
-* Recursion: after a hub has met its region, members already connected need
-  not meet any more.  Regions that still hold several components get another
-  hub; what is left after ``HUB_ROUNDS`` is compared block by block, exactly.
+* Recursion: regions of at most ``SMALL`` members test their few pairs at once.
+  In larger ones, after a hub has met its region, members already connected
+  need not meet any more; regions that still hold several components get
+  another hub, and what is left after ``HUB_ROUNDS`` is compared block by
+  block, exactly.
 
 Equal sets fall into one class first (a digest of the whole set), so groups of
 exact copies cost one row each.  Work is spread by shingle, id or block; no
@@ -48,7 +50,8 @@ from skupulse.llm.common import cut
 COUNTER_BITS = 20     # counters per table that rank shingles (two tables)
 CELLS = 32            # hashed subspaces of the count windows
 HUB_ROUNDS = 4        # hubs tried per large region before the blocks
-SMALL = 64            # regions of so many members go to the blocks after one hub
+SMALL = 8             # regions of so few members test all their pairs at once
+BROADCAST_REGIONS = 200_000
 BLOCK = 512           # members per block in the last, exhaustive step
 MEMBER_BITS = 26      # bits of the filter that says whose sets are needed
 
@@ -79,7 +82,7 @@ class Shingler:
         self.value[65:91] = self.value[97:123]
         self.powers = self.inverse = np.ones(1, np.uint64)
 
-    def _grow(self, size: int) -> None:
+    def _reach(self, size: int) -> None:
         if size > len(self.powers):
             size = max(size, 2 * len(self.powers))
             base, back = int(_K), pow(int(_K), -1, 1 << 64)
@@ -95,7 +98,7 @@ class Shingler:
         blank[1:-1] = self.space[raw]
         edges = np.flatnonzero(blank[1:] != blank[:-1])
         starts, ends = edges[::2], edges[1::2]
-        self._grow(len(raw) + 1)
+        self._reach(len(raw) + 1)
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(self.value[raw] * self.powers[:len(raw)], out=sums[1:])
         return _mix((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
@@ -262,15 +265,20 @@ def _near(num: int, den: int):
             & ((den + num) * apart <= (den - num) * total))
 
 
-def _tested(pairs: DataFrame, facts: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links among candidate pairs (a, b): windows first, then the sets."""
+def _within(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate pairs (a, b) that both windows let through."""
     left, right = (facts.select(*(F.col(c).alias(f"{c}_{s}") for c in ("id", "size", "cells"))) for s in "ab")
-    pairs = (pairs.join(left, F.col("a") == F.col("id_a")).join(right, F.col("b") == F.col("id_b"))
-             .where(_near(num, den)).select("a", "b").distinct())
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return (pairs.join(left, F.col("a") == F.col("id_a")).join(right, F.col("b") == F.col("id_b"))
+            .where(_near(num, den)).select("a", "b"))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sets are as similar as asked."""
     one, two = (sets.select(F.col("id").alias(f"id_{s}"), F.col("members").alias(f"set_{s}")) for s in "ab")
     both = (pairs.join(one, F.col("a") == F.col("id_a")).select("a", "b", "set_a")
             .join(two, F.col("b") == F.col("id_b")).select("a", "b", "set_a", "set_b"))
-    return both.mapInArrow(_confirm(num, den), "a long, b long").distinct()
+    return both.mapInArrow(_confirm(num, den), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -337,14 +345,16 @@ def jaccard_components(documents: DataFrame, n: int = 5, num: int = 8, den: int
                                            F.first("pivots").alias("pivots")))
     points = cut(points.select("id", "size", "cells", "pivots"))
     rows = points.select("id", F.explode("pivots").alias("pivot"))
-    regions = (rows.groupBy("pivot").agg(F.count("*").alias("n"), F.min("id").alias("hub"),
-                                         F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who"))
-               .where("n > 1")
-               # regions with the same members are one region
-               .groupBy("n", "hub", "who").agg(F.min("pivot").alias("region")))
-    members = cut(rows.join(regions.select("region", "n", "hub"), F.col("pivot") == F.col("region"))
-                  .select("region", "n", "hub", "id"))
-    links = _grow(spark, docs, n, points, members, classes, num, den)
+    regions = cut(rows.groupBy("pivot").agg(F.count("*").alias("n"), F.min("id").alias("hub"), F.max("id").alias("last"),
+                                            F.bit_xor(F.xxhash64("id")).alias("who"))
+                  .where("n > 1")
+                  # regions with the same members are one region
+                  .groupBy("n", "hub", "last", "who").agg(F.min("pivot").alias("region")))
+    more = regions.where("n > 2").select("region", "n", "hub")
+    side = F.broadcast(more) if more.count() <= BROADCAST_REGIONS else more
+    members = cut(rows.join(side, F.col("pivot") == F.col("region")).select("region", "n", "hub", "id"))
+    twos = regions.where("n = 2").select(F.col("hub").alias("a"), F.col("last").alias("b"))
+    links = _links(docs, n, points.select("id", "size", "cells"), twos, members, classes, num, den)
     named = (classes.join(components(links), F.col("rep") == F.col("id"), "left")
              .select("digest", F.col("rep").alias("class_id"), F.coalesce("comp", "rep").alias("component_id")))
     out = sizes.join(named, "digest", "left")
@@ -355,41 +365,39 @@ def jaccard_components(documents: DataFrame, n: int = 5, num: int = 8, den: int
         F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
-def _grow(spark, docs, n, points, members, classes, num, den) -> DataFrame:
-    """All links needed for the components, region by region."""
-    ids = members.select("id").distinct()
-    none = spark.createDataFrame([], "a long, b long")
-    if members.isEmpty():
-        return none
-    facts = cut(points.select("id", "size", "cells").join(ids, "id"))
+def _links(docs, n, facts, twos, members, classes, num, den) -> DataFrame:
+    """All links that the components need, region by region."""
+    spark = docs.sparkSession
+    small, left = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
+    other = small.select(F.col("region").alias("at"), F.col("id").alias("b"))
+    within = (small.join(other, (F.col("region") == F.col("at")) & (F.col("id") < F.col("b")))  # at most SMALL rows a region
+              .select(F.col("id").alias("a"), "b"))
+    pairs = left.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    pairs = cut(_within(twos.union(within).union(pairs), facts, num, den))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(left.select("id")).distinct()
     wanted = spark.sparkContext.broadcast(_member_filter(ids))
     reps = classes.select(F.col("rep").alias("id"), F.col("digest").alias("rep_digest")).join(ids, "id")
     sets = cut(docs.where("doc_id is not null").mapInArrow(_sets(n, wanted), "doc_id long, digest binary, members array<long>")
                .join(reps, (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("rep_digest")))
                .groupBy("id", "digest").agg(F.first("members").alias("members")).select("id", "members"))
-    left, links = members, none
-    pairs = left.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    links = cut(_linked(pairs, sets, num, den))
+    left = left.select("region", "id")
     for k in range(HUB_ROUNDS):
-        links = cut(links.union(_tested(pairs, facts, sets, num, den)))
         comps = components(links)
         at = (left.select("region", "id").join(comps.withColumnRenamed("id", "cid"), F.col("id") == F.col("cid"), "left")
               .select("region", "id", F.coalesce("comp", "id").alias("comp")))
-        # only regions of three or more members with several components go on
-        open_ = (at.groupBy("region").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"))
-                 .where("low < high and n > 2"))
+        # only regions that still hold several components go on
+        open_ = (at.groupBy("region").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high"))
         left = cut(at.join(open_.select("region", "low"), "region"))
         if left.isEmpty():
             return links
-        large = left.join(open_.where(F.col("n") > SMALL).select("region"), "region")
-        if large.isEmpty():
-            break
         if k + 1 < HUB_ROUNDS:
             # next hub: some member outside the region's lowest component
-            hubs = (large.where("comp <> low").groupBy("region")
+            hubs = (left.where("comp <> low").groupBy("region")
                     .agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(k))).alias("h"))
                     .select("region", F.col("h.id").alias("hub"), F.col("h.comp").alias("hub_comp")))
-            pairs = (large.join(hubs, "region").where("comp <> hub_comp")
-                     .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
+            pairs = left.join(hubs, "region").where("comp <> hub_comp").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+            links = cut(links.union(_linked(_within(pairs, facts, num, den), sets, num, den)))
     counts = left.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     cells = left.join(facts.withColumnRenamed("id", "fid"), F.col("id") == F.col("fid")).join(counts, "region")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -398,8 +406,9 @@ def _grow(spark, docs, n, points, members, classes, num, den) -> DataFrame:
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
               .select("region", "blocks", "one", "two", "block", "id", "comp", "size", "cells"))
-    pairs = spread.groupBy("region", "blocks", "one", "two").applyInArrow(_block_pairs(num, den), "a long, b long").distinct()
-    return cut(links.union(_tested(pairs, facts, sets, num, den)))
+    pairs = spread.groupBy("region", "blocks", "one", "two").applyInArrow(_block_pairs(num, den), "a long, b long")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return cut(links.union(_linked(pairs, sets, num, den)))
 
 
 def keep_one(documents: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
