@@ -35,8 +35,8 @@ from skupulse.llm.common import cut
 
 WINDOW = 4096
 END_ID = 2
-CHUNKS = 400_000         # chunks whose ids a worker remembers
-WORDS = 1_000_000        # words whose ids a worker remembers
+CHUNKS = 150_000         # chunks whose ids a worker remembers
+WORDS = 500_000          # words whose ids a worker remembers
 GROUP_ROWS = 2_000       # pieces per salted rank group, about
 TOKENIZER = "word_bpe_49k.json"
 
