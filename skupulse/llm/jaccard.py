@@ -15,7 +15,8 @@ Jaccard distance, the radius r = 1 - threshold.
 * Inside a region the pivots are documents (hubs).  Two tests are exact
   consequences of the triangle inequality and need no shingles: sizes (the
   distance to the empty set) and the counts of shingles in ``CELLS`` hashed
-  subspaces, whose differences sum to at most the symmetric difference.
+  subspaces, whose differences sum to at most the symmetric difference (counts
+  stop at 127, which can only bring two sets closer).
 * Recursion: regions of at most ``SMALL`` members test their few pairs at once.
   In larger ones, after a hub has met its region, members already connected
   need not meet any more; regions that still hold several components get
@@ -48,8 +49,9 @@ from pyspark.sql import functions as F
 from skupulse.llm.common import cut
 
 COUNTER_BITS = 20     # counters per table that rank shingles (two tables)
-CELLS = 32            # hashed subspaces of the count windows
-HUB_ROUNDS = 4        # hubs tried per large region before the blocks
+CELLS = 256           # hashed subspaces of the count windows
+HUB_ROUNDS = 2        # rounds of hubs per large region before the blocks
+HUBS = 4              # hubs per open region in a later round
 SMALL = 8             # regions of so few members test all their pairs at once
 BROADCAST_REGIONS = 200_000
 BLOCK = 512           # members per block in the last, exhaustive step
@@ -187,9 +189,10 @@ def _windows(n: int, slack: Fraction, counters):
                 reach = int(slack * len(members)) + 1 if len(members) else 0
                 pivots.append(members[np.lexsort((members, seen))[:reach]].view(np.int64))
                 offsets.append(offsets[-1] + reach)
-                cells.append(np.bincount((members >> np.uint64(59)).astype(np.int64), minlength=CELLS)[:CELLS])
+                at = (members >> np.uint64(56)).astype(np.int64)
+                cells.append(np.minimum(np.bincount(at, minlength=CELLS), 127).astype(np.int8))
             flat = np.concatenate(pivots) if pivots else np.empty(0, np.int64)
-            counts = np.concatenate(cells).astype(np.int32) if cells else np.empty(0, np.int32)
+            counts = np.concatenate(cells) if cells else np.empty(0, np.int8)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()),
                  pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)),
@@ -259,7 +262,7 @@ def _confirm(num: int, den: int):
 
 def _near(num: int, den: int):
     """The two windows as a condition on columns of a and b."""
-    apart = F.aggregate(F.zip_with("cells_a", "cells_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    apart = F.aggregate(F.zip_with("cells_a", "cells_b", lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda s, x: s + x)
     total = F.col("size_a") + F.col("size_b")
     return ((den * F.least("size_a", "size_b") >= num * F.greatest("size_a", "size_b"))
             & ((den + num) * apart <= (den - num) * total))
@@ -337,13 +340,14 @@ def jaccard_components(documents: DataFrame, n: int = 5, num: int = 8, den: int
     slack = 1 - Fraction(num, den)
     dealt = (docs.where("doc_id is not null")
              .mapInArrow(_windows(n, slack, counters),
-                         "doc_id long, digest binary, size long, pivots array<long>, cells array<int>")
+                         "doc_id long, digest binary, size long, pivots array<long>, cells array<tinyint>")
              .where(F.col("size") >= (int(small) if small else 1 << 62)))
     reps = classes.where("rep is not null").select(F.col("rep").alias("id"), F.col("digest").alias("rep_digest"))
     points = (dealt.join(reps, (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("rep_digest")))
               .groupBy("id", "digest").agg(F.first("size").alias("size"), F.first("cells").alias("cells"),
                                            F.first("pivots").alias("pivots")))
     points = cut(points.select("id", "size", "cells", "pivots"))
+    counters.destroy()
     rows = points.select("id", F.explode("pivots").alias("pivot"))
     regions = cut(rows.groupBy("pivot").agg(F.count("*").alias("n"), F.min("id").alias("hub"), F.max("id").alias("last"),
                                             F.bit_xor(F.xxhash64("id")).alias("who"))
@@ -380,6 +384,7 @@ def _links(docs, n, facts, twos, members, classes, num, den) -> DataFrame:
     sets = cut(docs.where("doc_id is not null").mapInArrow(_sets(n, wanted), "doc_id long, digest binary, members array<long>")
                .join(reps, (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("rep_digest")))
                .groupBy("id", "digest").agg(F.first("members").alias("members")).select("id", "members"))
+    wanted.destroy()
     links = cut(_linked(pairs, sets, num, den))
     left = left.select("region", "id")
     for k in range(HUB_ROUNDS):
@@ -392,9 +397,10 @@ def _links(docs, n, facts, twos, members, classes, num, den) -> DataFrame:
         if left.isEmpty():
             return links
         if k + 1 < HUB_ROUNDS:
-            # next hub: some member outside the region's lowest component
+            # next hubs: some members outside the region's lowest component
             hubs = (left.where("comp <> low").groupBy("region")
-                    .agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(k))).alias("h"))
+                    .agg(*(F.min_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(j))).alias(f"h{j}") for j in range(HUBS)))
+                    .select("region", F.explode(F.array_distinct(F.array(*(f"h{j}" for j in range(HUBS))))).alias("h"))
                     .select("region", F.col("h.id").alias("hub"), F.col("h.comp").alias("hub_comp")))
             pairs = left.join(hubs, "region").where("comp <> hub_comp").select(F.col("id").alias("a"), F.col("hub").alias("b"))
             links = cut(links.union(_linked(_within(pairs, facts, num, den), sets, num, den)))
