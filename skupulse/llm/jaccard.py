@@ -348,15 +348,17 @@ def jaccard_components(documents: DataFrame, n: int = 5, num: int = 8, den: int
                                            F.first("pivots").alias("pivots")))
     points = cut(points.select("id", "size", "cells", "pivots"))
     counters.destroy()
-    rows = points.select("id", F.explode("pivots").alias("pivot"))
-    regions = cut(rows.groupBy("pivot").agg(F.count("*").alias("n"), F.min("id").alias("hub"), F.max("id").alias("last"),
-                                            F.bit_xor(F.xxhash64("id")).alias("who"))
-                  .where("n > 1")
-                  # regions with the same members are one region
-                  .groupBy("n", "hub", "last", "who").agg(F.min("pivot").alias("region")))
+    rows = points.select("id", F.col("size").cast("int").alias("size"), F.explode("pivots").alias("pivot"))
+    regions = (rows.groupBy("pivot").agg(F.count("*").alias("n"), F.min("id").alias("hub"), F.max("id").alias("last"),
+                                         F.bit_xor(F.xxhash64("id")).alias("who"),
+                                         F.min("size").alias("low"), F.max("size").alias("high"))
+               # the size window of a region of two needs no more than this
+               .where((F.col("n") > 2) | ((F.col("n") == 2) & (den * F.col("low") >= num * F.col("high")))))
+    # regions with the same members are one region
+    regions = cut(regions.groupBy("n", "hub", "last", "who").agg(F.min("pivot").alias("region")))
     more = regions.where("n > 2").select("region", "n", "hub")
     side = F.broadcast(more) if more.count() <= BROADCAST_REGIONS else more
-    members = cut(rows.join(side, F.col("pivot") == F.col("region")).select("region", "n", "hub", "id"))
+    members = cut(rows.join(side, F.col("pivot") == F.col("region")).select("region", "n", "hub", "id", "size"))
     twos = regions.where("n = 2").select(F.col("hub").alias("a"), F.col("last").alias("b"))
     links = _links(docs, n, points.select("id", "size", "cells"), twos, members, classes, num, den)
     named = (classes.join(components(links), F.col("rep") == F.col("id"), "left")
@@ -373,19 +375,28 @@ def _links(docs, n, facts, twos, members, classes, num, den) -> DataFrame:
     """All links that the components need, region by region."""
     spark = docs.sparkSession
     small, left = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
-    other = small.select(F.col("region").alias("at"), F.col("id").alias("b"))
-    within = (small.join(other, (F.col("region") == F.col("at")) & (F.col("id") < F.col("b")))  # at most SMALL rows a region
+    fits = den * F.least("size", "size_b") >= num * F.greatest("size", "size_b")
+    other = small.select(F.col("region").alias("at"), F.col("id").alias("b"), F.col("size").alias("size_b"))
+    within = (small.join(other, (F.col("region") == F.col("at")) & (F.col("id") < F.col("b")) & fits)  # at most SMALL rows a region
               .select(F.col("id").alias("a"), "b"))
-    pairs = left.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    hub = left.where("id = hub").select(F.col("region").alias("at"), F.col("id").alias("b"), F.col("size").alias("size_b"))
+    pairs = (left.join(hub, (F.col("region") == F.col("at")) & (F.col("id") != F.col("b")) & fits)
+             .select(F.col("id").alias("a"), "b"))
     pairs = cut(_within(twos.union(within).union(pairs), facts, num, den))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(left.select("id")).distinct()
-    wanted = spark.sparkContext.broadcast(_member_filter(ids))
-    reps = classes.select(F.col("rep").alias("id"), F.col("digest").alias("rep_digest")).join(ids, "id")
-    sets = cut(docs.where("doc_id is not null").mapInArrow(_sets(n, wanted), "doc_id long, digest binary, members array<long>")
-               .join(reps, (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("rep_digest")))
-               .groupBy("id", "digest").agg(F.first("members").alias("members")).select("id", "members"))
-    wanted.destroy()
-    links = cut(_linked(pairs, sets, num, den))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The links among pairs, with the sets of their documents only."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        wanted = spark.sparkContext.broadcast(_member_filter(ids))
+        reps = classes.select(F.col("rep").alias("id"), F.col("digest").alias("rep_digest")).join(ids, "id")
+        sets = (docs.where("doc_id is not null").mapInArrow(_sets(n, wanted), "doc_id long, digest binary, members array<long>")
+                .join(reps, (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("rep_digest")))
+                .groupBy("id", "digest").agg(F.first("members").alias("members")).select("id", "members"))
+        found = cut(_linked(pairs, cut(sets), num, den))
+        wanted.destroy()
+        return found
+
+    links = confirmed(pairs)
     left = left.select("region", "id")
     for k in range(HUB_ROUNDS):
         comps = components(links)
@@ -403,7 +414,9 @@ def _links(docs, n, facts, twos, members, classes, num, den) -> DataFrame:
                     .select("region", F.explode(F.array_distinct(F.array(*(f"h{j}" for j in range(HUBS))))).alias("h"))
                     .select("region", F.col("h.id").alias("hub"), F.col("h.comp").alias("hub_comp")))
             pairs = left.join(hubs, "region").where("comp <> hub_comp").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-            links = cut(links.union(_linked(_within(pairs, facts, num, den), sets, num, den)))
+            pairs = cut(_within(pairs, facts, num, den))
+            if not pairs.isEmpty():
+                links = links.union(confirmed(pairs))
     counts = left.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     cells = left.join(facts.withColumnRenamed("id", "fid"), F.col("id") == F.col("fid")).join(counts, "region")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -414,7 +427,8 @@ def _links(docs, n, facts, twos, members, classes, num, den) -> DataFrame:
               .select("region", "blocks", "one", "two", "block", "id", "comp", "size", "cells"))
     pairs = spread.groupBy("region", "blocks", "one", "two").applyInArrow(_block_pairs(num, den), "a long, b long")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return cut(links.union(_linked(pairs, sets, num, den)))
+    pairs = cut(pairs)
+    return links if pairs.isEmpty() else links.union(confirmed(pairs))
 
 
 def keep_one(documents: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
