@@ -32,7 +32,7 @@ from skupulse.llm.common import SPACE, cut
 
 WEIGHTS = (1, 2, 3)
 MOST = 3                 # epochs at most
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 BROADCAST_SOURCES = 100_000
 
 
