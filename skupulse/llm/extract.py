@@ -5,7 +5,7 @@ node.  Simple tree matching aligns the trees of a few pages of the host
 (``WRAPPER_PAGES``, lowest hashes first) into a wrapper: nodes whose text is
 the same on every aligned page are the host's template, the others are slots.
 Every page of the host is then aligned to the wrapper the same way, and the
-text of its slots is its content, except in parts whose element or class says
+text of its slots (block by block) is its content, except in parts whose element or class says
 that they are menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles or reader comments.  Inside an article or main element, where
 there is one, only that element counts and constant text stays: pages that
@@ -64,12 +64,13 @@ AWAY_NAME = re.compile(r"(?:^|[-_\s])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|ban
 class Page:
     """A folded DOM tree: node 0 is the root; texts are (node, text, block)."""
 
-    __slots__ = ("labels", "parents", "children", "texts", "away", "main")
+    __slots__ = ("labels", "parents", "children", "texts", "away", "main", "block")
 
     def __init__(self):
         self.labels, self.parents, self.children = ["#root"], [-1], [{}]
         self.texts: list[tuple[int, str, int]] = []
         self.away, self.main = [False], [False]
+        self.block = [0]  # the block that each node's text belongs to
 
     def child(self, parent: int, tag: str, attrs: str) -> int:
         found = {m[1].lower(): (m[2] or m[3] or m[4] or "").strip() for m in ATTR.finditer(attrs)} if attrs and "=" in attrs else {}
@@ -81,6 +82,7 @@ class Page:
         self.labels.append(label)
         self.parents.append(parent)
         self.children.append({})
+        self.block.append(node if tag in BLOCKS else self.block[parent])
         role = found.get("role", "").lower()
         main = self.main[parent] or tag in ("article", "main") or role in ("main", "article")
         name = f"{found.get('class', '')} {found.get('id', '')}"
@@ -177,7 +179,7 @@ def _node_texts(page: Page) -> dict[int, str]:
     out: dict[int, list[str]] = {}
     for node, text, _ in page.texts:
         if text and not text.isspace():
-            out.setdefault(node, []).append(" ".join(text.split()))
+            out.setdefault(page.block[node], []).append(" ".join(text.split()))
     return {n: " ".join(t)[:WRAPPER_TEXT] for n, t in out.items()}
 
 
@@ -224,7 +226,7 @@ def content(page: Page, wrapper: dict | None, cache: dict | None = None, key=Non
     inside = any(page.main[n] and not page.away[n] for n, t, _ in page.texts if not t.isspace())
     blocks: list[list] = []
     for node, text, block in page.texts:
-        if page.away[node] or node in fixed or (inside and not page.main[node]):
+        if page.away[node] or page.block[node] in fixed or (inside and not page.main[node]):
             continue
         if not blocks or blocks[-1][0] != block:
             blocks.append([block, []])

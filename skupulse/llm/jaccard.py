@@ -386,6 +386,8 @@ def _links(docs, n, facts, twos, members, classes, num, den) -> DataFrame:
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The links among pairs, with the sets of their documents only."""
+        if pairs.isEmpty():
+            return spark.createDataFrame([], "a long, b long")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         wanted = spark.sparkContext.broadcast(_member_filter(ids))
         reps = classes.select(F.col("rep").alias("id"), F.col("digest").alias("rep_digest")).join(ids, "id")
@@ -414,9 +416,7 @@ def _links(docs, n, facts, twos, members, classes, num, den) -> DataFrame:
                     .select("region", F.explode(F.array_distinct(F.array(*(f"h{j}" for j in range(HUBS))))).alias("h"))
                     .select("region", F.col("h.id").alias("hub"), F.col("h.comp").alias("hub_comp")))
             pairs = left.join(hubs, "region").where("comp <> hub_comp").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-            pairs = cut(_within(pairs, facts, num, den))
-            if not pairs.isEmpty():
-                links = links.union(confirmed(pairs))
+            links = links.union(confirmed(cut(_within(pairs, facts, num, den))))
     counts = left.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     cells = left.join(facts.withColumnRenamed("id", "fid"), F.col("id") == F.col("fid")).join(counts, "region")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -427,8 +427,7 @@ def _links(docs, n, facts, twos, members, classes, num, den) -> DataFrame:
               .select("region", "blocks", "one", "two", "block", "id", "comp", "size", "cells"))
     pairs = spread.groupBy("region", "blocks", "one", "two").applyInArrow(_block_pairs(num, den), "a long, b long")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = cut(pairs)
-    return links if pairs.isEmpty() else links.union(confirmed(pairs))
+    return links.union(confirmed(cut(pairs)))
 
 
 def keep_one(documents: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
