@@ -31,7 +31,8 @@ MAX_GRAMS = 150_000      # (language, n-gram) counts kept, most frequent first
 MAX_LANGS = 200
 SWITCH = 12.0            # penalty, in nats, for a change of language
 FLOOR = 0.02             # share of a language's words a script needs to count
-CACHE = 300_000          # words whose scores a worker remembers
+CACHE = 250_000          # words whose scores a worker remembers
+DECODE_WORDS = 1_000_000  # words decoded together
 
 # First and last code point of the scripts told apart.
 SCRIPTS = [
@@ -103,45 +104,63 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
     return {"langs": langs, "logs": logs, "rare": rare, "scripts": seen}
 
 
-class WordScores:
-    """Scores of words under each language; remembers a bounded number."""
+class WordScores(dict):
+    """Numbers words (-1: no letter in it) and scores the new ones together:
+    mean log-probability of a word's n-grams, weighed by its length; languages
+    outside its script's candidates fall behind by a wide margin."""
 
     def __init__(self, model: dict):
-        self.model = model
+        super().__init__()
+        grams_ = list(model["logs"])
+        self.at = {g: i for i, g in enumerate(grams_)}
+        self.table = np.stack([*(model["logs"][g] for g in grams_), model["rare"]])
+        n = len(model["langs"])
+        self.allowed = {k: v for k, v in model["scripts"].items()}
+        self.every = np.ones(n, bool)
+        self.script: dict[str, np.ndarray] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.at: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
-
-    def score(self, word: str) -> np.ndarray:
-        """Mean log-probability of the n-grams, weighed by word length; other
-        languages than the script's candidates fall behind by a wide margin."""
-        m = self.model
-        logs, rare = m["logs"], m["rare"]
-        found = [logs.get(g, rare) for g in grams(word)]
-        out = np.add.reduce(found) * (min(len(word), 8) / len(found))
-        allowed = m["scripts"].get(script_of(word))
-        if allowed is not None:
-            out = np.where(allowed, out, out.max() - 30.0)
-        return out - out.max()
-
-    def ids(self, text: str) -> list[int]:
+        self.clear()
+        self.new: list[str] = []
+        self.scores = np.zeros((0, self.table.shape[1]), np.float32)
+
+    def __missing__(self, word: str) -> int:
+        if word.isalpha() or any(c.isalpha() for c in word):
+            n = len(self.scores) + len(self.new)
+            self.new.append(word)
+        else:
+            n = -1
+        self[word] = n
+        return n
+
+    def ids(self, text: str) -> np.ndarray:
         """Word numbers of a text; words without a letter are passed over."""
-        out = []
-        at = self.at
-        for word in WORD.findall(text.lower()):
-            i = at.get(word)
-            if i is None:
-                if word.isalpha() or any(c.isalpha() for c in word):
-                    i = len(self.rows)
-                    self.rows.append(self.score(word))
-                else:
-                    i = -1
-                at[word] = i
-            if i >= 0:
-                out.append(i)
-        return out
+        words = WORD.findall(text.lower())
+        out = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        return out[out >= 0]
+
+    def _candidates(self, word: str) -> np.ndarray:
+        c = word[0]
+        if c not in self.script:
+            self.script[c] = self.allowed.get(script_of(word), self.every)
+        return self.script[c]
+
+    def matrix(self) -> np.ndarray:
+        """Scores of all numbered words, a row each."""
+        for first in range(0, len(self.new), 20_000):
+            part = self.new[first:first + 20_000]
+            rare, at = len(self.at), self.at
+            found = [[at.get(g, rare) for g in grams(w)] for w in part]
+            size = np.array([len(f) for f in found])
+            flat = np.fromiter((i for f in found for i in f), np.int32, int(size.sum()))
+            out = np.add.reduceat(self.table[flat], np.concatenate([[0], np.cumsum(size)[:-1]]), axis=0)
+            out *= (np.minimum([len(w) for w in part], 8) / size).astype(np.float32)[:, None]
+            allowed = np.stack([self._candidates(w) for w in part])
+            out = np.where(allowed, out, out.max(axis=1, keepdims=True) - 30)
+            self.scores = np.concatenate([self.scores, out - out.max(axis=1, keepdims=True)])
+        self.new = []
+        return self.scores
 
 
 def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
@@ -175,39 +194,55 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, penalty
     return best
 
 
+def _decode(words: WordScores, docs: list[np.ndarray], langs, penalty: float):
+    """Prediction, score and spans of documents given as word numbers."""
+    n_lang = len(langs) - 1
+    lengths = np.array([len(d) for d in docs], np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    live = order[:int((lengths > 0).sum())]
+    pred, score, spans = np.full(len(docs), n_lang), np.zeros(len(docs)), [""] * len(docs)
+    if len(live):
+        size = lengths[live]
+        starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+        best = viterbi(words.matrix()[np.concatenate([docs[i] for i in live])], starts, size, penalty)
+        owner = np.repeat(np.arange(len(live)), size)
+        share = np.bincount(owner * n_lang + best, minlength=len(live) * n_lang).reshape(-1, n_lang)
+        pred[live] = share.argmax(axis=1)
+        score[live] = share.max(axis=1) / size
+        cuts = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (owner[1:] != owner[:-1])]))
+        ends = np.append(cuts[1:], len(best))
+        text: list[list[str]] = [[] for _ in live]
+        for a, b in zip(cuts, ends, strict=True):
+            o = owner[a]
+            text[o].append(f"{langs[best[a]]}:{a - starts[o]}:{b - starts[o]}")
+        for o, i in enumerate(live):
+            spans[i] = ",".join(text[o])
+    return langs[pred].tolist(), score.tolist(), spans
+
+
 def _label(model, penalty: float):
     def run(batches):
         m = model.value
-        langs, words = np.array([*m["langs"], "und"], object), WordScores(m)
-        n_lang = len(langs) - 1
+        langs, words = np.array([*m["langs"], "und"], object), WordScores(m) if m["langs"] else None
         for batch in batches:
-            if len(words.rows) > CACHE:
-                words.reset()
-            docs = [words.ids(t) if t and n_lang else [] for t in batch.column("text").to_pylist()]
-            lengths = np.array([len(d) for d in docs], np.int64)
-            order = np.argsort(-lengths, kind="stable")
-            live = order[:int((lengths > 0).sum())]
-            pred, score = np.full(len(docs), n_lang), np.zeros(len(docs))
-            spans = [""] * len(docs)
-            if len(live):
-                size = lengths[live]
-                starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-                flat = np.concatenate([np.array(docs[i], np.int64) for i in live])
-                best = viterbi(np.stack(words.rows)[flat], starts, size, penalty)
-                owner = np.repeat(np.arange(len(live)), size)
-                share = np.bincount(owner * n_lang + best, minlength=len(live) * n_lang).reshape(-1, n_lang)
-                pred[live] = share.argmax(axis=1)
-                score[live] = share.max(axis=1) / size
-                cuts = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (owner[1:] != owner[:-1])]))
-                ends = np.append(cuts[1:], len(best))
-                text: list[list[str]] = [[] for _ in live]
-                for a, b in zip(cuts, ends, strict=True):
-                    o = owner[a]
-                    text[o].append(f"{langs[best[a]]}:{a - starts[o]}:{b - starts[o]}")
-                for o, i in enumerate(live):
-                    spans[i] = ",".join(text[o])
+            pred, score, spans, docs, held = [], [], [], [], 0
+
+            def decode():
+                for whole, part in zip((pred, score, spans), _decode(words, docs, langs, penalty), strict=True):
+                    whole.extend(part)
+                docs.clear()
+                if words is not None and len(words) > CACHE:
+                    words.reset()
+
+            for text in batch.column("text").to_pylist():
+                docs.append(words.ids(text) if text and words is not None else np.empty(0, np.int32))
+                held += len(docs[-1])
+                if held > DECODE_WORDS:
+                    decode()
+                    held = 0
+            decode()
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(langs[pred], pa.string()),
+                [*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(pred, pa.string()),
                  pa.array(score, pa.float64()), pa.array(spans, pa.string())],
                 [*(c for c in batch.schema.names if c != "text"), "lang_pred", "score", "spans"])
     return run
