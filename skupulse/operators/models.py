@@ -79,8 +79,8 @@ def _parallel(fn, items, threads):
 
 
 def kmeans_silhouette_sweep(feats: DataFrame, cols: list[str], k_min: int = 20, k_max: int = 50,
-                            n_init: int = 10, seed: int = SEED, sample: int = 5000, threads: int = 4):
-    """M2: fit each k, score by silhouette (on at most ``sample`` rows),
+                            n_init: int = 10, seed: int = SEED, threads: int = 4):
+    """M2: fit each k, score all rows by silhouette (squared Euclidean),
     keep the best; falls back to k = 2 when no k yields two clusters.
     Returns (scores frame (k, silhouette, training_cost), best k,
     assignments (sku_ID, sku_cluster_ID))."""
@@ -88,7 +88,6 @@ def kmeans_silhouette_sweep(feats: DataFrame, cols: list[str], k_min: int = 20,
     vec = assemble(zscore(feats, cols), cols).select("sku_ID", "features").cache()
     n = vec.count()
     ks = list(_k_range(n, k_min, k_max))
-    frac = min(1.0, sample / n) if n else 1.0
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction", metricName="silhouette")
 
     def run(k):
@@ -97,8 +96,7 @@ def kmeans_silhouette_sweep(feats: DataFrame, cols: list[str], k_min: int = 20,
         used = pred.select("prediction").distinct().count()
         if used < 2:
             return k, None, m.summary.trainingCost, m
-        scored = pred.sample(False, frac, seed) if frac < 1.0 else pred
-        return k, float(ev.evaluate(scored)), m.summary.trainingCost, m
+        return k, float(ev.evaluate(pred)), m.summary.trainingCost, m
 
     res = _parallel(run, ks, threads)
     valid = [r for r in res if r[1] is not None]

@@ -3,10 +3,9 @@
 A plan is a set of keyed tables per scenario (planning basis) and day:
 planning demand, opening inventory, transfers, procurement.  Only the rule
 transfer step (P2) is order dependent - a greedy matching of deficits to
-donors inside one (scenario, day, cluster) - so it runs as a grouped
-``applyInPandas`` whose group is one cluster's warehouses (bounded by the
-warehouse count, never by data volume).  Everything else is joins, windows
-and grouped aggregates.
+donors inside one (scenario, day, cluster) - so it folds over arrays of one
+cluster's warehouses (bounded by the warehouse count, never by data volume).
+Everything else is joins, windows and grouped aggregates.
 
 Not built (see README): the LP solver and the day-to-day state loop; P7
 replays a fixed plan over many days with a closed-form window instead.
@@ -23,12 +22,6 @@ from skupulse.operators.grid import attach_one_row, dim_product
 EPS = 1e-8
 CELL = ["scenario", "date", "sku_cluster_ID", "warehouse"]
 
-TRANSFER_SCHEMA = ("scenario string, date date, sku_cluster_ID int, source_warehouse int, "
-                   "destination_warehouse int, transfer_units double, route_feasible int, lead_time_hours double")
-
-ROUTE_LIMIT = 1_000_000  # warehouses^2 cells; a route table above this is not a dimension
-
-
 def plan_inputs(planning: DataFrame, opening: DataFrame, universe: DataFrame, clusters: DataFrame) -> DataFrame:
     """Dense (scenario, date, cluster, warehouse) cells with planning demand
     (missing -> 0) and opening inventory (missing -> 0)."""
@@ -41,56 +34,53 @@ def plan_inputs(planning: DataFrame, opening: DataFrame, universe: DataFrame, cl
     return out.fillna(0.0, subset=["demand", "inventory"])
 
 
-def _greedy_transfers(routes_bc):
-    """Per-group greedy: deficits largest first (ties by warehouse) take from
-    surplus donors on feasible routes, shortest route time first.  The route
-    table arrives as a broadcast variable (read once per executor)."""
-    import pandas as pd
-
-    def fn(pdf: "pd.DataFrame") -> "pd.DataFrame":
-        routes = routes_bc.value
-        scen, day, s = pdf["scenario"].iloc[0], pdf["date"].iloc[0], int(pdf["sku_cluster_ID"].iloc[0])
-        wh = [int(w) for w in pdf["warehouse"]]
-        dem = dict(zip(wh, pdf["demand"].astype(float)))
-        inv = dict(zip(wh, pdf["inventory"].astype(float)))
-        deficit = {j: max(dem[j] - inv[j], 0.0) for j in wh}
-        surplus = {j: max(inv[j] - dem[j], 0.0) for j in wh}
-        rows = []
-        for dst in sorted((j for j in wh if deficit[j] > EPS), key=lambda j: (-deficit[j], j)):
-            need = deficit[dst]
-            donors = sorted((src for src in wh if src != dst and surplus[src] > EPS
-                             and routes.get((src, dst), (0, 0.0))[0] == 1),
-                            key=lambda src: (routes[(src, dst)][1], src))
-            for src in donors:
-                if need <= EPS:
-                    break
-                units = min(need, surplus[src])
-                if units <= EPS:
-                    continue
-                surplus[src] -= units
-                need -= units
-                rows.append((scen, day, s, src, dst, units, 1, float(routes[(src, dst)][1])))
-        return pd.DataFrame(rows, columns=["scenario", "date", "sku_cluster_ID", "source_warehouse",
-                                           "destination_warehouse", "transfer_units", "route_feasible",
-                                           "lead_time_hours"])
-    return fn
-
-
 def rule_transfers(cells: DataFrame, route_inputs: DataFrame) -> DataFrame:
     """Rule-based transfers per (scenario, date, cluster).
 
-    The route table is a warehouse x warehouse dimension; its size is
-    checked before it is shipped to the tasks as a broadcast variable."""
-    spark = cells.sparkSession
-    n = route_inputs.limit(ROUTE_LIMIT + 1).count()
-    if n > ROUTE_LIMIT:
-        raise ValueError(f"route table has more than {ROUTE_LIMIT} pairs; not a bounded dimension")
-    routes = {(int(r.source_warehouse), int(r.destination_warehouse)): (int(r.route_feasible), float(r.lead_time_hours))
-              for r in route_inputs.select("source_warehouse", "destination_warehouse", "route_feasible",
-                                           "lead_time_hours").toLocalIterator()}
-    fn = _greedy_transfers(spark.sparkContext.broadcast(routes))
-    return (cells.select(*CELL, "demand", "inventory")
-            .groupBy("scenario", "date", "sku_cluster_ID").applyInPandas(fn, TRANSFER_SCHEMA))
+    Every deficit gets its offers (surplus warehouses on feasible routes, in
+    order of route time) by joins; the order-dependent part is one ``aggregate``
+    per group over its deficits, largest first.  Arrays are as long as a group
+    has warehouses, and the route table stays a distributed table."""
+    group = ["scenario", "date", "sku_cluster_ID"]
+    gap = cells.select(*group, "warehouse", (F.col("demand") - F.col("inventory")).alias("gap"))
+    spare = gap.where(F.col("gap") < -EPS).select(*group, F.col("warehouse").alias("src"), (-F.col("gap")).alias("spare"))
+    asks = gap.where(F.col("gap") > EPS).select(*group, F.col("warehouse").alias("dst"), F.col("gap").alias("need"))
+    routes = (route_inputs.where("route_feasible = 1 and source_warehouse <> destination_warehouse")
+              .select(F.col("source_warehouse").alias("src"), F.col("destination_warehouse").alias("dst"),
+                      F.col("lead_time_hours").cast("double").alias("hours")))
+    offers = (asks.join(routes, "dst").join(spare.select(*group, "src"), [*group, "src"])
+              .groupBy(*group, "dst", "need").agg(F.array_sort(F.collect_list(F.struct("hours", "src"))).alias("offers")))
+    queue = offers.groupBy(*group).agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("need")).alias("rank"), "dst", "need", "offers"))).alias("queue"))
+    stock = spare.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("src", "spare"))).alias("stock"))
+    return (queue.join(stock, group)
+            .select(*group, F.explode(F.aggregate("queue", _opening_state(), _serve, lambda state: state["moves"])).alias("m"))
+            .select(*group, F.col("m.src").alias("source_warehouse"), F.col("m.dst").alias("destination_warehouse"),
+                    F.col("m.units").alias("transfer_units"), F.lit(1).alias("route_feasible"),
+                    F.col("m.hours").alias("lead_time_hours")))
+
+
+_MOVES = "array<struct<src:int,dst:int,units:double,hours:double>>"
+
+
+def _opening_state():
+    return F.struct(F.col("stock"), F.array().cast(_MOVES).alias("moves"))
+
+
+def _serve(state, ask):
+    """One deficit: draw on its offers in order until it is covered."""
+    def draw(s, offer):
+        held = F.element_at(state["stock"], offer["src"])
+        units = F.when((s["need"] > EPS) & (held > EPS), F.least(s["need"], held)).otherwise(F.lit(0.0))
+        move = F.struct(offer["src"].cast("int").alias("src"), ask["dst"].cast("int").alias("dst"), units.alias("units"),
+                        offer["hours"].alias("hours"))
+        return F.struct((s["need"] - units).alias("need"), F.concat(s["moves"], F.array(move)).alias("moves"))
+
+    drawn = F.aggregate(ask["offers"], F.struct(ask["need"].alias("need"), F.array().cast(_MOVES).alias("moves")), draw,
+                        lambda s: F.filter(s["moves"], lambda m: m["units"] > EPS))
+    used = F.map_from_entries(F.transform(drawn, lambda m: F.struct(m["src"], m["units"])))
+    stock = F.transform_values(state["stock"], lambda src, v: v - F.coalesce(F.try_element_at(used, src), F.lit(0.0)))
+    return F.struct(stock.alias("stock"), F.concat(state["moves"], drawn).alias("moves"))
 
 
 def transfer_flows(transfers: DataFrame) -> DataFrame:

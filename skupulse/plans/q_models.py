@@ -168,7 +168,7 @@ def q_feature_importance(spark, sf_dir):
     """M19+K4: top-15 drivers of the boosted direct model."""
     model, _, names = _direct_fit(spark, sf_dir, "gradient_boosting")
     vals = md.feature_importance(model, names)
-    rows = [(n, float(v)) for n, v in zip(_expanded_names(model, names), vals)]
+    rows = [(n, float(v)) for n, v in zip(_expanded_names(model, names), vals, strict=True)]
     df = spark.createDataFrame(rows, "feature string, importance double")
     return df.orderBy(F.col("importance").desc(), "feature").limit(15)
 
@@ -182,7 +182,8 @@ def _expanded_names(model, names):
     for n in names:
         if n.endswith("__ohe"):
             base = n[:-5]
-            out += [f"{base}={lab}" for lab in labels.get(base, [])] + [f"{base}=__unknown"]
+            # the indexer keeps unseen levels as one more, the encoder adds its own slot
+            out += [f"{base}={lab}" for lab in labels.get(base, [])] + [f"{base}=__unknown", f"{base}=__invalid"]
         else:
             out.append(n.replace("__imp", ""))
     return out

@@ -17,6 +17,7 @@ from check_oracle import TABLES, digest  # noqa: E402
 
 SF = os.environ.get("SKUPULSE_ORACLE_SF", "/root/testdata/sf0.001")
 QUERIES = entry.queries()
+EMPTY_AT_SMALL = {"rule_transfer_plan"} if SF.endswith("sf0.001") else set()  # no feasible surplus at this size
 ORACLES = entry.oracle_sql()
 
 
@@ -48,7 +49,9 @@ def test_matches_oracle(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs_without_oracle(spark, name):
     df = QUERIES[name](spark, SF)
-    assert df.count() >= 0 and len(df.columns) > 0
+    rows = df.collect()
+    assert (rows or name in EMPTY_AT_SMALL) and len(df.columns) == len(set(df.columns))
+    assert not rows or not all(v is None for r in rows for v in r)
 
 
 def test_entry_smoke(spark):
