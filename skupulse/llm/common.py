@@ -47,3 +47,11 @@ def hash_share(df: DataFrame, rows: int, total: int, *cols) -> DataFrame:
         return df
     bound = int(rows / total * 1_000_003)
     return df.where(F.pmod(F.xxhash64(*cols), F.lit(1_000_003)) < bound)
+
+
+def slices(batches, rows: int = 2_048):
+    """Arrow batches in parts of at most ``rows`` rows, so that what a task
+    holds beside a batch stays small."""
+    for batch in batches:
+        for first in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(first, rows)

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skupulse.llm.common import cut
+from skupulse.llm.common import cut, slices
 
 COUNTER_BITS = 20     # counters per table that rank shingles (two tables)
 CELLS = 256           # hashed subspaces of the count windows
@@ -140,7 +140,7 @@ def _describe(n: int):
     def run(batches):
         shingles, size = Shingler(n), 1 << COUNTER_BITS
         tables = np.zeros((2, size), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             sizes, digests, parts = [], [], []
             for text in _texts(batch):
                 members = shingles(text)
@@ -178,7 +178,7 @@ def _windows(n: int, slack: Fraction, counters):
     """The pivots to which each document is dealt, and its subspace counts."""
     def run(batches):
         shingles, size = Shingler(n), np.uint64((1 << COUNTER_BITS) - 1)
-        for batch in batches:
+        for batch in slices(batches):
             digests, sizes, pivots, offsets, cells = [], [], [], [0], []
             for text in _texts(batch):
                 members = shingles(text)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skupulse.llm.common import cut
+from skupulse.llm.common import cut, slices
 
 WINDOW = 4096
 END_ID = 2
@@ -107,7 +107,7 @@ def _pieces(path: str, window: int, end_id: int):
 
     def run(batches):
         known = _known_chunks(path)
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = known.ids(text) + end

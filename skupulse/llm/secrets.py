@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skupulse.llm.common import slices
+
 # The three base kinds.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -157,7 +159,7 @@ def _joined(spans) -> str:
 
 def _report(batches):
     words = automaton()
-    for batch in batches:
+    for batch in slices(batches):
         spans = [scan(t, words) if t else [] for t in batch.column("text").to_pylist()]
         base = [[s for s in x if s[2] in KINDS[:3]] for x in spans]
         count = lambda kind: pa.array([sum(s[2] == kind for s in x) for x in base], pa.int64())
@@ -191,7 +193,7 @@ def redact(documents: DataFrame) -> DataFrame:
 
     def run(batches):
         words = automaton()
-        for batch in batches:
+        for batch in slices(batches):
             cols = dict(zip(names, batch.columns, strict=True))
             old = cols["text"].to_pylist()
             new = [cut_out(t, scan(t, words)) if t else t for t in old]
