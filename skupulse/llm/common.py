@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+STORE = "_skupulse_store_"   # prefix of what worker processes keep between tasks
 # The six ASCII white-space characters that separate words in every contract.
 SPACE = "\\x20\\x09-\\x0D"
 
@@ -49,6 +51,12 @@ def hash_share(df: DataFrame, rows: int, total: int, *cols) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*cols), F.lit(1_000_003)) < bound)
 
 
+def release_stores() -> None:
+    """Free what an earlier operator's tasks left in this worker process."""
+    for name in [k for k in vars(sys) if k.startswith(STORE)]:
+        del vars(sys)[name]
+
+
 def slices(batches, rows: int = 2_048):
     """Arrow batches in parts of at most ``rows`` rows, so that what a task
     holds beside a batch stays small."""

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skupulse.llm.common import cut, slices
+from skupulse.llm.common import cut, release_stores, slices
 
 COUNTER_BITS = 20     # counters per table that rank shingles (two tables)
 CELLS = 256           # hashed subspaces of the count windows
@@ -55,7 +55,7 @@ HUBS = 4              # hubs per open region in a later round
 SMALL = 8             # regions of so few members test all their pairs at once
 BROADCAST_REGIONS = 200_000
 BLOCK = 512           # members per block in the last, exhaustive step
-MEMBER_BITS = 26      # bits of the filter that says whose sets are needed
+MEMBER_BITS = 24      # bits of the filter that says whose sets are needed
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -138,6 +138,7 @@ def _describe(n: int):
     """doc_id, size and digest of each document, and one row per partition with
     its shingle counters (size null)."""
     def run(batches):
+        release_stores()
         shingles, size = Shingler(n), 1 << COUNTER_BITS
         tables = np.zeros((2, size), np.int64)
         for batch in slices(batches):
@@ -177,6 +178,7 @@ def _merge_tables(described: DataFrame) -> np.ndarray:
 def _windows(n: int, slack: Fraction, counters):
     """The pivots to which each document is dealt, and its subspace counts."""
     def run(batches):
+        release_stores()
         shingles, size = Shingler(n), np.uint64((1 << COUNTER_BITS) - 1)
         for batch in slices(batches):
             digests, sizes, pivots, offsets, cells = [], [], [], [0], []
@@ -226,6 +228,7 @@ def _member_filter(ids: DataFrame) -> np.ndarray:
 def _sets(n: int, wanted):
     """Shingle sets of the documents that the filter lets through."""
     def run(batches):
+        release_stores()
         shingles = Shingler(n)
         for batch in batches:
             batch = batch.filter(batch.column("doc_id").is_valid())

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skupulse.llm.common import cut, hash_share, id_remainder
+from skupulse.llm.common import cut, hash_share, id_remainder, release_stores
 
 SAMPLE_ROWS = 12_000     # labelled rows that fit the model, at most about
 MAX_GRAMS = 150_000      # (language, n-gram) counts kept, most frequent first
@@ -222,6 +222,7 @@ def _decode(words: WordScores, docs: list[np.ndarray], langs, penalty: float):
 
 def _label(model, penalty: float):
     def run(batches):
+        release_stores()
         m = model.value
         langs, words = np.array([*m["langs"], "und"], object), WordScores(m) if m["langs"] else None
         for batch in batches:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skupulse.llm.common import cut, slices
+from skupulse.llm.common import STORE, cut, slices
 
 WINDOW = 4096
 END_ID = 2
@@ -96,7 +96,7 @@ class _Chunks(dict):
 def _known_chunks(path: str) -> _Chunks:
     """The worker process's own store, which outlives a task: functions that
     travel by value get fresh globals each time, the interpreter's stay."""
-    stores = vars(sys).setdefault("_skupulse_chunks", {})
+    stores = vars(sys).setdefault(STORE + "chunks", {})
     if path not in stores:
         stores[path] = _Chunks(path)
     return stores[path]
