@@ -138,8 +138,9 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def _best(query_ids, queries, ids, rows, k: int):
-    """(query, vec_id, score) of the k best rows per query, by exact scores."""
+def _best(query_ids, queries, ids, rows, k: int, least=None):
+    """(query, vec_id, score) of the k best rows per query, by exact scores;
+    of those only rows that score at least ``least`` (one number per query)."""
     out = ([], [], [])
     for first in range(0, len(query_ids), 256):
         rough = queries[first:first + 256] @ rows.T
@@ -151,6 +152,8 @@ def _best(query_ids, queries, ids, rows, k: int):
             at = at[ids[at] != query_ids[q]]
             score = (rows[at] * queries[q]).sum(axis=1)
             top = np.lexsort((ids[at], -score))[:k]
+            if least is not None:
+                top = top[score[top] >= least[q]]
             out[0].append(np.full(len(top), query_ids[q]))
             out[1].append(ids[at][top])
             out[2].append(score[top])
@@ -215,7 +218,8 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     if not sample:
         sample = rows.orderBy("vec_id").limit(1).collect()
     leaves = int(min(MAX_LEAVES, max(1, total // LEAF_ROWS)))
-    tree = Tree(lifted(np.array([r.vec for r in sample]), top), leaves)
+    sample_ids, sample_rows = np.array([r.vec_id for r in sample], np.int64), np.array([r.vec for r in sample])
+    tree = Tree(lifted(sample_rows, top), leaves)
 
     def assign(batches):
         for batch in batches:
@@ -223,12 +227,23 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], [*batch.schema.names, "leaf"])
 
     placed = cut(rows.mapInArrow(assign, "vec_id long, vec array<double>, leaf long"))
-    asked = placed.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "vec")
+    asked = placed.where(F.col("vec_id") % every == 0).select("vec_id", "vec").toDF("query_id", "vec")
     probe = asked.orderBy(F.xxhash64("query_id"), "query_id").limit(CALIBRATION).collect()
     if not probe:
         return spark.createDataFrame([], schema)
     slack = calibrate(tree, top, placed, [(r.query_id, r.vec) for r in probe], k)
 
+    # the k best sampled rows are results found, and bound what leaves may add
+    def first(batches):
+        for batch in batches:
+            if batch.num_rows:
+                found = _best(batch.column("query_id").to_numpy(), _matrix(batch.column("vec")), sample_ids, sample_rows, k)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
+
+    near = cut(asked.mapInArrow(first, FOUND))
+    bound = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("least"))
+    asked = cut(asked.join(bound, "query_id", "left").select("query_id", "vec", F.coalesce("least", F.lit(float("-inf"))).alias("least"))).toDF("query_id", "vec", "least")
+
     def visit(batches):
         for batch in batches:
             visits = [tree.visits(np.append(v, 0.0), slack) for v in _matrix(batch.column("vec"))] if batch.num_rows else []
@@ -246,16 +261,17 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = placed.join(parts, "leaf").select("leaf", "vec_id", "vec", salt("vec_id", "rs").alias("r"), upto("qs").alias("q"))
     right = (visited.join(parts, "leaf").select("leaf", F.col("query_id"), salt("query_id", "qs").alias("q"), upto("rs").alias("r"))
-             .join(asked, "query_id").select("leaf", "r", "q", "query_id", "vec"))
+             .join(asked, "query_id").select("leaf", "r", "q", "query_id", "vec", "least"))
 
     def meet(key, rows_, asked_):
         if not rows_.num_rows or not asked_.num_rows:
             a, b, c = (np.empty(0, t) for t in (np.int64, np.int64, np.float64))
         else:
             a, b, c = _best(asked_.column("query_id").to_numpy(), _matrix(asked_.column("vec")),
-                            rows_.column("vec_id").to_numpy(), _matrix(rows_.column("vec")), k)
+                            rows_.column("vec_id").to_numpy(), _matrix(rows_.column("vec")), k,
+                            asked_.column("least").to_numpy())
         return pa.table({"query_id": a, "vec_id": b, "score": c},
                         schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
     found = left.groupBy("leaf", "r", "q").cogroup(right.groupBy("leaf", "r", "q")).applyInArrow(meet, FOUND)
-    return _top(found, k).select("query_id", "rank", "vec_id", "score")
+    return _top(found.union(near).distinct(), k).select("query_id", "rank", "vec_id", "score")
