@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import sys
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +66,19 @@ def slices(batches, rows: int = 2_048):
     for batch in batches:
         for first in range(0, max(1, batch.num_rows), rows):
             yield batch.slice(first, rows)
+
+
+def frugal(run):
+    """A function over Arrow batches that, once its task has ended, hands the
+    memory it no longer uses back to the system: worker processes live on, and
+    several of them share an executor's memory."""
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)   # glibc only
+            if trim is not None:
+                trim(0)
+    return wrapped

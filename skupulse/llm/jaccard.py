@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skupulse.llm.common import cut, release_stores, slices
+from skupulse.llm.common import cut, frugal, release_stores, slices
 
 COUNTER_BITS = 20     # counters per table that rank shingles (two tables)
 CELLS = 256           # hashed subspaces of the count windows
@@ -220,7 +220,7 @@ def _member_filter(ids: DataFrame) -> np.ndarray:
     def either(a: bytes, b: bytes) -> bytes:
         return zlib.compress((np.frombuffer(zlib.decompress(a), np.uint8) | np.frombuffer(zlib.decompress(b), np.uint8)).tobytes(), 1)
 
-    packed = ids.mapInArrow(run, "bits binary").rdd.map(lambda r: bytes(r[0]))
+    packed = cut(ids.mapInArrow(frugal(run), "bits binary")).rdd.map(lambda r: bytes(r[0]))
     packed = packed.coalesce(max(1, min(packed.getNumPartitions(), 64)))
     return np.frombuffer(zlib.decompress(packed.treeReduce(either, 2)), np.uint8)
 
@@ -230,20 +230,20 @@ def _sets(n: int, wanted):
     def run(batches):
         release_stores()
         shingles = Shingler(n)
-        for batch in batches:
+        for batch in slices(batches, 1024):
             batch = batch.filter(batch.column("doc_id").is_valid())
             ids = batch.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
             at = _bit(ids)
             hit = np.flatnonzero(wanted.value[at >> 3] & (128 >> (at & 7)))
-            kept = batch.take(pa.array(hit))
-            for first in range(0, len(hit), 1024):
-                part = kept.slice(first, 1024)
-                sets = [shingles(t) for t in _texts(part)]
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))],
-                    ["doc_id", "digest", "members"])
+            if not len(hit):
+                continue
+            part = batch.take(pa.array(hit))
+            sets = [shingles(t) for t in _texts(part)]
+            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").cast(pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))],
+                ["doc_id", "digest", "members"])
     return run
 
 
@@ -284,7 +284,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     one, two = (sets.select(F.col("id").alias(f"id_{s}"), F.col("members").alias(f"set_{s}")) for s in "ab")
     both = (pairs.join(one, F.col("a") == F.col("id_a")).select("a", "b", "set_a")
             .join(two, F.col("b") == F.col("id_b")).select("a", "b", "set_a", "set_b"))
-    return both.mapInArrow(_confirm(num, den), "a long, b long")
+    return both.mapInArrow(frugal(_confirm(num, den)), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -332,7 +332,7 @@ def jaccard_components(documents: DataFrame, n: int = 5, num: int = 8, den: int
     (den * intersection >= num * union)."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = cut(docs.mapInArrow(_describe(n), "doc_id long, size long, digest binary"))
+    described = cut(docs.mapInArrow(frugal(_describe(n)), "doc_id long, size long, digest binary"))
     sizes = described.where("size is not null")
     classes = cut(sizes.where("size > 0").groupBy("digest")
                   .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("size").alias("size")))
@@ -342,7 +342,7 @@ def jaccard_components(documents: DataFrame, n: int = 5, num: int = 8, den: int
 
     slack = 1 - Fraction(num, den)
     dealt = (docs.where("doc_id is not null")
-             .mapInArrow(_windows(n, slack, counters),
+             .mapInArrow(frugal(_windows(n, slack, counters)),
                          "doc_id long, digest binary, size long, pivots array<long>, cells array<tinyint>")
              .where(F.col("size") >= (int(small) if small else 1 << 62)))
     reps = classes.where("rep is not null").select(F.col("rep").alias("id"), F.col("digest").alias("rep_digest"))
@@ -394,7 +394,7 @@ def _links(docs, n, facts, twos, members, classes, num, den) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         wanted = spark.sparkContext.broadcast(_member_filter(ids))
         reps = classes.select(F.col("rep").alias("id"), F.col("digest").alias("rep_digest")).join(ids, "id")
-        sets = (docs.where("doc_id is not null").mapInArrow(_sets(n, wanted), "doc_id long, digest binary, members array<long>")
+        sets = (docs.where("doc_id is not null").mapInArrow(frugal(_sets(n, wanted)), "doc_id long, digest binary, members array<long>")
                 .join(reps, (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("rep_digest")))
                 .groupBy("id", "digest").agg(F.first("members").alias("members")).select("id", "members"))
         found = cut(_linked(pairs, cut(sets), num, den))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skupulse.llm.common import cut, hash_share, id_remainder, release_stores
+from skupulse.llm.common import cut, frugal, hash_share, id_remainder, release_stores, slices
 
 SAMPLE_ROWS = 12_000     # labelled rows that fit the model, at most about
 MAX_GRAMS = 150_000      # (language, n-gram) counts kept, most frequent first
@@ -76,11 +76,11 @@ def _count(batches):
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
-    """Model from rows (text, lang).  Returns languages, log-probabilities per
-    n-gram and the scripts of each language."""
+    """Model from rows (text, lang).  Returns languages, n-grams, a row of
+    log-probabilities each and the scripts of each language."""
     rows = labelled.select(F.col("text").cast("string"), F.col("lang").cast("string")).where("lang is not null and text is not null")
     sample = hash_share(rows, sample_rows, rows.select("lang").count(), "text", "lang")
-    counts = cut(sample.mapInArrow(_count, "lang string, kind string, gram string, n long")
+    counts = cut(sample.mapInArrow(frugal(_count), "lang string, kind string, gram string, n long")
                  .groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")))
     scripts = counts.where("kind = 's'").orderBy(F.desc("n"), "lang", "gram").limit(MAX_LANGS * len(SCRIPTS)).collect()
     kept = counts.where("kind = 'g'").orderBy(F.desc("n"), "gram", "lang").limit(MAX_GRAMS).collect()
@@ -92,7 +92,6 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
             table.setdefault(r.gram, np.zeros(len(langs)))[at[r.lang]] = r.n
     total = np.maximum(1.0, sum(table.values(), np.zeros(len(langs))))
     size = len(table) + 1
-    logs = {g: np.log((n + 0.5) / (total + 0.5 * size)).astype(np.float32) for g, n in table.items()}
     seen: dict[str, np.ndarray] = {}
     words = Counter()
     for r in scripts:
@@ -100,8 +99,10 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
     for r in scripts:
         if r.n >= FLOOR * words[r.lang]:
             seen.setdefault(r.gram, np.zeros(len(langs), bool))[at[r.lang]] = True
-    rare = np.log(0.5 / (total + 0.5 * size)).astype(np.float32)
-    return {"langs": langs, "logs": logs, "rare": rare, "scripts": seen}
+    # the last row scores n-grams that were not kept
+    counted = np.stack([*table.values(), np.zeros(len(langs))])
+    logs = np.log((counted + 0.5) / (total + 0.5 * size)).astype(np.float32)
+    return {"langs": langs, "grams": list(table), "logs": logs, "scripts": seen}
 
 
 class WordScores(dict):
@@ -111,9 +112,8 @@ class WordScores(dict):
 
     def __init__(self, model: dict):
         super().__init__()
-        grams_ = list(model["logs"])
-        self.at = {g: i for i, g in enumerate(grams_)}
-        self.table = np.stack([*(model["logs"][g] for g in grams_), model["rare"]])
+        self.at = {g: i for i, g in enumerate(model["grams"])}
+        self.table = model["logs"]
         n = len(model["langs"])
         self.allowed = {k: v for k, v in model["scripts"].items()}
         self.every = np.ones(n, bool)
@@ -220,33 +220,41 @@ def _decode(words: WordScores, docs: list[np.ndarray], langs, penalty: float):
     return langs[pred].tolist(), score.tolist(), spans
 
 
+def _labeller(m: dict, penalty: float):
+    """texts -> lists of languages, scores and spans, by the model ``m``."""
+    langs, words = np.array([*m["langs"], "und"], object), WordScores(m) if m["langs"] else None
+
+    def run(texts: list) -> tuple[list, list, list]:
+        pred, score, spans, docs, held = [], [], [], [], 0
+
+        def decode():
+            for whole, part in zip((pred, score, spans), _decode(words, docs, langs, penalty), strict=True):
+                whole.extend(part)
+            docs.clear()
+            if words is not None and len(words) > CACHE:
+                words.reset()
+
+        for text in texts:
+            docs.append(words.ids(text) if text and words is not None else np.empty(0, np.int32))
+            held += len(docs[-1])
+            if held > DECODE_WORDS:
+                decode()
+                held = 0
+        decode()
+        return pred, score, spans
+    return run
+
+
 def _label(model, penalty: float):
     def run(batches):
         release_stores()
-        m = model.value
-        langs, words = np.array([*m["langs"], "und"], object), WordScores(m) if m["langs"] else None
-        for batch in batches:
-            pred, score, spans, docs, held = [], [], [], [], 0
-
-            def decode():
-                for whole, part in zip((pred, score, spans), _decode(words, docs, langs, penalty), strict=True):
-                    whole.extend(part)
-                docs.clear()
-                if words is not None and len(words) > CACHE:
-                    words.reset()
-
-            for text in batch.column("text").to_pylist():
-                docs.append(words.ids(text) if text and words is not None else np.empty(0, np.int32))
-                held += len(docs[-1])
-                if held > DECODE_WORDS:
-                    decode()
-                    held = 0
-            decode()
+        labels = _labeller(model.value, penalty)
+        for batch in slices(batches):
+            pred, score, spans = labels(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(pred, pa.string()),
-                 pa.array(score, pa.float64()), pa.array(spans, pa.string())],
-                [*(c for c in batch.schema.names if c != "text"), "lang_pred", "score", "spans"])
-    return run
+                [batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.string())],
+                ["doc_id", "lang_pred", "score", "spans"])
+    return frugal(run)
 
 
 def label(documents: DataFrame, model: dict, penalty: float = SWITCH) -> DataFrame:
@@ -276,9 +284,10 @@ def keep_known(documents: DataFrame, labelled: DataFrame | None = None) -> DataF
 
     def run(batches):
         # whole rows pass through; only the verdict of the text counts
-        for batch in batches:
-            text = pa.RecordBatch.from_arrays([batch.column("text")], ["text"])
-            verdict = next(_label(shared, SWITCH)(iter([text])))
-            yield batch.filter(pa.array([x != "und" for x in verdict.column("lang_pred").to_pylist()], pa.bool_()))
+        release_stores()
+        labels = _labeller(shared.value, SWITCH)
+        for batch in slices(batches):
+            pred, _, _ = labels(batch.column("text").cast(pa.string()).to_pylist())
+            yield batch.filter(pa.array([x != "und" for x in pred], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(frugal(run), documents.schema)

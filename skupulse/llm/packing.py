@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skupulse.llm.common import STORE, cut, slices
+from skupulse.llm.common import STORE, cut, frugal, slices
 
 WINDOW = 4096
 END_ID = 2
@@ -200,7 +200,7 @@ def pack(documents: DataFrame, path: str | None = None, window: int = WINDOW, en
     padded_to for each piece."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = cut(docs.mapInArrow(_pieces(path or tokenizer_path(), window, end_id),
+    pieces = cut(docs.mapInArrow(frugal(_pieces(path or tokenizer_path(), window, end_id)),
                                  "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"))
     # at most ``window`` rows
     histogram = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}

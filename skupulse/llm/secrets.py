@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skupulse.llm.common import slices
+from skupulse.llm.common import frugal, slices
 
 # The three base kinds.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -173,7 +173,7 @@ def _report(batches):
 def find_secrets(documents: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans per document."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_report, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.mapInArrow(frugal(_report), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def cut_out(text: str, spans, mark: str = "[secret]") -> str:
@@ -203,4 +203,4 @@ def redact(documents: DataFrame) -> DataFrame:
                 cols["n_chars"] = pa.array(sizes, cols["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(cols.values()), names)
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(frugal(run), documents.schema)
