@@ -84,9 +84,12 @@ def is_weekend(d) -> Column:
 
 
 def micros_between(a, b) -> Column:
-    """Microseconds from a to b; on timestamp_ntz this is wall-clock
-    arithmetic, independent of the session time zone (no DST shifts)."""
-    return F.timestamp_diff("MICROSECOND", col_(a), col_(b))
+    """Microseconds from a to b.  The difference is an interval, so on
+    timestamp_ntz this is wall-clock arithmetic whatever the session zone."""
+    gap = col_(b) - col_(a)
+    day, hour, minute, second = (F.extract(F.lit(f), gap) for f in ("DAY", "HOUR", "MINUTE", "SECOND"))
+    minutes = (day.cast("long") * 24 + hour) * 60 + minute
+    return minutes * 60_000_000 + (second * 1_000_000).cast("long")
 
 
 def days_between(a, b) -> Column:

@@ -7,8 +7,11 @@ Scale notes
   many tasks before its final count.
 * Top-1 per user (W1) is ``min(struct(-count, value))`` over the per-(user,
   value) counts: two partial aggregations, no per-user window sort.
-* The first-order/click join (J2) joins one row per (user, sku) with the
-  click rows; AQE's skew-join split handles a hot (user, sku).
+* The first-order/click join (J2) meets on (user, sku, salt): a pair that
+  holds a third of all clicks is spread over ``SALTS`` tasks and merged after
+  its partial aggregation.
+* Anonymous clicks can match no user; a spread join key keeps them from
+  meeting in one task (J1).
 """
 
 from __future__ import annotations
@@ -19,6 +22,9 @@ from pyspark.sql import functions as F
 from skupulse.functions.exprs import bool_rate, count_if, days_between, nullif
 from skupulse.operators.grid import attach_one_row
 
+SALTS = 16           # parts of a (user, sku) pair's clicks
+ANONYMOUS_PARTS = 1_000  # join keys over which anonymous clicks are spread
+
 # Weekday labels, Monday first (weekday index 0..6).
 DOW_LABELS = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
 
@@ -47,13 +53,18 @@ def first_orders(orders: DataFrame, user: str = "user_ID", sku: str = "sku_ID",
 def click_to_order(first: DataFrame, clicks: DataFrame, user: str = "user_ID", sku: str = "sku_ID",
                    click_time: str = "request_time") -> DataFrame:
     """A2: per ordered (user, sku) with clicks: first click, first order,
-    clicks strictly before the first order, fractional days between."""
-    c = clicks.select(user, sku, click_time)
-    j = first.join(c, [user, sku], "inner")
-    agg = j.groupBy(user, sku, "first_order_time").agg(
+    clicks strictly before the first order, fractional days between.
+
+    Clicks of a pair are dealt over ``SALTS`` parts by their time, the one
+    order row of the pair is repeated per part, and the parts' results merge."""
+    c = clicks.select(user, sku, click_time, F.pmod(F.xxhash64(click_time), F.lit(SALTS)).alias("_salt"))
+    o = first.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    part = o.join(c, [user, sku, "_salt"], "inner").groupBy(user, sku, "_salt", "first_order_time").agg(
         F.min(click_time).alias("first_click_time"),
         count_if(F.col(click_time) < F.col("first_order_time")).alias("clicks_before_order"),
     )
+    agg = part.groupBy(user, sku, "first_order_time").agg(
+        F.min("first_click_time").alias("first_click_time"), F.sum("clicks_before_order").alias("clicks_before_order"))
     return agg.select(
         F.col(user).alias("user_id"), F.col(sku).alias("sku"), "first_click_time", "first_order_time",
         "clicks_before_order",
@@ -95,14 +106,39 @@ def top1(base: DataFrame, key: str, value: str, name: str) -> DataFrame:
 
 
 def user_behavior(clicks: DataFrame) -> DataFrame:
-    """A4: per-user behaviour profile (totals + top SKU/channel/hour/weekday)."""
+    """A4: per-user behaviour profile (totals + top SKU/channel/hour/weekday).
+
+    One scan: clicks are stacked by kind of value and counted per (user, kind,
+    value), which combines map side; totals, distinct counts and all four tops
+    are read off those counts."""
     base = click_base(clicks)
-    t = user_totals(base)
-    tops = [top1(base, "user_id", "sku_id", "top_sku"), top1(base, "user_id", "channel", "top_channel"),
-            top1(base, "user_id", "hour", "peak_hour"), top1(base, "user_id", "dow", "peak_dow_idx")]
-    j = t
-    for tp in tops:
-        j = j.join(tp, "user_id", "left")
+    nothing = F.lit(None)
+    kinds = {"date": (F.unix_date("click_date"), nothing), "sku": (F.col("sku_id"), nothing),
+             "channel": (nothing, F.col("channel")), "hour": (F.col("hour"), nothing), "dow": (F.col("dow"), nothing)}
+    stacked = base.select("user_id", "ts", F.explode(F.array(*(
+        F.struct(F.lit(kind).alias("kind"), number.cast("long").alias("number"), text.cast("string").alias("text"))
+        for kind, (number, text) in kinds.items()))).alias("v"))
+    counts = stacked.groupBy("user_id", F.col("v.kind").alias("kind"), F.col("v.number").alias("number"),
+                             F.col("v.text").alias("text")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+    def of(kind, c):
+        return F.when(F.col("kind") == kind, c)
+
+    def top(kind, value):
+        return F.min(of(kind, F.struct((-F.col("n")).alias("n"), F.col(value).alias("v")))).alias(f"_{kind}")
+
+    j = counts.groupBy("user_id").agg(
+        F.sum(of("date", F.col("n"))).alias("total_clicks"), F.count(of("date", F.col("number"))).alias("active_days"),
+        F.min("first_ts").alias("first_click_time"), F.max("last_ts").alias("last_click_time"),
+        F.count(of("sku", F.col("number"))).alias("unique_skus"), F.count(of("channel", F.col("text"))).alias("unique_channels"),
+        top("sku", "number"), top("channel", "text"), top("hour", "number"), top("dow", "number"))
+    names = {"sku": "top_sku", "channel": "top_channel", "hour": "peak_hour", "dow": "peak_dow_idx"}
+    types = {"sku": base.schema["sku_id"].dataType, "channel": base.schema["channel"].dataType,
+             "hour": base.schema["hour"].dataType, "dow": base.schema["dow"].dataType}
+    j = j.withColumns({"first_click_date": F.to_date("first_click_time"), "last_click_date": F.to_date("last_click_time")}
+                      | {name: F.col(f"_{kind}.v").cast(types[kind]) for kind, name in names.items()}
+                      | {f"{name}_cnt": -F.col(f"_{kind}.n") for kind, name in names.items()})
 
     def share(cnt):
         return F.round(F.try_divide(F.col(cnt).cast("double"), F.nullif(F.col("total_clicks"), F.lit(0))), 4)
@@ -130,8 +166,11 @@ def user_behavior(clicks: DataFrame) -> DataFrame:
 def clicks_day_region_sku(clicks: DataFrame, users: DataFrame, region_col: str = "region",
                           include_unknown_user: bool = False) -> DataFrame:
     """A5 + J1: clicks by (day, region, sku); region of unknown users 'UNKNOWN'."""
-    u = users.select("user_ID", F.col(region_col).alias("_region"))
-    j = clicks.join(u, "user_ID", "left")
+    # users have part 0; anonymous clicks have another, match nothing and spread
+    u = users.select("user_ID", F.col(region_col).alias("_region"), F.lit(0).cast("long").alias("_part"))
+    spread = 1 + F.pmod(F.xxhash64("request_time", "sku_ID"), F.lit(ANONYMOUS_PARTS))
+    c = clicks.withColumn("_part", F.when(known_user(), F.lit(0)).otherwise(spread))
+    j = c.join(u, ["user_ID", "_part"], "left")
     if include_unknown_user:
         uniq = F.countDistinct("user_ID")
     else:
@@ -164,10 +203,10 @@ def clicks_by_weekday(clicks: DataFrame) -> DataFrame:
 
 
 def value_shares(df: DataFrame, col: str, name: str = "share") -> DataFrame:
-    """value_counts(normalize=True) — count / total (total via a
-    one-row aggregate, not a global window)."""
+    """value_counts(normalize=True) — count / total (total is the sum of
+    the counts, so the input runs once)."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("_tot"))
+    total = counts.agg(F.sum("n").alias("_tot"))
     return attach_one_row(counts, total).select(col, "n", (F.col("n") / F.col("_tot")).alias(name))
 
 

@@ -206,7 +206,8 @@ def preprocess_stages(feature_cols: list[str], numeric_impute: str = "median", s
     if cats:
         stages.append(StringIndexer(inputCols=cats, outputCols=idx, handleInvalid="keep",
                                     stringOrderType="frequencyDesc"))
-        stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, handleInvalid="keep", dropLast=False))
+        # the indexer's extra index already stands for unseen levels
+        stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=False))
     imp = [f"{c}__imp" for c in nums]
     if nums and numeric_impute == "median":
         stages.append(Imputer(inputCols=nums, outputCols=imp, strategy="median"))
@@ -215,6 +216,18 @@ def preprocess_stages(feature_cols: list[str], numeric_impute: str = "median", s
     return stages, assembled
 
 
+def standardise(train: DataFrame, test: DataFrame, feature_cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """M6: numeric features with nulls set to the train median, then scaled by
+    train mean and population std, on both frames."""
+    nums = [c for c in feature_cols if c not in CATEGORICAL]
+    if not nums:
+        return train, test
+    imputer = Imputer(inputCols=nums, outputCols=nums, strategy="median").fit(train)
+    train, test = imputer.transform(train), imputer.transform(test)
+    stats = scale_stats(train, nums)
+    return zscore(train, nums, stats), zscore(test, nums, stats)
+
+
 def _estimator(spec: dict, n_rows: int, label_std: float):
     kind = spec["kind"]
     if kind == "linear":

@@ -122,7 +122,7 @@ def order_composition(orders: DataFrame) -> DataFrame:
 def composition_counts(per_order: DataFrame) -> DataFrame:
     """Orders per composition label with share rounded to 4 (half-even)."""
     c = per_order.groupBy("composition").agg(F.count(F.lit(1)).alias("orders"))
-    tot = per_order.agg(F.count(F.lit(1)).alias("_t"))
+    tot = c.agg(F.sum("orders").alias("_t"))
     return attach_one_row(c, tot).select("composition", "orders",
                                          F.bround(F.col("orders") / F.col("_t"), 4).alias("pct"))
 
@@ -137,7 +137,7 @@ def type_shares(orders: DataFrame) -> DataFrame:
     """Order rows and quantity by SKU type, share of rows (3 decimals)."""
     t = F.coalesce(F.col("type").cast("string"), F.lit("MISSING")).alias("sku_type")
     c = orders.groupBy(t).agg(F.count(F.lit(1)).alias("order_rows"), F.sum("quantity").alias("quantity"))
-    tot = orders.agg(F.count(F.lit(1)).alias("_t"))
+    tot = c.agg(F.sum("order_rows").alias("_t"))
     return attach_one_row(c, tot).select("sku_type", "order_rows", "quantity",
                                          F.bround(F.col("order_rows") / F.col("_t"), 3).alias("pct_rows"))
 
@@ -150,26 +150,23 @@ def purchased_skus(skus: DataFrame, orders: DataFrame) -> DataFrame:
 def attribute_profile(sku_rows: DataFrame, attrs=("attribute1", "attribute2")) -> DataFrame:
     """Per attribute: SKUs, nulls ('-' = missing, C8), null share,
     distinct values, numeric share and numeric mean/min/max when more than
-    10 % of the non-null values are numeric."""
-    frames = []
+    10 % of the non-null values are numeric.  All attributes in one pass."""
+    aggs = []
     for a in attrs:
         v = nullif(a, "-")
         num = v.try_cast("double")
-        agg = sku_rows.agg(
-            F.count(F.lit(1)).alias("total"), F.sum(v.isNull().cast("long")).alias("nulls"),
+        aggs.append(F.struct(
+            F.lit(a).alias("attribute"), F.count(F.lit(1)).alias("total"), F.sum(v.isNull().cast("long")).alias("nulls"),
             F.countDistinct(v).alias("n_unique"), F.count(num).alias("n_numeric"),
-            F.avg(num).alias("_mean"), F.min(num).alias("_min"), F.max(num).alias("_max"))
-        is_num = (F.col("n_numeric") > 0) & (F.col("n_numeric") / (F.col("total") - F.col("nulls") + 1e-9) > 0.1)
-        frames.append(agg.select(
-            F.lit(a).alias("attribute"), "total", "nulls",
-            F.when(F.col("total") > 0, F.col("nulls") / F.col("total")).otherwise(0.0).alias("pct_null"),
-            "n_unique", "n_numeric", is_num.cast("int").alias("is_numeric"),
-            F.when(is_num, F.col("_mean")).alias("numeric_mean"), F.when(is_num, F.col("_min")).alias("numeric_min"),
-            F.when(is_num, F.col("_max")).alias("numeric_max")))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+            F.avg(num).alias("_mean"), F.min(num).alias("_min"), F.max(num).alias("_max")))
+    agg = sku_rows.agg(F.array(*aggs).alias("_a")).select(F.inline("_a"))
+    is_num = (F.col("n_numeric") > 0) & (F.col("n_numeric") / (F.col("total") - F.col("nulls") + 1e-9) > 0.1)
+    return agg.select(
+        "attribute", "total", "nulls",
+        F.when(F.col("total") > 0, F.col("nulls") / F.col("total")).otherwise(0.0).alias("pct_null"),
+        "n_unique", "n_numeric", is_num.cast("int").alias("is_numeric"),
+        F.when(is_num, F.col("_mean")).alias("numeric_mean"), F.when(is_num, F.col("_min")).alias("numeric_min"),
+        F.when(is_num, F.col("_max")).alias("numeric_max"))
 
 
 def top_values(df: DataFrame, col: str, n: int, missing_label: str = "MISSING") -> DataFrame:

@@ -105,14 +105,15 @@ select p_partkey as sku_ID, case when p_type='PROMO' then 2 else 1 end as type,
   case when p_partkey % 5 = 0 then '-' else p_type end as attribute2 from part
 """)
 
-cte("users", "select cast(c_custkey as varchar) as user_ID, c_mktsegment as region from customer where c_custkey % 10 <> 0")
+cte("users", "select cast(c_custkey as varchar) as user_ID, "
+             "case when c_custkey % 10 <> 0 then c_mktsegment end as region from customer")
 
 cte("delivery", """
 select l_orderkey as order_ID, l_linenumber as package_ID,
   o_orderdate + to_hours(cast(l_linenumber as int)) as ship_out_time,
   o_orderdate + to_hours(cast(l_linenumber + l_suppkey % 24 as int)) as arr_station_time,
   o_orderdate + to_hours(cast(l_linenumber + l_suppkey % 24 + l_partkey % 60 as int)) as arr_time
-from lineitem join orders on l_orderkey=o_orderkey where l_linenumber <= 3
+from lineitem join orders on l_orderkey=o_orderkey
 """)
 
 # ----------------------------------------------------------------- derived

@@ -182,8 +182,8 @@ def _expanded_names(model, names):
     for n in names:
         if n.endswith("__ohe"):
             base = n[:-5]
-            # the indexer keeps unseen levels as one more, the encoder adds its own slot
-            out += [f"{base}={lab}" for lab in labels.get(base, [])] + [f"{base}=__unknown", f"{base}=__invalid"]
+            # the indexer keeps unseen levels as one more
+            out += [f"{base}={lab}" for lab in labels.get(base, [])] + [f"{base}=__unknown"]
         else:
             out.append(n.replace("__imp", ""))
     return out
@@ -203,8 +203,9 @@ def q_model_grid(spark, sf_dir):
         base = test.withColumn("predicted_demand", F.coalesce("lag_1_demand", F.lit(0.0)))
         results.append(ev.forecast_metrics(base).withColumns({"feature_set": F.lit(set_name),
                                                               "model": F.lit("baseline_lag1")}))
+        scaled, scaled_test = md.standardise(train, test, cols)
         for mname in ("linear_regression", "ridge_regression"):
-            _, pred, _ = md.fit_predict(train, test, cols, md.MODEL_GRID[mname])
+            _, pred, _ = md.fit_predict(scaled, scaled_test, cols, md.MODEL_GRID[mname], clip=False)
             results.append(ev.forecast_metrics(pred).withColumns({"feature_set": F.lit(set_name),
                                                                   "model": F.lit(mname)}))
     out = results[0]

@@ -60,10 +60,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster; "
                            "a machine-local scratch folder is only used in local mode")
-    path = tempfile.mkdtemp(prefix="skupulse-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    known = spark.sparkContext.getCheckpointDir()
+    if known is None:
+        known = tempfile.mkdtemp(prefix="skupulse-ckpt-")
+        spark.sparkContext.setCheckpointDir(known)
+    return known
 
 
 def materialize(df):
