@@ -133,3 +133,36 @@ def test_round_stable_removes_float_noise(spark):
     df = spark.createDataFrame([(12.8921875 - 1e-13,), (12.8921875 + 1e-13,)], "x double")
     vals = {r.y for r in df.select(round_stable(F.col("x")).alias("y")).collect()}
     assert vals == {12.892188}
+
+
+def test_hot_pair_is_spread(spark):
+    """One (user, sku) pair with most clicks: same answer, several salts."""
+    from pyspark.sql import functions as F
+
+    from skupulse.operators import clicks as ck
+
+    base = F.lit("1998-03-01 00:00:00").cast("timestamp_ntz")
+    c = spark.range(300).select(F.lit("u").alias("user_ID"), F.lit(1).alias("sku_ID"),
+                                F.timestamp_add("MINUTE", F.col("id").cast("int"), base).alias("request_time"))
+    o = spark.range(1).select(F.lit("u").alias("user_ID"), F.lit(1).alias("sku_ID"),
+                              F.timestamp_add("MINUTE", F.lit(100), base).alias("first_order_time"))
+    row = ck.click_to_order(o, c).collect()
+    assert [(r.clicks_before_order, round(r.days_between * 1440)) for r in row] == [(100, 100)]
+    salts = c.select(F.pmod(F.xxhash64("request_time"), F.lit(ck.SALTS)).alias("s")).distinct().count()
+    assert salts > ck.SALTS // 2
+
+
+def test_time_difference_ignores_the_session_zone(spark):
+    from pyspark.sql import functions as F
+
+    from skupulse.functions.exprs import hours_between
+
+    a, b = (F.lit(f"1998-04-0{d} 00:30:00").cast("timestamp_ntz") for d in (5, 6))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "America/New_York"):   # the clocks there change on that day
+            spark.conf.set("spark.sql.session.timeZone", z)
+            r = spark.range(1).select(hours_between(a, b).alias("up"), hours_between(b, a).alias("down")).first()
+            assert (r.up, r.down) == (24.0, -24.0)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
