@@ -336,15 +336,15 @@ def jaccard_components(documents: DataFrame, n: int = 5, num: int = 8, den: int
     sizes = described.where("size is not null")
     classes = cut(sizes.where("size > 0").groupBy("digest")
                   .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("size").alias("size")))
-    # a partner of a small set would have to be equal to it
-    small = Fraction(den, den - num) if den > num else None
+    # a smaller set has no partner but its equals: already one shingle more is too far
+    small = -(-num // (den - num)) if den > num else None
     counters = spark.sparkContext.broadcast(_merge_tables(described))
 
     slack = 1 - Fraction(num, den)
     dealt = (docs.where("doc_id is not null")
              .mapInArrow(frugal(_windows(n, slack, counters)),
                          "doc_id long, digest binary, size long, pivots array<long>, cells array<tinyint>")
-             .where(F.col("size") >= (int(small) if small else 1 << 62)))
+             .where(F.col("size") >= (1 << 62 if small is None else small)))
     reps = classes.where("rep is not null").select(F.col("rep").alias("id"), F.col("digest").alias("rep_digest"))
     points = (dealt.join(reps, (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("rep_digest")))
               .groupBy("id", "digest").agg(F.first("size").alias("size"), F.first("cells").alias("cells"),

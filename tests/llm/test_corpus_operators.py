@@ -361,6 +361,20 @@ def test_jaccard_components(spark, monkeypatch, small, rounds, block):
     assert {r.doc_id: (r.component_id, r.n_shingles) for r in got} == {d: (comp[d], size[d]) for d in comp}
 
 
+@pytest.mark.parametrize(("num", "den", "words"), [(9, 10, 11), (8, 10, 6), (85, 100, 8)])
+def test_jaccard_one_word_more(spark, num, den, words):
+    # at 9/10 and 4/5 the shorter set links with one shingle more, at 0.85 and 6 it just does
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(words + g % 3 - 1)]
+        for extra in ([], ["tail"], ["tail", "end"], ["other"])[:2 + g % 3]:
+            rows.append((len(rows), " ".join(base + extra)))
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, num, den).collect()
+    comp, size = brute_components(rows, 3, num, den)
+    assert any(comp[d] != d and size[d] == size[comp[d]] + 1 == words - 1 for d in comp)
+    assert {r.doc_id: r.component_id for r in got} == comp
+
+
 def test_jaccard_awkward(odd, none):
     got = jaccard.jaccard_components(odd, 3, 9, 10).collect()
     assert len(got) == odd.count()
