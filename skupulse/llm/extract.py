@@ -1,45 +1,44 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host are parsed into DOM trees; runs of like siblings fold into one
-node.  Simple tree matching aligns the trees of a few pages of the host
-(``WRAPPER_PAGES``, lowest hashes first) into a wrapper: nodes whose text is
-the same on every aligned page are the host's template, the others are slots.
-Every page of the host is then aligned to the wrapper the same way, and the
-text of its slots (block by block) is its content, except in parts whose element or class says
-that they are menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles or reader comments.  Inside an article or main element, where
-there is one, only that element counts and constant text stays: pages that
-repeat an article are not its template.
-
-A wrapper is fitted per host from a bounded number of pages, taken before the
-shuffle; pages themselves are never grouped, so a host with a third of all
-pages is spread like any other.  Wrappers are broadcast while they are small
-(counted first) and joined otherwise.
+Pages of a host are parsed into DOM trees; like siblings fold into one node, so
+that siblings have distinct labels and the largest alignment of two trees pairs
+the nodes with equal paths of labels.  All pages of a host are aligned that way
+into its wrapper: for each node the texts of its blocks are counted, by digest
+of the whole normalised text, over the host's pages, pages of equal text once.
+A text is template where it is on ``SAME_ON`` pages or more and on half of those
+that have the node, inside article or main elements on nine of ten (near copies
+of an article are not its template).  The wrapper stores the template's digests;
+a page loses a block only if the block's own text is among its node's.
+
+Besides, parts whose element or class says that they are menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles or reader comments
+are no content, and where there is an article or main element, only that counts.
+
+Counts are combined in the tasks before they move and spread by page, node and
+text, so a host with a third of all pages is spread like any other.  Wrappers
+are broadcast while they are small (counted first) and joined otherwise.
 
 Defined results: null or empty html, or html without text, gives an empty text
-of 0 characters; broken and cut markup is read as far as it goes; a null url
-is a host of its own; repeated rows are extracted alike.  Extra columns are
+of 0 characters; broken and cut markup is read as far as it goes; pages with a
+null url have no wrapper; repeated rows are extracted alike.  Extra columns are
 ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
-import json
 import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from skupulse.llm.common import cut
 from skupulse.llm.urls import host_of
 
-WRAPPER_PAGES = 8        # pages of a host that induce its wrapper
-SAME_ON = 3              # pages a constant node must be seen on
-WRAPPER_TEXT = 200       # characters of a node's text compared in a wrapper
+SAME_ON = 3              # pages of different text a template block must be seen on
 MAX_NODES = 2_000        # nodes of a folded tree that are aligned
 BROADCAST_BYTES = 32_000_000
 CACHE = 20_000
@@ -171,102 +170,89 @@ def align(a_labels, a_children, b_labels, b_children, limit: int = MAX_NODES) ->
     return dict(match(0, 0)[1])
 
 
-def _tree(page: Page):
-    return page.labels, [list(c.values()) for c in page.children]
-
-
-def _node_texts(page: Page) -> dict[int, str]:
-    out: dict[int, list[str]] = {}
-    for node, text, _ in page.texts:
-        if text and not text.isspace():
-            out.setdefault(page.block[node], []).append(" ".join(text.split()))
-    return {n: " ".join(t)[:WRAPPER_TEXT] for n, t in out.items()}
-
-
-def induce(sources: list[str]) -> dict:
-    """Wrapper of a host: labels and children of the merged tree, and which of
-    its nodes are template (same text on all pages that have it)."""
-    labels, children = ["#root"], [[]]
-    seen: list[dict[str, int]] = [{}]
-    for source in sources:
-        page = parse(source)
-        own, below = _tree(page)
-        at = align(own, below, labels, children)
-        texts = _node_texts(page)
-        for node in range(len(own)):
-            if node not in at:  # its parent came before it
-                parent = at.get(page.parents[node])
-                if parent is None or len(labels) >= MAX_NODES:
-                    continue
-                at[node] = len(labels)
-                labels.append(own[node])
-                children.append([])
-                seen.append({})
-                children[parent].append(at[node])
-            if node in texts:
-                counts = seen[at[node]]
-                counts[texts[node]] = counts.get(texts[node], 0) + 1
-    fixed = [len(c) == 1 and sum(c.values()) >= SAME_ON for c in seen]
-    return {"labels": labels, "children": children, "fixed": fixed}
-
-
-def content(page: Page, wrapper: dict | None, cache: dict | None = None, key=None) -> str:
-    """Blocks of the page's slots, one per line."""
-    fixed: set[int] = set()
-    if wrapper:
-        own, below = _tree(page)
-        known = (key, tuple(own), tuple(page.parents))
-        if cache is not None and known in cache:
-            fixed = cache[known]
-        else:
-            at = align(own, below, wrapper["labels"], wrapper["children"])
-            fixed = {n for n, w in at.items() if wrapper["fixed"][w] and not page.main[n]}
-            if cache is not None and len(cache) < CACHE:
-                cache[known] = fixed
+def units(page: Page) -> list[tuple[int, int, str]]:
+    """(path, key, text) of each block that tags and names leave: digests of the
+    node's path (odd inside article or main) and of path and text."""
     inside = any(page.main[n] and not page.away[n] for n, t, _ in page.texts if not t.isspace())
     blocks: list[list] = []
     for node, text, block in page.texts:
-        if page.away[node] or page.block[node] in fixed or (inside and not page.main[node]):
+        if page.away[node] or (inside and not page.main[node]):
             continue
         if not blocks or blocks[-1][0] != block:
-            blocks.append([block, []])
-        blocks[-1][1].append(text)
-    lines = (" ".join(entities.unescape("".join(parts)).split()) for _, parts in blocks)
-    return "\n".join(line for line in lines if line)
-
-
-def _induce_host(key, table):
-    rows = sorted(zip(table.column("h").to_pylist(), table.column("html").to_pylist(), strict=True))
-    wrapper = induce([h for _, h in rows])
-    return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(wrapper)]},
-                    schema=pa.schema([("host", pa.string()), ("wrapper", pa.string())]))
+            blocks.append([block, node, []])
+        elif all(t.isspace() for t in blocks[-1][2]):
+            blocks[-1][1] = node
+        blocks[-1][2].append(text)
+    paths: dict[int, int] = {0: 0}
+
+    def path(node: int) -> int:
+        above = []
+        while node not in paths:
+            above.append(node)
+            node = page.parents[node]
+        at = paths[node]
+        for n in reversed(above):
+            at = paths[n] = xxhash.xxh3_64_intdigest(f"{at:x} {page.labels[n]}")
+        return at
+
+    out = []
+    for _, node, parts in blocks:
+        text = " ".join(entities.unescape("".join(parts)).split())
+        if text:
+            at = path(page.block[node]) >> 1 << 1 | page.main[node]
+            out.append((at, xxhash.xxh3_64_intdigest(f"{at:x} {text}".encode("utf-8", "surrogatepass")), text))
+    return out
+
+
+def _signed(values: list[int]) -> np.ndarray:
+    return np.array(values, np.uint64).view(np.int64)
+
+
+def _seen(batches):
+    """host, path, key and page of the blocks; a row with key = path counts the node."""
+    for batch in batches:
+        hosts, lengths, rows = batch.column("host").to_numpy(zero_copy_only=False), [], []
+        for source in batch.column("html").to_pylist():
+            found = units(parse(source))
+            page = xxhash.xxh3_64_intdigest("\n".join(t for _, _, t in found).encode("utf-8", "surrogatepass"))
+            pairs = {(at, key) for at, key, _ in found} | {(at, at) for at, _, _ in found}
+            rows += [(at, key, page) for at, key in pairs]
+            lengths.append(len(pairs))
+        columns = [pa.array(np.repeat(hosts, lengths))] + [pa.array(_signed([r[k] for r in rows])) for k in range(3)]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "path", "key", "page"])
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) from a few pages of each host; the row limit works before
-    the shuffle, so at most ``WRAPPER_PAGES`` pages per host and task move."""
-    rows = pages.select(host_of("url").alias("host"), F.xxhash64("page_id", "url").alias("h"),
-                        F.col("html").cast("string").alias("html")).where("html is not null and html <> ''")
-    first = Window.partitionBy("host").orderBy("h")
-    some = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= WRAPPER_PAGES).drop("k")
-    return some.groupBy("host").applyInArrow(_induce_host, "host string, wrapper string")
+    """(host, wrapper): the digest of each host, and those of its template blocks."""
+    rows = pages.select(host_of("url").alias("host"), F.col("html").cast("string").alias("html"))
+    rows = rows.where("host is not null and html <> ''").select(F.xxhash64("host").alias("host"), "html")
+    seen = rows.mapInArrow(_seen, "host long, path long, key long, page long").distinct()
+    counts = cut(seen.groupBy("host", "path", "key").agg(F.count("*").alias("n")).where(F.col("n") >= SAME_ON))
+    nodes = counts.where("key = path").select(F.col("host").alias("n_host"), F.col("path").alias("n_path"), F.col("n").alias("pages"))
+    texts = counts.where("key <> path").join(nodes, (F.col("host") == F.col("n_host")) & (F.col("path") == F.col("n_path")))
+    # odd paths are those inside article or main
+    same = texts.where(F.when(F.col("path").bitwiseAND(1) == 1, 10 * F.col("n") >= 9 * F.col("pages"))
+                       .otherwise(2 * F.col("n") >= F.col("pages")))
+    return same.groupBy("host").agg(F.collect_list("key").alias("wrapper"))
 
 
 def _extract(batches):
-    cache: dict = {}
-    parsed: dict[str, dict] = {}
+    fixed: dict[int, frozenset] = {}
     for batch in batches:
         texts = []
-        for host, wrapper, source in zip(*(batch.column(c).to_pylist() for c in ("host", "wrapper", "html")), strict=True):
+        known = batch.column("wrapper")
+        for i, (host, source) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)):
             if not source:
                 texts.append("")
                 continue
-            if wrapper is not None and host not in parsed:
-                if len(parsed) >= CACHE:
-                    parsed.clear()
-                    cache.clear()
-                parsed[host] = json.loads(wrapper)
-            texts.append(content(parse(source), parsed.get(host) if wrapper is not None else None, cache, host))
+            same = frozenset()
+            if known[i].is_valid:
+                if host not in fixed:
+                    if len(fixed) >= CACHE:
+                        fixed.clear()
+                    fixed[host] = frozenset(known[i].values.to_numpy().view(np.uint64).tolist())
+                same = fixed[host]
+            texts.append("\n".join(t for _, key, t in units(parse(source)) if key not in same))
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
              pa.array(np.array([len(t) for t in texts], np.int64))], ["page_id", "url", "text", "n_chars"])
@@ -275,9 +261,10 @@ def _extract(batches):
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     side = cut(wrappers(pages)).select(F.col("host").alias("w_host"), "wrapper")
-    weight = side.agg(F.coalesce(F.sum(F.length("wrapper") + 64), F.lit(0))).first()[0]
+    weight = side.agg(F.coalesce(F.sum(8 * F.size("wrapper") + 64), F.lit(0))).first()[0]
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
-                        F.col("html").cast("string").alias("html"), host_of("url").alias("host"))
+                        F.col("html").cast("string").alias("html"), host_of("url").alias("name"))
+    rows = rows.withColumn("host", F.when(F.col("name").isNotNull(), F.xxhash64("name"))).drop("name")
     joined = rows.join(F.broadcast(side) if weight <= BROADCAST_BYTES else side, F.col("host") == F.col("w_host"), "left")
     return (joined.select("page_id", "url", "html", "host", "wrapper")
             .mapInArrow(_extract, "page_id long, url string, text string, n_chars long"))

@@ -109,6 +109,34 @@ def test_extraction_whole_article(spark):
         assert r.text == "\n".join(x for x in (" ".join(html.unescape(p).split()) for p in parts) if x)
 
 
+def test_extraction_counts_all_pages(spark):
+    rows, want = [], {}
+
+    def page(host, body, text):
+        want[len(rows)] = text
+        rows.append((len(rows), f"http://{host}/{len(rows)}", f"<html><body>{body}</body></html>"))
+
+    lead = "As agreed " * 30
+    for i in range(40):  # a status that is the same on most pages, its own text on some; two layouts
+        state = "open" if i % 4 else f"state {i}"
+        page("a.org", f'<div class="s">{state}</div><div class="t"><p>text {i}</div>', (f"{state}\n" if i % 4 == 0 else "") + f"text {i}")
+        if i < 12:
+            page("a.org", f'<table class="l"><td>Second</td></table><div class="u"><p>more {i}</div>', f"more {i}")
+    for i in range(40):  # hundreds of copies of one page
+        page("b.org", '<div class="t"><p>copied text</div>', "copied text")
+        if i < 5:
+            page("b.org", f'<div class="t"><p>own {i}</div>', f"own {i}")
+    for i in range(6):  # the same 200 characters first, siblings that differ; a constant sibling
+        page("c.org", f'<div class="t"><p>{lead}{i}<p>Licence<p>next {i}</div>', f"{lead}{i}\nnext {i}")
+    for i in range(6):  # main around the whole layout
+        page("d.org", f'<main><div class="x">Start Shop</div><article><p>Article {i}</article><p>Tell others</main>', f"Article {i}")
+    for i in range(40):  # copies of an article among others, not their template
+        page("e.org", f'<div class="n{i}">{i}</div><article><p>{"Same article" if i % 8 else f"Article {i}"}</article>',
+             "Same article" if i % 8 else f"Article {i}")
+    got = extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want
+
+
 def test_tree_matching():
     a = (["#root", "x", "y", "z"], [[1, 2, 3], [], [], []])
     b = (["#root", "y", "z", "x"], [[1, 2, 3], [], [], []])
