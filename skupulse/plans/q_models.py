@@ -14,8 +14,10 @@ from skupulse.functions.exprs import clean_orders
 from skupulse.operators import clicks as ck
 from skupulse.operators import evaluate as ev
 from skupulse.operators import features as fe
+from skupulse.operators import forecast as fc
 from skupulse.operators import models as md
 from skupulse.operators import panel
+from skupulse.operators.grid import union_all
 from skupulse.plans.oracle import sql
 from skupulse.plans.q_demand import SKUFEAT_COLS
 from skupulse.plans.q_features import _panel
@@ -130,24 +132,82 @@ CANDIDATES = {
 }
 
 
-def _direct_fit(spark, sf_dir, name):
-    i = Inputs(spark, sf_dir)
-    m = i.dmat()
-    train = m.filter(F.col("date") <= F.lit(config.TRAIN_END))
-    test = m.filter(F.col("date") >= F.lit(config.TEST_START))
+CLUSTER_FEATURES = [c for c in DIRECT_FEATURES if c != "warehouse" and not c.startswith("wh_")]
+
+
+def _fit(train, rows, features, name):
+    """(model, predicted rows, feature names) of one learned candidate."""
     spec = CANDIDATES[name]
     if spec["kind"] in ("linear", "ridge", "lasso"):
-        nums = [c for c in DIRECT_FEATURES if c not in md.CATEGORICAL]
+        nums = [c for c in features if c not in md.CATEGORICAL]
         tr0 = train.fillna(0.0, subset=nums)
         stats = md.scale_stats(tr0, nums)
         train = md.zscore(tr0, nums, stats)
-        test = md.zscore(test.fillna(0.0, subset=nums), nums, stats)
-    model, pred, names = md.fit_predict(train, test, DIRECT_FEATURES, spec, numeric_impute="zero")
+        rows = md.zscore(rows.fillna(0.0, subset=nums), nums, stats)
+    return md.fit_predict(train, rows, features, spec, numeric_impute="zero")
+
+
+def _direct_fit(spark, sf_dir, name):
+    i = Inputs(spark, sf_dir)
+    m = i.dmat()
+    train = m.filter(F.col("date") <= F.lit(config.TRAIN_END))
+    test = m.filter(F.col("date") >= F.lit(config.TEST_START))
+    model, pred, names = _fit(train, test, DIRECT_FEATURES, name)
     out = pred.select("date", "warehouse", "sku_cluster_ID", "demand", "predicted_demand",
                       F.lit(f"direct_warehouse__{name}").alias("model_id"), F.lit(name).alias("model_name"))
     return model, out, names
 
 
+def _candidate_predictions(i, start, end, last):
+    """All 18 ids, the four rules and the five learned candidates, direct
+    and by cluster; the learned ones are fitted on the days up to ``last``."""
+    def learned(job):
+        frame, keys, features, name = job
+        pred = _fit(frame.filter(F.col("date") <= F.lit(last)),
+                    frame.filter(F.col("date").between(F.lit(start), F.lit(end))), features, name)[1]
+        return pred.select("date", *keys, F.lit(name).alias("model_name"), "predicted_demand")
+
+    direct, cluster = (i.dmat(), fc.KEYS, DIRECT_FEATURES), (i.cmat(), ["sku_cluster_ID"], CLUSTER_FEATURES)
+    done = md._parallel(learned, [(*level, name) for level in (direct, cluster) for name in CANDIDATES], 4)
+    family = F.when(F.col("model_name").isin("random_forest", "gradient_boosting"), "tree").otherwise("linear")
+    shares = fc.allocation_shares(i.train.filter(F.col("date") <= F.lit(last)))
+    half = len(CANDIDATES)
+    direct = fc.tag(union_all(done[:half]), "direct_warehouse", "direct warehouse-cluster")
+    alloc = fc.tag(fc.allocate(materialize(union_all(done[half:])), shares, i.wh, i.clusters), "cluster_to_warehouse",
+                   "cluster total then warehouse allocation")
+    rules = i.predictions(start, end, last)
+    both = direct.unionByName(alloc).withColumn("family", family)
+    return materialize(rules.unionByName(both.select(*rules.columns)))
+
+
+def _candidate_summary(i, valid):
+    if valid:
+        actual, span = i.train.filter(F.col("date") >= F.lit(config.VALID_START)), (config.VALID_START, config.VALID_END, config.INNER_TRAIN_END)
+    else:
+        actual, span = i.test, (config.TEST_START, config.TEST_END, config.TRAIN_END)
+    return materialize(ev.model_summary(ev.join_actual(actual, _candidate_predictions(i, *span), i.cprice())))
+
+
+@query("candidate_selection")
+def q_candidate_selection(spark, sf_dir):
+    """M14+E6: validation screening and selection among all 18 candidates
+    (``model_selection`` and its SQL rank the rules alone)."""
+    return ev.model_selection(_candidate_summary(Inputs(spark, sf_dir), True))
+
+
+@query("candidate_comparison")
+def q_candidate_comparison(spark, sf_dir):
+    """M14+E7: validation vs test metrics of all 18 candidates."""
+    i = Inputs(spark, sf_dir)
+    return ev.model_comparison(_candidate_summary(i, True), _candidate_summary(i, False))
+
+
+@query("best_learned")
+def q_best_learned(spark, sf_dir):
+    """M14+E8: the learned candidate with the lowest test WAPE, then RMSE."""
+    return ev.best_learned(_candidate_summary(Inputs(spark, sf_dir), False))
+
+
 def _register_candidate(key, name):
     @query(key)
     def q(spark, sf_dir):
@@ -189,29 +249,40 @@ def _expanded_names(model, names):
     return out
 
 
-@query("model_grid")
-def q_model_grid(spark, sf_dir):
-    """M8+M13+E1: feature sets A-F x (lag-1 baseline, linear, ridge) on the
-    warehouse model frame; MAE/RMSE/WAPE/MAPE on the test split."""
+def _grid(spark, sf_dir):
+    """(feature set, model, predicted test rows) of the whole grid."""
     t = bind(spark, sf_dir)
     c2o = fe.cluster_clicks_funnel(ck.click_to_order(ck.first_orders(t.funnel_orders()), t.clicks()), t.clusters())
     frame = materialize(fe.feature_frame(_panel(spark, sf_dir), c2o))
     train = frame.filter(F.col("dataset_split") == "train")
     test = frame.filter(F.col("dataset_split") == "test")
-    results = []
-    for set_name, cols in fe.feature_sets(True).items():
-        base = test.withColumn("predicted_demand", F.coalesce("lag_1_demand", F.lit(0.0)))
-        results.append(ev.forecast_metrics(base).withColumns({"feature_set": F.lit(set_name),
-                                                              "model": F.lit("baseline_lag1")}))
-        scaled, scaled_test = md.standardise(train, test, cols)
-        for mname in ("linear_regression", "ridge_regression"):
-            _, pred, _ = md.fit_predict(scaled, scaled_test, cols, md.MODEL_GRID[mname], clip=False)
-            results.append(ev.forecast_metrics(pred).withColumns({"feature_set": F.lit(set_name),
-                                                                  "model": F.lit(mname)}))
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out
+
+    def run(job):
+        set_name, cols, mname = job
+        spec = md.MODEL_GRID[mname]
+        if spec is None:
+            return set_name, mname, test.withColumn("predicted_demand", F.coalesce("lag_1_demand", F.lit(0.0)))
+        pair = md.standardise(train, test, cols) if spec["kind"] in ("linear", "ridge") else (train, test)
+        return set_name, mname, md.fit_predict(*pair, cols, spec, clip=False)[1]
+
+    return md._parallel(run, [(s, cols, m) for s, cols in fe.feature_sets(True).items() for m in md.MODEL_GRID], 4)
+
+
+@query("model_grid")
+def q_model_grid(spark, sf_dir):
+    """M8+M13+E1: feature sets A-F x (lag-1 baseline, linear, ridge, forest,
+    boosted trees) on the warehouse model frame; MAE/RMSE/WAPE/MAPE on the
+    test split."""
+    return union_all([ev.forecast_metrics(pred).withColumns({"feature_set": F.lit(s), "model": F.lit(m)})
+                      for s, m, pred in _grid(spark, sf_dir)])
+
+
+@query("model_grid_predictions")
+def q_model_grid_predictions(spark, sf_dir):
+    """Test-split predictions of every cell of the grid."""
+    return union_all([pred.select("date", fe.WAREHOUSE, fe.CLUSTER, "demand", "predicted_demand",
+                                  F.lit(s).alias("feature_set"), F.lit(m).alias("model"))
+                      for s, m, pred in _grid(spark, sf_dir)])
 
 
 @query("best_vs_baselines")
