@@ -1,11 +1,28 @@
-"""Registered queries of the ten operators, and their SQL where SQL can say it."""
+"""Registered queries of the operators, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
 
-from skupulse.llm import ann, extract, jaccard, langid, mixing, packing, quality, secrets, toxic, urls
-from skupulse.llm.common import read
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skupulse.llm import (
+    ann,
+    extract,
+    jaccard,
+    langid,
+    mixing,
+    packing,
+    periodic,
+    quality,
+    secrets,
+    tokenfile,
+    toxic,
+    urls,
+    whitening,
+)
+from skupulse.llm.common import read, shared_folder
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,8 +66,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(read(spark, sf_dir, "embeddings"), most=4)
+    # sums beyond a long (from some millions of vectors on) are null here, exact in the operator
+    return found.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.find_runs(periodic.repeat_some(read(spark, sf_dir, "documents"))))
+
+
+def op13_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    tokenfile.write(read(spark, sf_dir, "documents"), folder)
+    return tokenfile.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_html_extraction, op3_source_mix, op4_secret_scan, op5_nearest_neighbours, op6_url_filter,
-    op7_packing, op8_toxicity, op9_jaccard_join, op10_quality_rules)}
+    op7_packing, op8_toxicity, op9_jaccard_join, op10_quality_rules, op11_embedding_whitening, op12_periodic_runs,
+    op13_token_output)}
 
 ORACLES = {"op6_url_filter": urls.ORACLE, "op10_quality_rules": quality.ORACLE}
