@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from skupulse.functions.exprs import hours_between, nullif
 from skupulse.operators.grid import attach_one_row
+from skupulse.operators.order_stats import with_percentiles
+from skupulse.session import share
 
 
 def delivery_rollup(delivery: DataFrame) -> DataFrame:
@@ -49,28 +51,40 @@ def order_mart(orders: DataFrame, delivery: DataFrame, inventory: DataFrame, sku
     return m.drop("promise", "sku_type")
 
 
+def _by_fulfillment() -> dict:
+    """Lead times of cross and local order lines, as columns."""
+    lt = F.col("lead_time_hours")
+    return {"cross": F.when(F.col("cross_fulfill") == 1, lt), "local": F.when(F.col("cross_fulfill") == 0, lt)}
+
+
 def fulfillment_summary(mart: DataFrame) -> DataFrame:
     """A40 scalars: cross rate, lead time mean / median, delay penalty
     (cross - local) of mean and median lead time."""
-    lt = F.col("lead_time_hours")
-    loc, crs = F.col("cross_fulfill") == 0, F.col("cross_fulfill") == 1
-    return mart.agg(
-        F.avg("cross_fulfill").alias("cross_fulfillment_rate"),
-        F.avg(lt).alias("lead_time_mean_hours"),
-        F.percentile(lt, F.lit(0.5)).alias("lead_time_median_hours"),
-        (F.avg(F.when(crs, lt)) - F.avg(F.when(loc, lt))).alias("delay_penalty_mean_hours"),
-        (F.percentile(F.when(crs, lt), F.lit(0.5)) - F.percentile(F.when(loc, lt), F.lit(0.5)))
-        .alias("delay_penalty_median_hours"),
-    )
+    x = share(mart.select("cross_fulfill", "lead_time_hours"))
+    by = _by_fulfillment()
+    a = x.agg(F.avg("cross_fulfill").alias("cross_fulfillment_rate"),
+              F.avg("lead_time_hours").alias("lead_time_mean_hours"),
+              (F.avg(by["cross"]) - F.avg(by["local"])).alias("delay_penalty_mean_hours"))
+    q = with_percentiles(a, x, by | {"all": F.col("lead_time_hours")}, [0.5])
+    return q.select("cross_fulfillment_rate", "lead_time_mean_hours", F.col("_q_all")[0].alias("lead_time_median_hours"),
+                    "delay_penalty_mean_hours",
+                    (F.col("_q_cross")[0] - F.col("_q_local")[0]).alias("delay_penalty_median_hours"))
 
 
 def lead_time_by_fulfillment(mart: DataFrame) -> DataFrame:
-    """Lead-time count / mean / median / std and late rate, local vs cross."""
+    """Lead-time count / mean / median / std and late rate, local vs cross
+    (unknown counts as local)."""
     m = mart.filter(F.col("lead_time_hours").isNotNull())
-    return m.groupBy(F.when(F.col("cross_fulfill") == 1, "cross").otherwise("local").alias("fulfillment")).agg(
-        F.count(F.lit(1)).alias("count"), F.avg("lead_time_hours").alias("mean"),
-        F.percentile("lead_time_hours", F.lit(0.5)).alias("median"), F.stddev_samp("lead_time_hours").alias("std"),
+    x = share(m.select(F.when(F.col("cross_fulfill") == 1, "cross").otherwise("local").alias("fulfillment"),
+                       "lead_time_hours", "late_delivery"))
+    a = x.groupBy("fulfillment").agg(
+        F.count(F.lit(1)).alias("count"), F.avg("lead_time_hours").alias("mean"), F.stddev_samp("lead_time_hours").alias("std"),
         F.count("late_delivery").alias("late_count"), F.avg("late_delivery").alias("late_rate"))
+    by = {k: F.when(F.col("fulfillment") == k, F.col("lead_time_hours")) for k in ("cross", "local")}
+    q = with_percentiles(a, x, by, [0.5])   # two rows
+    return q.select("fulfillment", "count", "mean",
+                    F.when(F.col("fulfillment") == "cross", F.col("_q_cross")[0]).otherwise(F.col("_q_local")[0]).alias("median"),
+                    "std", "late_count", "late_rate")
 
 
 def cross_rate_by_inventory(mart: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from skupulse import config
 from skupulse.operators.grid import attach_one_row, dim_product
+from skupulse.operators.order_stats import exact_percentiles
+from skupulse.session import share
 
 
 # ----------------------------------------------------------------- prices
@@ -188,8 +190,9 @@ def route_inputs(route_tbl: DataFrame, universe: DataFrame) -> DataFrame:
     block (24 h if none)."""
     u1 = universe.select(F.col("warehouse").alias("dc_ori"))
     u2 = universe.select(F.col("warehouse").alias("dc_des"))
-    block = dim_product([u1, u2]).join(route_tbl, ["dc_ori", "dc_des"], "left")
-    med = block.agg(F.coalesce(F.percentile("t_nm", F.lit(0.5)), F.lit(config.DEFAULT_ROUTE_HOURS)).alias("_med"))
+    block = share(dim_product([u1, u2]).join(route_tbl, ["dc_ori", "dc_des"], "left"))
+    med = exact_percentiles(block, ["t_nm"], [0.5]).select(
+        F.coalesce(F.col("t_nm")[0], F.lit(config.DEFAULT_ROUTE_HOURS)).alias("_med"))
     out = attach_one_row(block.filter(F.col("dc_ori") != F.col("dc_des")), med)
     return out.select(F.col("dc_ori").alias("source_warehouse"), F.col("dc_des").alias("destination_warehouse"),
                       F.coalesce("r_nm", F.lit(0)).alias("route_feasible"),

@@ -1,17 +1,17 @@
 """Descriptive statistics.
 
-Exact percentiles use Spark's ``percentile`` aggregate: its buffer is a
-value -> count map merged map side, so memory follows the number of
-distinct values, not rows.  ``approx=True`` switches to the mergeable
-``percentile_approx`` sketch for unbounded high-cardinality inputs.
+Percentiles are exact and distributed (``order_stats``); the value columns are
+written once and read by the sketch, the counts and the other aggregates.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skupulse.functions.exprs import bool_rate
+from skupulse.operators.order_stats import with_percentiles
+from skupulse.session import share
 
 
 def pct_name(p: float) -> str:
@@ -19,40 +19,27 @@ def pct_name(p: float) -> str:
     return f"p{int(v)}" if abs(v - round(v)) < 1e-9 else f"p{str(v).replace('.', '_')}"
 
 
-def percentiles(c: str, ps: list[float], approx: bool = False) -> Column:
-    x = F.col(c).cast("double")
-    if approx:
-        return F.percentile_approx(x, ps, 100_000)
-    return F.percentile(x, F.array(*[F.lit(p) for p in ps]))
-
-
-def median(c: str, approx: bool = False) -> Column:
-    x = F.col(c).cast("double")
-    return F.percentile_approx(x, 0.5, 100_000) if approx else F.percentile(x, F.lit(0.5))
+def describe(df: DataFrame, c: str, ps: list[float]) -> DataFrame:
+    """count/mean/std/min/percentiles/max of one column (one row)."""
+    x = share(df.select(c))
+    a = x.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
+              F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"))
+    return with_percentiles(a, x, [c], ps).select(
+        "count", "mean", "std", "min", *[F.col(f"_q_{c}")[i].alias(pct_name(p)) for i, p in enumerate(ps)], "max")
 
 
-def describe(df: DataFrame, c: str, ps: list[float], approx: bool = False) -> DataFrame:
-    """count/mean/std/min/percentiles/max of one column (one row)."""
-    a = df.agg(
-        F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-        F.min(c).cast("double").alias("min"), percentiles(c, ps, approx).alias("_p"),
-        F.max(c).cast("double").alias("max"))
-    return a.select("count", "mean", "std", "min",
-                    *[F.col("_p")[i].alias(pct_name(p)) for i, p in enumerate(ps)], "max")
+ACTIVITY = ["total_clicks", "active_days", "active_span_days", "unique_skus", "top_sku_share"]
 
 
-def behavior_summary(beh: DataFrame, approx: bool = False) -> DataFrame:
+def behavior_summary(beh: DataFrame) -> DataFrame:
     """Medians of activity columns, % single channel, % top share = 1."""
-    return beh.agg(
-        median("total_clicks", approx).alias("median_total_clicks"),
-        median("active_days", approx).alias("median_active_days"),
-        median("active_span_days", approx).alias("median_active_span_days"),
-        median("unique_skus", approx).alias("median_unique_skus"),
-        median("top_sku_share", approx).alias("median_top_sku_share"),
+    x = share(beh.select(*ACTIVITY, "unique_channels"))
+    a = x.agg(
         (100 * bool_rate(F.col("unique_channels") == 1)).alias("pct_single_channel"),
         (100 * bool_rate(F.col("top_sku_share") == 1)).alias("pct_top_sku_share_one"),
-        F.count(F.lit(1)).alias("users"),
-    )
+        F.count(F.lit(1)).alias("users"))
+    return with_percentiles(a, x, ACTIVITY, [0.5]).select(
+        *[F.col(f"_q_{c}")[0].alias(f"median_{c}") for c in ACTIVITY], *a.columns)
 
 
 def users_by_label(df: DataFrame, label_col: str, labels: list[str]) -> DataFrame:
@@ -93,13 +80,16 @@ def variance_metrics(df: DataFrame, keys: list[str], value: str = "demand") -> D
     return s.withColumn("cv", F.try_divide(F.col("std"), F.nullif(F.col("mean"), F.lit(0))))
 
 
-def variance_summary(stats: DataFrame, approx: bool = False) -> DataFrame:
+def variance_summary(stats: DataFrame) -> DataFrame:
     """Cv mean / median, share cv < 0.1 and < 0.2 (null = false, T4),
     mean / median of means, largest group maximum."""
-    return stats.agg(
-        F.avg("cv").alias("cv_mean"), median("cv", approx).alias("cv_median"),
+    x = share(stats.select("cv", "mean", "max"))
+    a = x.agg(
+        F.avg("cv").alias("cv_mean"),
         bool_rate(F.col("cv") < 0.1).alias("share_cv_lt_0_1"),
         bool_rate(F.col("cv") < 0.2).alias("share_cv_lt_0_2"),
-        F.avg("mean").alias("mean_of_means"), median("mean", approx).alias("median_of_means"),
-        F.max("max").alias("max_demand"), F.count(F.lit(1)).alias("groups"),
-    )
+        F.avg("mean").alias("mean_of_means"),
+        F.max("max").alias("max_demand"), F.count(F.lit(1)).alias("groups"))
+    return with_percentiles(a, x, ["cv", "mean"], [0.5]).select(
+        "cv_mean", F.col("_q_cv")[0].alias("cv_median"), "share_cv_lt_0_1", "share_cv_lt_0_2", "mean_of_means",
+        F.col("_q_mean")[0].alias("median_of_means"), "max_demand", "groups")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -77,3 +78,12 @@ def materialize(df):
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def share(df):
+    """Write ``df`` once as a columnar table in the shared checkpoint folder and
+    read it back: several branches of a plan scan it, each only the columns and
+    row groups that it needs."""
+    path = f"{checkpoint_dir(df.sparkSession)}/shared-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
