@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from skupulse import config
 from skupulse.functions.exprs import finite_or_zero
 from skupulse.operators.grid import attach_one_row, date_spine, densify, dim_product, union_all
+from skupulse.session import share
 from skupulse.sources.fixtures import shift_click_date
 
 # Autoregressive lags and rolling windows of the model features.
@@ -35,30 +36,43 @@ def _mapped(lines: DataFrame, mapping: DataFrame) -> DataFrame:
     return lines.join(m, "sku_ID", "inner")
 
 
-def opt_panels(lines: DataFrame, mapping: DataFrame, train=(config.TRAIN_START, config.TRAIN_END),
-               test=(config.TEST_START, config.TEST_END)):
+def panel_facts(lines: DataFrame, mapping: DataFrame, start=config.TRAIN_START, end=config.TEST_END) -> DataFrame:
+    """Demand by (date, warehouse, cluster) of the mapped lines, written once:
+    panels, dimension sets and the warehouse universe are read off it."""
+    m = _mapped(lines, mapping).filter(F.col("order_date").between(F.lit(start), F.lit(end)))
+    return share(m.groupBy(F.col("order_date").alias("date"), F.col("dc_des").alias("warehouse"), "sku_cluster_ID")
+                 .agg(F.sum("quantity").alias("demand")))
+
+
+def facts_warehouses(facts: DataFrame, start=config.TRAIN_START, end=config.TEST_END) -> DataFrame:
+    """Warehouses with mapped lines in [start, end]."""
+    return (facts.filter(F.col("date").between(F.lit(start), F.lit(end)) & F.col("warehouse").isNotNull())
+            .select("warehouse").distinct())
+
+
+def facts_panels(facts: DataFrame, mapping: DataFrame, train=(config.TRAIN_START, config.TRAIN_END),
+                 test=(config.TEST_START, config.TEST_END)):
     """D2 + D3: train panel over train-observed warehouses x mapped clusters;
     test panel aligned to the train clusters over train- or test-observed
     warehouses.  Returns (train, test, full) with (date, warehouse,
     sku_cluster_ID, demand)."""
-    m = _mapped(lines, mapping)
-    tr = m.filter(F.col("order_date").between(F.lit(train[0]), F.lit(train[1])))
-    te = m.filter(F.col("order_date").between(F.lit(test[0]), F.lit(test[1])))
     clusters = mapping.select("sku_cluster_ID").filter(F.col("sku_cluster_ID").isNotNull()).distinct()
-    wh_train = tr.select(F.col("dc_des").alias("warehouse")).filter(F.col("warehouse").isNotNull()).distinct()
-    wh_all = (m.filter(F.col("order_date").between(F.lit(train[0]), F.lit(test[1])))
-              .select(F.col("dc_des").alias("warehouse")).filter(F.col("warehouse").isNotNull()).distinct())
 
-    def build(lines_, wh, span):
-        facts = lines_.groupBy(F.col("order_date").alias("date"), F.col("dc_des").alias("warehouse"),
-                               "sku_cluster_ID").agg(F.sum("quantity").alias("demand"))
-        return densify(facts, dim_product([wh, clusters]), "date", span[0], span[1], ["demand"], KEYS)
+    def build(wh, span):
+        own = facts.filter(F.col("date").between(F.lit(span[0]), F.lit(span[1])))
+        return densify(own, dim_product([wh, clusters]), "date", span[0], span[1], ["demand"], KEYS)
 
-    train_p = build(tr, wh_train, train)
-    test_p = build(te, wh_all, test)
+    train_p = build(facts_warehouses(facts, *train), train)
+    test_p = build(facts_warehouses(facts, train[0], test[1]), test)
     return train_p, test_p, train_p.unionByName(test_p)
 
 
+def opt_panels(lines: DataFrame, mapping: DataFrame, train=(config.TRAIN_START, config.TRAIN_END),
+               test=(config.TEST_START, config.TEST_END)):
+    """The panels of order lines (see ``facts_panels``)."""
+    return facts_panels(panel_facts(lines, mapping, train[0], test[1]), mapping, train, test)
+
+
 def warehouse_universe(lines: DataFrame, mapping: DataFrame, start=config.TRAIN_START,
                        end=config.TEST_END) -> DataFrame:
     m = _mapped(lines, mapping).filter(F.col("order_date").between(F.lit(start), F.lit(end)))

@@ -51,6 +51,12 @@ def order_mart(orders: DataFrame, delivery: DataFrame, inventory: DataFrame, sku
     return m.drop("promise", "sku_type")
 
 
+def line_lead_times(orders: DataFrame, delivery: DataFrame) -> DataFrame:
+    """order_date, dc_ori, dc_des and lead_time_hours of each order line."""
+    m = orders.join(delivery_rollup(delivery), "order_ID", "left")
+    return m.select("order_date", "dc_ori", "dc_des", hours_between("order_time", "arr_dt").alias("lead_time_hours"))
+
+
 def _by_fulfillment() -> dict:
     """Lead times of cross and local order lines, as columns."""
     lt = F.col("lead_time_hours")

@@ -10,7 +10,8 @@ from skupulse.operators import panel, stats
 from skupulse.operators.ordered import histogram
 from skupulse.plans.oracle import cte, sql
 from skupulse.plans.registry import query
-from skupulse.sources.fixtures import bind, clicks_daily_shifted, clusters_alt
+from skupulse.session import share
+from skupulse.sources.fixtures import DEMAND_COLUMNS, bind, clicks_daily_shifted, clusters_alt
 
 cte("daily_region", """
 select o.sku_ID, o.order_date as date, n.region_ID as region_id, sum(o.quantity) as demand
@@ -27,7 +28,7 @@ _PCTS = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
 def _daily(spark, sf_dir, key):
     t = bind(spark, sf_dir)
-    return panel.daily_demand(t.orders(), t.network(), key)
+    return panel.daily_demand(t.orders(columns=["sku_ID", "order_date", "dc_des", "quantity"]), t.network(), key)
 
 
 def _sparsity_sql(tbl, key):
@@ -171,7 +172,7 @@ select sku_ID, order_date, round(daily_demand, 6) as daily_demand, round(avg_fin
 from daily_sku_all""", "daily_sku_all"))
 def q_daily_sku(spark, sf_dir):
     """Daily SKU aggregate over all order lines."""
-    return panel.daily_sku(clean_orders(bind(spark, sf_dir).orders()))
+    return panel.daily_sku(clean_orders(bind(spark, sf_dir).orders(columns=DEMAND_COLUMNS)))
 
 
 @query("sku_features_price", sql("""
@@ -187,7 +188,8 @@ from f cross join s left join c on f.sku_ID = c.sku_ID""", "daily_sku_all", "cli
 def q_sku_features_price(spark, sf_dir):
     """SKU price/promo features (+ mean daily clicks on the dense grid)."""
     t = bind(spark, sf_dir)
-    return panel.sku_price_features(panel.daily_sku(clean_orders(t.orders())), clicks_daily_shifted(t.clicks()))
+    daily = share(panel.daily_sku(clean_orders(t.orders(columns=DEMAND_COLUMNS))))
+    return panel.sku_price_features(daily, clicks_daily_shifted(t.clicks()))
 
 
 cte("skufeat", """
@@ -223,7 +225,9 @@ SKUFEAT_COLS = ["mean_daily_demand", "std_daily_demand", "zero_rate", "mean_dail
 def q_sku_features_demand(spark, sf_dir):
     """SKU demand-shape + price + click features on the train window."""
     t = bind(spark, sf_dir)
-    lines = panel.in_range(clean_orders(t.window_orders(), clip_quantity=True), config.TRAIN_START, config.TRAIN_END)
+    lines = share(panel.in_range(clean_orders(t.window_orders(DEMAND_COLUMNS), clip_quantity=True),
+                                 config.TRAIN_START, config.TRAIN_END).select(
+        "sku_ID", "order_date", "dc_des", "quantity", "final_unit_price", "total_discount_per_unit", "promo_line_flag"))
     return panel.sku_demand_features(lines, config.TRAIN_START, config.TRAIN_END, clicks_daily_shifted(t.clicks()))
 
 
@@ -271,7 +275,7 @@ _region_grid_cte("region_grid_b", "clusters_b")
 
 
 def _orders_all(spark, sf_dir):
-    return bind(spark, sf_dir).orders()
+    return bind(spark, sf_dir).orders(columns=["sku_ID", "dc_des", "order_date", "quantity"])
 
 
 @query("region_grid", sql("select order_date, region_ID, sku_cluster_ID, round(demand, 6) as demand from region_grid_a",
@@ -310,6 +314,6 @@ from region_grid_a_overall a, region_grid_b_overall b""", "region_grid_a_overall
 def q_scheme_recommendation(spark, sf_dir):
     """Compare two cluster schemes on the region panel."""
     t = bind(spark, sf_dir)
-    o = _orders_all(spark, sf_dir)
-    return panel.scheme_recommendation(panel.region_overall(o, t.clusters(), t.network()),
-                                       panel.region_overall(o, clusters_alt(spark, sf_dir), t.network()))
+    schemes = {"A": t.clusters(), "B": clusters_alt(spark, sf_dir)}
+    return panel.scheme_recommendation(panel.region_overalls(
+        panel.region_facts(_orders_all(spark, sf_dir), schemes, t.network())))

@@ -6,8 +6,9 @@ from skupulse import config
 from skupulse.operators import clicks as ck
 from skupulse.operators import features as fe
 from skupulse.plans.oracle import cte, sql
-from skupulse.plans.q_panel import test_grid, train_grid
+from skupulse.plans.q_panel import test_grid, train_grid, window_facts
 from skupulse.plans.registry import query
+from skupulse.session import share
 from skupulse.sources.fixtures import bind
 
 SHIFT = "date '1998-03-01' + cast(cast({c} as date) - date '2024-01-01' as integer)"
@@ -74,7 +75,8 @@ _velocity_cte("cvel_table", "cclicks_table")
 
 
 def _panel(spark, sf_dir):
-    return fe.panel_dataset(train_grid(spark, sf_dir), test_grid(spark, sf_dir))
+    facts = window_facts(spark, sf_dir)
+    return fe.panel_dataset(train_grid(spark, sf_dir, facts), test_grid(spark, sf_dir, facts))
 
 
 def _c2o(spark, sf_dir):
@@ -182,4 +184,4 @@ def q_feature_frame(spark, sf_dir):
     """The warehouse model frame (history, trends, clicks, calendar)."""
     t = bind(spark, sf_dir)
     clicks_daily = fe.cluster_clicks_funnel(_c2o(spark, sf_dir), t.clusters())
-    return fe.feature_frame(_panel(spark, sf_dir), clicks_daily)
+    return fe.feature_frame(share(_panel(spark, sf_dir)), share(clicks_daily))

@@ -10,8 +10,8 @@ from skupulse.operators import forecast as fc
 from skupulse.operators import params
 from skupulse.plans.oracle import cte, sql
 from skupulse.plans.registry import query
-from skupulse.session import materialize
-from skupulse.sources.fixtures import bind
+from skupulse.session import share
+from skupulse.sources.fixtures import DEMAND_COLUMNS, bind
 
 SHIFT = "date '1998-03-01' + cast(cast({c} as date) - date '2024-01-01' as integer)"
 LAGS, ROLLS = fc.AR_LAGS, fc.ROLL_WINDOWS
@@ -226,18 +226,41 @@ class Inputs:
 
     def __init__(self, spark, sf_dir):
         self.t = bind(spark, sf_dir)
-        self.lines = materialize(self.t.window_orders())
         self.mapping = self.t.clusters()
-        _, _, full = fc.opt_panels(self.lines, self.mapping)
-        # the dense panel is the hand-off between the data stage and the
-        # model stage: materialized once, split by date afterwards
-        self.full = materialize(full)
-        self.train = self.full.filter(F.col("date") <= F.lit(config.TRAIN_END))
-        self.test = self.full.filter(F.col("date") >= F.lit(config.TEST_START))
-        self.wh = fc.warehouse_universe(self.lines, self.mapping)
-        self.clusters = self.mapping.select("sku_cluster_ID").dropna().distinct()
         self._cache = {}
 
+    @property
+    def lines(self):
+        """The month's order lines with the columns that panels, contexts and
+        prices read; written once, columnar, when first asked for."""
+        return self._memo("lines", lambda: share(self.t.window_orders(DEMAND_COLUMNS)))
+
+    @property
+    def facts(self):
+        return self._memo("facts", lambda: fc.panel_facts(self.lines, self.mapping))
+
+    @property
+    def full(self):
+        """The dense panel, hand-off between the data stage and the model stage;
+        written once, split by date afterwards."""
+        return self._memo("full", lambda: share(fc.facts_panels(self.facts, self.mapping)[2]))
+
+    @property
+    def train(self):
+        return self.full.filter(F.col("date") <= F.lit(config.TRAIN_END))
+
+    @property
+    def test(self):
+        return self.full.filter(F.col("date") >= F.lit(config.TEST_START))
+
+    @property
+    def wh(self):
+        return fc.facts_warehouses(self.facts)
+
+    @property
+    def clusters(self):
+        return self.mapping.select("sku_cluster_ID").dropna().distinct()
+
     def _memo(self, key, fn):
         if key not in self._cache:
             self._cache[key] = fn()
@@ -252,11 +275,11 @@ class Inputs:
                                                                 config.WINDOW_END))
 
     def dmat(self):
-        return self._memo("dmat", lambda: materialize(fc.training_matrix(
+        return self._memo("dmat", lambda: share(fc.training_matrix(
             self.full, fc.KEYS, self.whctx().join(self.gctx(), "date", "left"), ["date", "warehouse"])))
 
     def cmat(self):
-        return self._memo("cmat", lambda: materialize(fc.training_matrix(
+        return self._memo("cmat", lambda: share(fc.training_matrix(
             fc.cluster_level_panel(self.full), ["sku_cluster_ID"], self.gctx(), ["date"])))
 
     def cprice(self):
@@ -270,7 +293,7 @@ class Inputs:
             shares = fc.allocation_shares(self.train.filter(F.col("date") <= F.lit(shares_last)))
             alloc = fc.tag(fc.allocate(cpred, shares, self.wh, self.clusters), "cluster_to_warehouse",
                            "cluster total then warehouse allocation")
-            return materialize(direct.unionByName(alloc))
+            return share(direct.unionByName(alloc))
         return self._memo(("pred", start, end, shares_last), build)
 
     def merged_test(self):
@@ -289,7 +312,7 @@ def _panels(spark, sf_dir):
 
 
 def _lines(spark, sf_dir):
-    return bind(spark, sf_dir).window_orders()
+    return bind(spark, sf_dir).window_orders(DEMAND_COLUMNS)
 
 
 # --------------------------------------------------------------- queries

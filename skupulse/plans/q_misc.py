@@ -12,6 +12,7 @@ from skupulse.plans import q_forecast  # noqa: F401  (registers CTEs)
 from skupulse.plans.oracle import cte, sql
 from skupulse.plans.q_forecast import Inputs
 from skupulse.plans.registry import query
+from skupulse.session import share
 from skupulse.sources.fixtures import bind
 
 # Metrics of the previous pipeline version (test week), as published.
@@ -276,8 +277,9 @@ from g left join d on g.date = d.date and g.warehouse = d.warehouse and g.sku_cl
 group by all""", "wh_grid_train", "wh_grid_test"))
 def q_demand_param_month(spark, sf_dir):
     """D_sj = mean daily demand over the month's dense panel."""
-    from skupulse.plans.q_panel import test_grid, train_grid
-    facts = train_grid(spark, sf_dir).unionByName(test_grid(spark, sf_dir)).select(
+    from skupulse.plans.q_panel import test_grid, train_grid, window_facts
+    shared = window_facts(spark, sf_dir)
+    facts = train_grid(spark, sf_dir, shared).unionByName(test_grid(spark, sf_dir, shared)).select(
         F.col("order_date").alias("date"), F.col("dc_des").alias("warehouse"), "sku_cluster_ID", "demand")
     return _month_mean(facts, "warehouse", "demand", "D_sj")
 
@@ -296,8 +298,8 @@ def q_inventory_param_month(spark, sf_dir):
     """I0_sj = mean daily in-stock rows (one unit each) per (cluster, dc)."""
     t = bind(spark, sf_dir)
     inv = t.inventory().filter(F.col("date").between(F.lit(config.WINDOW_START), F.lit(config.WINDOW_END)))
-    facts = inv.join(t.clusters(), "sku_ID").select("date", F.col("dc_ID").alias("warehouse"), "sku_cluster_ID",
-                                                     F.lit(1.0).alias("units"))
+    facts = share(inv.join(t.clusters(), "sku_ID").groupBy("date", F.col("dc_ID").alias("warehouse"), "sku_cluster_ID")
+                  .agg(F.count(F.lit(1)).cast("double").alias("units")))
     return _month_mean(facts, "warehouse", "units", "I0_sj")
 
 
@@ -307,7 +309,7 @@ from order_lines o join clusters c on o.sku_ID = c.sku_ID group by all""", "orde
 def q_sku_metrics_by_cluster(spark, sf_dir):
     """Total demand and mean price per (cluster, SKU)."""
     t = bind(spark, sf_dir)
-    return (panel.attach_cluster(t.orders(), t.clusters()).groupBy("sku_cluster_ID", "sku_ID")
+    return (panel.attach_cluster(t.orders(columns=["sku_ID", "quantity", "final_unit_price"]), t.clusters()).groupBy("sku_cluster_ID", "sku_ID")
             .agg(F.sum("quantity").alias("total_demand"), F.avg("final_unit_price").alias("mean_price")))
 
 
@@ -316,7 +318,7 @@ select order_date, region_ID, round(sum(demand), 6) as demand from region_grid_a
 def q_region_date_demand(spark, sf_dir):
     """Region x date demand (long form of the heat-map pivot)."""
     t = bind(spark, sf_dir)
-    g = panel.region_grid(t.orders(), t.clusters(), t.network())
+    g = panel.region_grid(t.orders(columns=["sku_ID", "dc_des", "order_date", "quantity"]), t.clusters(), t.network())
     return g.groupBy("order_date", "region_ID").agg(F.sum("demand").alias("demand"))
 
 
@@ -327,5 +329,5 @@ from region_grid_a group by all""", "region_grid_a"))
 def q_cluster_region_matrix(spark, sf_dir):
     """Cluster x region zero rate and cv (long form of the pivots)."""
     t = bind(spark, sf_dir)
-    m = panel.series_metrics(panel.region_grid(t.orders(), t.clusters(), t.network()), "region_ID", zero_fill=False)
+    m = panel.series_metrics(panel.region_grid(t.orders(columns=["sku_ID", "dc_des", "order_date", "quantity"]), t.clusters(), t.network()), "region_ID", zero_fill=False)
     return m.select("sku_cluster_ID", "region_ID", "zero_rate", "cv")

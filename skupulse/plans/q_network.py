@@ -11,7 +11,7 @@ from skupulse.operators import params
 from skupulse.plans.oracle import cte, sql
 from skupulse.plans import q_forecast  # noqa: F401  (registers the panel CTEs used below)
 from skupulse.plans.registry import query
-from skupulse.session import materialize
+from skupulse.session import share
 from skupulse.sources.fixtures import bind
 
 cte("mart", """
@@ -96,39 +96,66 @@ from w a cross join w b left join obs o on o.dc_ori = a.x and o.dc_des = b.x""",
 
 
 class NetInputs:
-    """Shared sub-plans of one network query.
+    """Shared inputs of one network query, each made when first asked for.
 
     The full-table order mart is lineitem-sized, so it is never written out:
-    capacity and the warehouse universe only need its per (dc, day) totals,
-    which are bounded by warehouses x days and are the one materialized
-    frame.  Routes and panels use a separate mart of the study window, whose
-    order filter is pushed into the scans."""
+    capacity and inventory only need its per (dc, day) totals, which are bounded
+    by warehouses x days and are written once.  The mart keeps every order line,
+    so its warehouses are those of the lines, and the warehouse universe needs no
+    mart.  Routes read the train window's lead times alone."""
 
-    def __init__(self, spark, sf_dir, materialize_mart: bool = True):
+    def __init__(self, spark, sf_dir):
         self.t = bind(spark, sf_dir)
-        self.orders = self.t.orders()
-        self.mart = nw.order_mart(self.orders, self.t.delivery(), self.t.inventory(), self.t.sku())
-        self.summary = nw.daily_sku_dc(self.mart)
-        dc_day = self.summary.groupBy("dc_des", "order_day").agg(
-            F.sum("n_orders").alias("n_orders"), F.sum("inventory").alias("inventory"))
-        self.dc_day = materialize(dc_day) if materialize_mart else dc_day
-        self.legacy = nw.capacity_legacy(self.dc_day)
-        self._materialize = materialize_mart
-        self._window_mart = None
-        lines = self.t.window_orders()
-        self.train, self.test, _ = fc.opt_panels(lines, self.t.clusters())
-        self.universe = params.warehouse_universe(fc.warehouse_universe(lines, self.t.clusters()),
-                                                  self.legacy, self.dc_day)
+        self._cache = {}
+
+    def _memo(self, key, fn):
+        if key not in self._cache:
+            self._cache[key] = fn()
+        return self._cache[key]
+
+    @property
+    def mart(self):
+        return nw.order_mart(self.t.orders(), self.t.delivery(), self.t.inventory(), self.t.sku())
+
+    @property
+    def summary(self):
+        return nw.daily_sku_dc(nw.order_mart(self.t.orders(), self.t.delivery(), self.t.inventory()))
+
+    @property
+    def dc_day(self):
+        return self._memo("dc_day", lambda: share(self.summary.groupBy("dc_des", "order_day").agg(
+            F.sum("n_orders").alias("n_orders"), F.sum("inventory").alias("inventory"))))
+
+    @property
+    def legacy(self):
+        return nw.capacity_legacy(self.dc_day)
 
     @property
-    def window_mart(self):
-        """Order mart of the study window (routes need lead times)."""
-        if self._window_mart is None:
-            w0, w1 = config.WINDOW_START, config.WINDOW_END
-            inv = self.t.inventory().filter(F.col("date").between(F.lit(w0), F.lit(w1)))
-            m = nw.order_mart(self.t.orders(w0, w1), self.t.delivery(w0, w1), inv, self.t.sku())
-            self._window_mart = materialize(m) if self._materialize else m
-        return self._window_mart
+    def facts(self):
+        """Demand by (date, warehouse, cluster) of the study window."""
+        return self._memo("facts", lambda: fc.panel_facts(
+            self.t.window_orders(["sku_ID", "order_date", "dc_des", "quantity"]), self.t.clusters()))
+
+    @property
+    def train(self):
+        return self._memo("train", lambda: fc.facts_panels(self.facts, self.t.clusters())[0])
+
+    @property
+    def universe(self):
+        """Warehouses of the panels, the capacity table and the daily summary;
+        the latter two are the warehouses of all order lines, the panels' among them."""
+        def build():
+            lines = self.dc_day if "dc_day" in self._cache else self.t.orders(columns=["dc_des"])
+            lines = lines.select(F.col("dc_des").cast("int").alias("warehouse"))
+            return share(lines.where("warehouse is not null").distinct())
+        return self._memo("universe", build)
+
+    @property
+    def lead_times(self):
+        """Route and lead time of each order line of the study window."""
+        w0, w1 = config.WINDOW_START, config.WINDOW_END
+        return self._memo("leads", lambda: share(nw.line_lead_times(
+            self.t.orders(w0, w1, ["order_ID", "order_date", "order_time", "dc_ori", "dc_des"]), self.t.delivery(w0, w1))))
 
 
 def _r(cols):
@@ -163,7 +190,7 @@ select round(avg(cross_fulfill), 6) as cross_fulfillment_rate, round(avg(lead_ti
 from mart""", "mart"))
 def q_fulfillment_summary(spark, sf_dir):
     """Cross-fulfilment rate, lead time, delay penalty."""
-    return nw.fulfillment_summary(NetInputs(spark, sf_dir, False).mart)
+    return nw.fulfillment_summary(NetInputs(spark, sf_dir).mart)
 
 
 @query("lead_time_by_fulfillment", sql("""
@@ -174,7 +201,7 @@ select case when cross_fulfill = 1 then 'cross' else 'local' end as fulfillment,
 from mart where lead_time_hours is not null group by 1""", "mart"))
 def q_lead_time_by_fulfillment(spark, sf_dir):
     """Lead-time stats and late rate, local vs cross."""
-    return nw.lead_time_by_fulfillment(NetInputs(spark, sf_dir, False).mart)
+    return nw.lead_time_by_fulfillment(NetInputs(spark, sf_dir).mart)
 
 
 @query("cross_rate_by_inventory", sql("""
@@ -182,7 +209,7 @@ select case when inv_available_at_dc_des = 1 then 'inv_record' else 'no_inv_reco
   count(*) as count, round(avg(cross_fulfill), 6) as cross_rate from mart group by 1""", "mart"))
 def q_cross_rate_by_inventory(spark, sf_dir):
     """Cross rate by inventory record at the destination DC."""
-    return nw.cross_rate_by_inventory(NetInputs(spark, sf_dir, False).mart)
+    return nw.cross_rate_by_inventory(NetInputs(spark, sf_dir).mart)
 
 
 @query("cross_fill_hours", sql("""
@@ -190,7 +217,7 @@ select dc_ori, dc_des, round(avg(cross_filling_hours), 6) as cross_filling_hours
 from mart where cross_filling_hours is not null group by all""", "mart"))
 def q_cross_fill_hours(spark, sf_dir):
     """Mean cross-filling hours per (origin, destination)."""
-    return nw.cross_fill_hours(NetInputs(spark, sf_dir, False).mart)
+    return nw.cross_fill_hours(NetInputs(spark, sf_dir).mart)
 
 
 @query("daily_sku_dc", sql(f"""
@@ -198,19 +225,19 @@ select sku_ID, dc_des, order_day, n_orders, inventory,
   {_r(['cross_rate', 'avg_lead_time_hours', 'late_delivery_rate', 'inv_available_at_dc_des'])} from dsd""", "dsd"))
 def q_daily_sku_dc(spark, sf_dir):
     """Daily SKU x DC fulfilment summary with inventory proxy."""
-    return NetInputs(spark, sf_dir, False).summary
+    return NetInputs(spark, sf_dir).summary
 
 
 @query("capacity_legacy", sql("select dc_des, capacity from caplegacy", "caplegacy"))
 def q_capacity_legacy(spark, sf_dir):
     """Legacy capacity = max daily orders per DC."""
-    return NetInputs(spark, sf_dir, False).legacy
+    return NetInputs(spark, sf_dir).legacy
 
 
 @query("warehouse_universe", sql("select warehouse from wuniv", "wuniv"))
 def q_warehouse_universe(spark, sf_dir):
     """A32+U2: warehouses of demand panels, capacity table and summary."""
-    return NetInputs(spark, sf_dir, False).universe
+    return NetInputs(spark, sf_dir).universe
 
 
 @query("capacity", sql("select warehouse, legacy_capacity, corrected_capacity, capacity_source, C_j from capacity_t",
@@ -218,7 +245,8 @@ def q_warehouse_universe(spark, sf_dir):
 def q_capacity(spark, sf_dir):
     """A29+J14: corrected capacity with legacy fallback."""
     i = NetInputs(spark, sf_dir)
-    return params.capacity(i.universe, i.legacy, i.dc_day)
+    day = i.dc_day   # written first: the universe is read off it
+    return params.capacity(i.universe, i.legacy, day)
 
 
 @query("procurement", sql("""
@@ -227,7 +255,7 @@ left join (select dc_ID as warehouse, max(cast(dc_ID = region_ID as integer)) as
   on u.warehouse = w.warehouse""", "wuniv", "network"))
 def q_procurement(spark, sf_dir):
     """Procurement eligibility W_j."""
-    i = NetInputs(spark, sf_dir, False)
+    i = NetInputs(spark, sf_dir)
     return params.procurement(i.t.network(), i.universe)
 
 
@@ -235,16 +263,19 @@ def q_procurement(spark, sf_dir):
                               "from invshare", "invshare"))
 def q_inventory_share(spark, sf_dir):
     """Cluster share of warehouse train demand."""
-    i = NetInputs(spark, sf_dir, False)
-    return params.inventory_share(i.train, i.universe, i.train.select("sku_cluster_ID").distinct())
+    i = NetInputs(spark, sf_dir)
+    train = share(i.train)
+    return params.inventory_share(train, i.universe, train.select("sku_cluster_ID").distinct())
 
 
 def _invparam(spark, sf_dir):
     i = NetInputs(spark, sf_dir)
-    share = params.inventory_share(i.train, i.universe, i.train.select("sku_cluster_ID").distinct())
+    i.dc_day   # written first: the universe is read off it
+    train = share(i.train)
+    shares = params.inventory_share(train, i.universe, train.select("sku_cluster_ID").distinct())
     wh = params.warehouse_daily_inventory(i.t.inventory(), i.dc_day, i.universe, config.WINDOW_START,
                                           config.WINDOW_END)
-    return params.inventory_parameters(wh, share)
+    return params.inventory_parameters(wh, shares)
 
 
 @query("inventory_param", sql(f"select sku_cluster_ID, warehouse, "
@@ -270,7 +301,8 @@ full join (select sku_cluster_ID, warehouse, avg(demand) as D_sj_test_actual fro
   on a.sku_cluster_ID = b.sku_cluster_ID and a.warehouse = b.warehouse""", "opt_train", "opt_test"))
 def q_demand_param(spark, sf_dir):
     """Mean demand per (cluster, warehouse), train and test."""
-    tr, te, _ = fc.opt_panels(bind(spark, sf_dir).window_orders(), bind(spark, sf_dir).clusters())
+    t = bind(spark, sf_dir)
+    tr, te, _ = fc.opt_panels(t.window_orders(["sku_ID", "order_date", "dc_des", "quantity"]), t.clusters())
     return params.demand_parameters(tr, te)
 
 
@@ -278,7 +310,7 @@ def q_demand_param(spark, sf_dir):
 def q_routes(spark, sf_dir):
     """Route lead time t_nm and existence r_nm (train window)."""
     i = NetInputs(spark, sf_dir)
-    return params.routes(i.window_mart, i.universe)
+    return params.routes(i.lead_times, i.universe)
 
 
 @query("route_inputs", sql("""
@@ -291,7 +323,7 @@ from b cross join m where dc_ori <> dc_des""", "wuniv", "routes_t"))
 def q_route_inputs(spark, sf_dir):
     """Feasible routes and lead times with median fallback."""
     i = NetInputs(spark, sf_dir)
-    return params.route_inputs(params.routes(i.window_mart, i.universe), i.universe)
+    return params.route_inputs(params.routes(i.lead_times, i.universe), i.universe)
 
 
 @query("order_composition", sql("""
@@ -304,7 +336,7 @@ from (select *, case when n_missing > 0 then 'contains_missing_sku_info' when n_
 group by composition""", "order_lines"))
 def q_order_composition(spark, sf_dir):
     """Orders by 1P/3P composition with shares."""
-    return nw.composition_counts(nw.order_composition(bind(spark, sf_dir).orders()))
+    return nw.composition_counts(nw.order_composition(bind(spark, sf_dir).orders(columns=["order_ID", "sku_ID", "type"])))
 
 
 @query("composition_by_size", sql("""
@@ -317,7 +349,7 @@ from (select *, case when n_missing > 0 then 'contains_missing_sku_info' when n_
 group by all""", "order_lines"))
 def q_composition_by_size(spark, sf_dir):
     """Composition counts by order size (distinct SKUs)."""
-    return nw.composition_by_size(nw.order_composition(bind(spark, sf_dir).orders()))
+    return nw.composition_by_size(nw.order_composition(bind(spark, sf_dir).orders(columns=["order_ID", "sku_ID", "type"])))
 
 
 @query("type_shares", sql("""
@@ -325,7 +357,7 @@ select coalesce(cast(type as varchar), 'MISSING') as sku_type, count(*) as order
   round_even(count(*) / sum(count(*)) over (), 3) as pct_rows from order_lines group by 1""", "order_lines"))
 def q_type_shares(spark, sf_dir):
     """Order rows and quantity by SKU type."""
-    return nw.type_shares(bind(spark, sf_dir).orders())
+    return nw.type_shares(bind(spark, sf_dir).orders(columns=["type", "quantity"]))
 
 
 @query("sku_attribute_profile", sql("""
@@ -351,7 +383,7 @@ from (
 def q_sku_attribute_profile(spark, sf_dir):
     """A45+J6: attribute profile of purchased SKUs."""
     t = bind(spark, sf_dir)
-    return nw.attribute_profile(nw.purchased_skus(t.sku(), t.orders()))
+    return nw.attribute_profile(nw.purchased_skus(t.sku(), t.orders(columns=["sku_ID"])))
 
 
 @query("top_brands", sql("""
@@ -361,4 +393,4 @@ group by 1 order by count desc, brand_ID limit 20""", "sku", "order_lines"))
 def q_top_brands(spark, sf_dir):
     """K2+A45: top 20 brands among purchased SKUs."""
     t = bind(spark, sf_dir)
-    return nw.top_values(nw.purchased_skus(t.sku(), t.orders()), "brand_ID", 20)
+    return nw.top_values(nw.purchased_skus(t.sku(), t.orders(columns=["sku_ID"])), "brand_ID", 20)

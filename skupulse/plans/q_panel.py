@@ -9,23 +9,28 @@ from skupulse.functions.exprs import clean_orders
 from skupulse.operators import panel
 from skupulse.plans.oracle import sql
 from skupulse.plans.registry import query
-from skupulse.sources.fixtures import bind
+from skupulse.session import share
+from skupulse.sources.fixtures import DEMAND_COLUMNS, bind
 
 
 def window_lines(spark, sf_dir):
-    return clean_orders(bind(spark, sf_dir).window_orders())
+    return clean_orders(bind(spark, sf_dir).window_orders(DEMAND_COLUMNS))
 
 
-def train_grid(spark, sf_dir):
-    t = bind(spark, sf_dir)
-    return panel.demand_grid(window_lines(spark, sf_dir), t.clusters(),
-                             config.TRAIN_START, config.TRAIN_END)
+def window_facts(spark, sf_dir):
+    """The month's demand by (date, warehouse, cluster): one scan for both splits."""
+    return panel.demand_facts(window_lines(spark, sf_dir), bind(spark, sf_dir).clusters(),
+                              config.WINDOW_START, config.WINDOW_END)
 
 
-def test_grid(spark, sf_dir):
-    t = bind(spark, sf_dir)
-    return panel.demand_grid(window_lines(spark, sf_dir), t.clusters(),
-                             config.TEST_START, config.TEST_END)
+def train_grid(spark, sf_dir, facts=None):
+    facts = window_facts(spark, sf_dir) if facts is None else facts
+    return panel.facts_grid(facts, bind(spark, sf_dir).clusters(), config.TRAIN_START, config.TRAIN_END)
+
+
+def test_grid(spark, sf_dir, facts=None):
+    facts = window_facts(spark, sf_dir) if facts is None else facts
+    return panel.facts_grid(facts, bind(spark, sf_dir).clusters(), config.TEST_START, config.TEST_END)
 
 
 @query("demand_grid_wh", sql(
@@ -98,9 +103,12 @@ left join (select sku_cluster_ID, avg(mean_demand) as avg_cluster_warehouse_dema
 """, "train_lines", "clusters", "series_flags"))
 def q_cluster_features(spark, sf_dir):
     """Per-cluster order features joined to demand shape."""
-    lines = window_lines(spark, sf_dir)
-    train = panel.in_range(lines, config.TRAIN_START, config.TRAIN_END)
-    return panel.cluster_features(train, bind(spark, sf_dir).clusters(), train_grid(spark, sf_dir))
+    train = share(panel.in_range(window_lines(spark, sf_dir), config.TRAIN_START, config.TRAIN_END).select(
+        "order_date", "sku_ID", "dc_des", "quantity", "final_unit_price", "original_unit_price", "total_discount_per_unit",
+        "promo_line_flag", "gift_rate_flag"))
+    clusters = bind(spark, sf_dir).clusters()
+    grid = panel.demand_grid(train, clusters, config.TRAIN_START, config.TRAIN_END)
+    return panel.cluster_features(train, clusters, grid)
 
 
 @query("split_meta", sql("""
@@ -121,6 +129,6 @@ from s left join n on s.order_date = n.order_date
 """, "win_lines"))
 def q_split_meta(spark, sf_dir):
     """D4+A56: distinct-date 24/7 split of the window and its metadata."""
-    lines = window_lines(spark, sf_dir)
+    lines = share(window_lines(spark, sf_dir).groupBy("order_date").agg(F.count(F.lit(1)).alias("lines")))   # one row per day
     split, _, _ = panel.split_by_distinct_dates(lines)
     return panel.split_meta(lines, split)

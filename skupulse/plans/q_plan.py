@@ -24,6 +24,7 @@ class PlanInputs:
     def __init__(self, spark, sf_dir, transfers: bool = True):
         f = Inputs(spark, sf_dir)
         n = NetInputs(spark, sf_dir)
+        n.dc_day   # written first: the universe is read off it
         self.prices = f.cprice()
         sel = ev.model_selection(ev.model_summary(f.merged_valid())).filter("is_selected = 1").select("model_id")
         pred = (f.predictions(fc.config.TEST_START, fc.config.TEST_END, fc.config.TRAIN_END)
@@ -35,15 +36,15 @@ class PlanInputs:
             F.col("predicted_demand").alias("demand"))
         oracle = f.test.select(F.lit("oracle").alias("scenario"), "date", "sku_cluster_ID", "warehouse", "demand")
         planning = pred.unionByName(lag1).unionByName(oracle)
-        share = params.inventory_share(f.train, n.universe, f.clusters)
+        shares = params.inventory_share(f.train, n.universe, f.clusters)
         wh = params.warehouse_daily_inventory(n.t.inventory(), n.dc_day, n.universe, fc.config.WINDOW_START,
                                               fc.config.WINDOW_END)
-        opening = params.inventory_parameters(wh, share).select(
+        opening = params.inventory_parameters(wh, shares).select(
             "sku_cluster_ID", "warehouse", F.col("I0_sj_test_initial").alias("inventory"))
         self.actual = f.test
         self.capacity = params.capacity(n.universe, n.legacy, n.dc_day)
         self.eligibility = params.procurement(n.t.network(), n.universe)
-        self.routes = params.route_inputs(params.routes(n.window_mart, n.universe), n.universe)
+        self.routes = params.route_inputs(params.routes(n.lead_times, n.universe), n.universe)
         self.cells = materialize(pl.plan_inputs(planning, opening, n.universe, f.clusters))
         self.transfers = materialize(pl.rule_transfers(self.cells, self.routes)) if transfers else None
         self.position = pl.plan_position(self.cells, self.transfers, self.eligibility, self.prices)

@@ -60,9 +60,23 @@ def _ts_bounds(col: Column, start: dt.date | None, end: dt.date | None) -> Colum
     return cond
 
 
+# Columns of an order line that only a dimension table gives.  Every line has its
+# customer, supplier and part (foreign keys of the source), so a join whose
+# columns nobody asks for would change nothing and is left out.
+LINE_DIMENSIONS = {"dc_des": "customer", "dc_ori": "supplier", "type": "part"}
+LINE_COLUMNS = ["order_ID", "user_ID", "sku_ID", "order_time", "order_date", "quantity", "original_unit_price",
+                "final_unit_price", "direct_discount_per_unit", "quantity_discount_per_unit", "bundle_discount_per_unit",
+                "coupon_discount_per_unit", "gift_item", "promise", "type", "dc_ori", "dc_des"]
+# What demand panels and their features read.
+DEMAND_COLUMNS = [c for c in LINE_COLUMNS if c not in ("promise", "type", "dc_ori")]
+
+
 def order_lines(spark: SparkSession, sf_dir: str, start: dt.date | None = None,
-                end: dt.date | None = None) -> DataFrame:
-    """Order lines: lineitem x orders x customer x supplier x part."""
+                end: dt.date | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Order lines: lineitem x orders, and of customer, supplier and part those
+    that the wanted ``columns`` need."""
+    columns = columns or LINE_COLUMNS
+    needed = {LINE_DIMENSIONS[c] for c in columns if c in LINE_DIMENSIONS}
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_returnflag")
@@ -70,13 +84,14 @@ def order_lines(spark: SparkSession, sf_dir: str, start: dt.date | None = None,
     cond = _ts_bounds(F.col("o_orderdate"), start, end)
     if cond is not None:
         od = od.filter(cond)
-    cu = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    su = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    pa = table(spark, sf_dir, "part").select("p_partkey", "p_type")
-    j = (li.join(od, li.l_orderkey == od.o_orderkey)
-         .join(cu, od.o_custkey == cu.c_custkey)
-         .join(su, li.l_suppkey == su.s_suppkey)
-         .join(pa, li.l_partkey == pa.p_partkey))
+    j = li.join(od, li.l_orderkey == od.o_orderkey)
+    for name, key, own, value in (("customer", "c_custkey", "o_custkey", "c_nationkey"),
+                                  ("supplier", "s_suppkey", "l_suppkey", "s_nationkey"),
+                                  ("part", "p_partkey", "l_partkey", "p_type")):
+        if name in needed:
+            j = j.join(table(spark, sf_dir, name).select(key, value), F.col(own) == F.col(key))
+        else:
+            j = j.withColumn(value, F.lit(None))
     unit = F.col("l_extendedprice") / F.col("l_quantity")
     return j.select(
         F.col("l_orderkey").alias("order_ID"),
@@ -98,7 +113,7 @@ def order_lines(spark: SparkSession, sf_dir: str, start: dt.date | None = None,
         F.when(F.col("p_type") == "PROMO", 2).otherwise(1).alias("type"),
         F.col("s_nationkey").alias("dc_ori"),
         F.col("c_nationkey").alias("dc_des"),
-    )
+    ).select(*columns)
 
 
 def network(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,11 +216,11 @@ class Tables:
     sf_dir: str
     _cache: dict = field(default_factory=dict)
 
-    def orders(self, start=None, end=None) -> DataFrame:
-        return order_lines(self.spark, self.sf_dir, start, end)
+    def orders(self, start=None, end=None, columns=None) -> DataFrame:
+        return order_lines(self.spark, self.sf_dir, start, end, columns)
 
-    def window_orders(self) -> DataFrame:
-        return order_lines(self.spark, self.sf_dir, config.WINDOW_START, config.WINDOW_END)
+    def window_orders(self, columns=None) -> DataFrame:
+        return order_lines(self.spark, self.sf_dir, config.WINDOW_START, config.WINDOW_END, columns)
 
     def network(self) -> DataFrame:
         return network(self.spark, self.sf_dir)
