@@ -100,6 +100,33 @@ def best_by(ranking: DataFrame) -> DataFrame:
                         (F.col("best_by_wape") == F.col("best_by_proxy_cost")).cast("int"))
 
 
+def plan_benchmark(ranking: DataFrame, weekly: DataFrame) -> DataFrame:
+    """Forecast ranks beside the realised week of each candidate's plan
+    (``scenario`` = model id): plan-cost rank (ties by shortage, then service),
+    dense service rank and their sum, the balance score.  One row per candidate."""
+    measures = ["realized_total_cost", "realized_service_level", "realized_shortage_units", "realized_overflow_units",
+                "realized_transfer_units", "realized_procurement_units", "realized_ending_inventory_units"]
+    j = ranking.join(weekly.select(F.col("scenario").alias("model_id"), *measures), "model_id")
+    by_cost = Window.orderBy("realized_total_cost", "realized_shortage_units", F.desc("realized_service_level"), "model_id")
+    j = j.withColumns({"plan_cost_rank": F.row_number().over(by_cost),
+                       "service_rank": F.dense_rank().over(Window.orderBy(F.desc("realized_service_level")))})
+    return j.select("model_id", "candidate_label", "source_file", "forecast_wape_rank", "forecast_proxy_cost_rank",
+                    "plan_cost_rank", "service_rank", (F.col("plan_cost_rank") + F.col("service_rank")).alias("balance_score"),
+                    "wape", "total_proxy_cost", *measures)
+
+
+def plan_winners(benchmark: DataFrame) -> DataFrame:
+    """Best candidate by WAPE, by plan cost and by balance (ties by plan
+    cost, then WAPE), and whether the first two agree."""
+    w = benchmark.agg(
+        F.min_by("candidate_label", "forecast_wape_rank").alias("best_by_wape"),
+        F.min_by("candidate_label", "plan_cost_rank").alias("best_by_plan_cost"),
+        F.min_by("candidate_label", F.struct("balance_score", "plan_cost_rank", "forecast_wape_rank")).alias("best_by_balance"),
+        F.min("wape").alias("best_wape"), F.min("realized_total_cost").alias("best_plan_cost"),
+        F.count(F.lit(1)).alias("models_tested"))
+    return w.withColumn("best_wape_matches_best_plan", (F.col("best_by_wape") == F.col("best_by_plan_cost")).cast("int"))
+
+
 def consistency_check(lines: DataFrame, panel: DataFrame) -> DataFrame:
     """Raw line totals vs panel totals per (date, dc): full join, 0
     fill, max absolute difference, compared rows and date counts."""

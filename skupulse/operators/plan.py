@@ -255,11 +255,12 @@ def replay_plan(position: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def plan_audit(position: DataFrame, capacity: DataFrame, transfers: DataFrame | None = None,
-               k: float = config.TRANSFER_COST_K) -> DataFrame:
+               prices: DataFrame | None = None, k: float = config.TRANSFER_COST_K) -> DataFrame:
     """P10: constraint checks of any plan as violation counts per scenario:
     balance residual, non-negativity, shortage <= demand, inventory <= C_j per
     cell and per warehouse-day, procurement <= (C_j + D) * W_j, transfers
-    within (C_n + C_m + D_n) on feasible routes; plus the plan objective."""
+    within (C_n + C_m + D_n) on feasible routes; and the plan's objective, which
+    is h * price * stock + u * price * shortage + k * price * hours * transfers."""
     c = position.join(capacity.select("warehouse", "C_j"), "warehouse", "left").fillna(0.0, subset=["C_j"])
     resid = (F.col("inventory") + F.col("incoming") - F.col("outgoing") + F.col("procurement_units")
              - F.col("demand") + F.col("planned_shortage_units") - F.col("planned_ending_inventory"))
@@ -277,7 +278,7 @@ def plan_audit(position: DataFrame, capacity: DataFrame, transfers: DataFrame |
         viol(F.col("planned_ending_inventory") > F.col("C_j") + 1e-6).alias("cell_capacity_violations"),
         viol(F.col("procurement_units") > (F.col("C_j") + F.col("demand")) * F.col("W_j") + 1e-6)
         .alias("procurement_violations"),
-        F.sum(F.col("planned_holding_cost") + F.col("planned_shortage_cost")).alias("_obj"))
+        F.sum(F.col("planned_holding_cost") + F.col("planned_shortage_cost")).alias("_stock_cost"))
     wh = c.groupBy("scenario", "date", "warehouse").agg(F.sum("planned_ending_inventory").alias("_inv"),
                                                         F.first("C_j").alias("C_j"))
     whv = wh.groupBy("scenario").agg(viol(F.col("_inv") > F.col("C_j") + 1e-6).alias("warehouse_capacity_violations"))
@@ -290,14 +291,18 @@ def plan_audit(position: DataFrame, capacity: DataFrame, transfers: DataFrame |
         t = (transfers.join(dem, ["scenario", "date", "sku_cluster_ID", "source_warehouse"], "left")
              .join(cap_n, "source_warehouse", "left").join(cap_m, "destination_warehouse", "left")
              .fillna(0.0, subset=["_dn", "_cn", "_cm"]))
+        t = (transfer_costs(t, prices, k) if prices is not None else t.withColumn("transfer_cost", F.lit(0.0)))
         tv = t.groupBy("scenario").agg(
             viol(F.col("transfer_units") > (F.col("_cn") + F.col("_cm") + F.col("_dn")) * F.col("route_feasible")
                  + 1e-6).alias("transfer_violations"),
-            F.sum(F.col("lead_time_hours") * F.col("transfer_units")).alias("_tx"))
-        out = out.join(tv, "scenario", "left").fillna(0, subset=["transfer_violations"])
+            viol(F.col("transfer_units") < -EPS).alias("transfer_negativity_violations"),
+            F.sum("transfer_cost").alias("_transfer_cost"))
+        out = out.join(tv, "scenario", "left").fillna(0, subset=["transfer_violations", "transfer_negativity_violations"])
     else:
-        out = out.withColumns({"transfer_violations": F.lit(0).cast("long"), "_tx": F.lit(0.0)})
-    return out.drop("_obj", "_tx")
+        out = out.withColumns({"transfer_violations": F.lit(0).cast("long"), "_transfer_cost": F.lit(0.0),
+                               "transfer_negativity_violations": F.lit(0).cast("long")})
+    return out.withColumn("objective", F.col("_stock_cost") + F.coalesce("_transfer_cost", F.lit(0.0))).drop(
+        "_stock_cost", "_transfer_cost")
 
 
 def policy_gap(weekly: DataFrame, planned_basis: str = "predicted", oracle_basis: str = "oracle") -> DataFrame:
@@ -317,6 +322,16 @@ def policy_gap(weekly: DataFrame, planned_basis: str = "predicted", oracle_basis
     })
 
 
+def policy_gap_daily(realized: DataFrame, measures: list[str], planned_basis: str = "predicted",
+                     oracle_basis: str = "oracle") -> DataFrame:
+    """Realised days of the predicted basis beside those of the oracle basis."""
+    p = realized.filter(F.col("scenario") == planned_basis).select(
+        "date", *[F.col(m).alias(f"predicted_policy_{m}") for m in measures])
+    o = realized.filter(F.col("scenario") == oracle_basis).select("date", *[F.col(m).alias(f"oracle_{m}") for m in measures])
+    return p.join(o, "date", "left").withColumn(
+        "cost_gap_vs_oracle", F.col("predicted_policy_realized_total_cost") - F.col("oracle_realized_total_cost"))
+
+
 def scenario_summary(weekly: DataFrame, planned_basis: str = "predicted", oracle_basis: str = "oracle") -> DataFrame:
     """Four rows - planned, realised, oracle, gap (cost and service)."""
     g = policy_gap(weekly, planned_basis, oracle_basis)

@@ -78,13 +78,13 @@ def _candidates(spark, sf_dir):
         F.lit("lag_1_actual_demand").alias("model_name"), F.lit("lag_1").alias("feature_set"))
     preds = i.predictions(config.TEST_START, config.TEST_END, config.TRAIN_END).filter(
         F.col("approach") == "direct_warehouse")
-    out = [cd.align_candidate(lag1, i.test, "lag1_baseline")]
+    out = [cd.align_candidate(share(lag1), i.test, "lag1_baseline")]
     for name, fs in (("moving_average_3", "rolling_mean_3"), ("moving_average_7", "rolling_mean_7")):
         f = preds.filter(F.col("model_name") == name).join(i.test, ["date", "warehouse", "sku_cluster_ID"]).select(
             "date", F.col("sku_cluster_ID").alias("cluster_id"), F.col("warehouse").alias("warehouse_id"),
             F.col("demand").alias("actual_demand"), "predicted_demand", "model_name", F.lit(fs).alias("feature_set"))
-        out.append(cd.align_candidate(f, i.test, name))
-    return i, out[0].unionByName(out[1]).unionByName(out[2])
+        out.append(cd.align_candidate(share(f), i.test, name))
+    return i, share(out[0].unionByName(out[1]).unionByName(out[2]))
 
 
 @query("candidate_alignment", sql("""

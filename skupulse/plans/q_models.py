@@ -23,8 +23,8 @@ from skupulse.plans.q_demand import SKUFEAT_COLS
 from skupulse.plans.q_features import _panel
 from skupulse.plans.q_forecast import Inputs
 from skupulse.plans.registry import query
-from skupulse.session import materialize
-from skupulse.sources.fixtures import bind, clicks_daily_shifted
+from skupulse.session import share
+from skupulse.sources.fixtures import DEMAND_COLUMNS, bind, clicks_daily_shifted
 
 # Initialisations per k in the registered sweeps, as many as in the reference.
 QUERY_RESTARTS = 10
@@ -37,8 +37,9 @@ K_MIN, K_MAX = 20, 50
 def q_zscore(spark, sf_dir):
     """M1: SKU features standardised with the population std (0 if flat)."""
     t = bind(spark, sf_dir)
-    lines = panel.in_range(clean_orders(t.window_orders(), clip_quantity=True), config.TRAIN_START, config.TRAIN_END)
-    feats = panel.sku_demand_features(lines, config.TRAIN_START, config.TRAIN_END, clicks_daily_shifted(t.clicks()))
+    lines = share(panel.in_range(clean_orders(t.window_orders(DEMAND_COLUMNS), clip_quantity=True),
+                                 config.TRAIN_START, config.TRAIN_END))
+    feats = share(panel.sku_demand_features(lines, config.TRAIN_START, config.TRAIN_END, clicks_daily_shifted(t.clicks())))
     return md.zscore(feats, SKUFEAT_COLS)
 
 
@@ -51,7 +52,7 @@ select sku_ID, round(case when n < 2 or vx <= 1e-8 or slope is null then 0.0 els
 from g""", "daily_sku_all"))
 def q_elasticity(spark, sf_dir):
     """Log-log price elasticity per SKU over all daily aggregates."""
-    return md.elasticity(panel.daily_sku(clean_orders(bind(spark, sf_dir).orders())))
+    return md.elasticity(panel.daily_sku(clean_orders(bind(spark, sf_dir).orders(columns=DEMAND_COLUMNS))))
 
 
 @query("cluster_sizes", sql("""
@@ -68,7 +69,7 @@ def q_kmeans_silhouette(spark, sf_dir):
     """M2: k-means sweep (k = 20..50) on SKU price/promo/click features,
     scored by silhouette; returns every k's score with the chosen k flagged."""
     t = bind(spark, sf_dir)
-    feats = materialize(panel.sku_price_features(panel.daily_sku(clean_orders(t.orders())),
+    feats = share(panel.sku_price_features(panel.daily_sku(clean_orders(t.orders(columns=DEMAND_COLUMNS))),
                                                  clicks_daily_shifted(t.clicks())))
     cols = [c for c in feats.columns if c != "sku_ID"]
     scores, best_k, _, _ = md.kmeans_silhouette_sweep(feats, cols, K_MIN, K_MAX, QUERY_RESTARTS)
@@ -77,9 +78,9 @@ def q_kmeans_silhouette(spark, sf_dir):
 
 def _objective(spark, sf_dir):
     t = bind(spark, sf_dir)
-    lines = materialize(panel.in_range(clean_orders(t.window_orders(), clip_quantity=True),
+    lines = share(panel.in_range(clean_orders(t.window_orders(DEMAND_COLUMNS), clip_quantity=True),
                                        config.TRAIN_START, config.TRAIN_END))
-    feats = materialize(panel.sku_demand_features(lines, config.TRAIN_START, config.TRAIN_END,
+    feats = share(panel.sku_demand_features(lines, config.TRAIN_START, config.TRAIN_END,
                                                   clicks_daily_shifted(t.clicks())))
     ranked, models = md.kmeans_objective_sweep(feats, SKUFEAT_COLS, lines, config.TRAIN_START, config.TRAIN_END,
                                                K_MIN, K_MAX, QUERY_RESTARTS)
@@ -100,7 +101,7 @@ def q_assign_unseen(spark, sf_dir):
     model = models[best_k]
     train_assign = model.transform(md.assemble(md.zscore(feats, SKUFEAT_COLS), SKUFEAT_COLS)).select(
         "sku_ID", F.col("prediction").cast("int").alias("sku_cluster_ID"))
-    test_lines = panel.in_range(clean_orders(t.window_orders(), clip_quantity=True), config.TEST_START,
+    test_lines = panel.in_range(clean_orders(t.window_orders(DEMAND_COLUMNS), clip_quantity=True), config.TEST_START,
                                 config.TEST_END)
     test_feats = panel.sku_demand_features(test_lines, config.TEST_START, config.TEST_END,
                                            clicks_daily_shifted(t.clicks()))
@@ -170,11 +171,18 @@ def _candidate_predictions(i, start, end, last):
     shares = fc.allocation_shares(i.train.filter(F.col("date") <= F.lit(last)))
     half = len(CANDIDATES)
     direct = fc.tag(union_all(done[:half]), "direct_warehouse", "direct warehouse-cluster")
-    alloc = fc.tag(fc.allocate(materialize(union_all(done[half:])), shares, i.wh, i.clusters), "cluster_to_warehouse",
+    alloc = fc.tag(fc.allocate(share(union_all(done[half:])), shares, i.wh, i.clusters), "cluster_to_warehouse",
                    "cluster total then warehouse allocation")
     rules = i.predictions(start, end, last)
     both = direct.unionByName(alloc).withColumn("family", family)
-    return materialize(rules.unionByName(both.select(*rules.columns)))
+    return share(rules.unionByName(both.select(*rules.columns)))
+
+
+def all_candidates(spark, sf_dir):
+    """Inputs and the test-week predictions of all 18 ids, labelled like candidate files."""
+    i = Inputs(spark, sf_dir)
+    pred = _candidate_predictions(i, config.TEST_START, config.TEST_END, config.TRAIN_END)
+    return i, pred.withColumns({"feature_set": F.col("approach"), "source_file": F.lit("fitted")})
 
 
 def _candidate_summary(i, valid):
@@ -182,7 +190,7 @@ def _candidate_summary(i, valid):
         actual, span = i.train.filter(F.col("date") >= F.lit(config.VALID_START)), (config.VALID_START, config.VALID_END, config.INNER_TRAIN_END)
     else:
         actual, span = i.test, (config.TEST_START, config.TEST_END, config.TRAIN_END)
-    return materialize(ev.model_summary(ev.join_actual(actual, _candidate_predictions(i, *span), i.cprice())))
+    return share(ev.model_summary(ev.join_actual(actual, _candidate_predictions(i, *span), i.cprice())))
 
 
 @query("candidate_selection")
@@ -250,7 +258,7 @@ def _grid(spark, sf_dir):
     """(feature set, model, predicted test rows) of the whole grid."""
     t = bind(spark, sf_dir)
     c2o = fe.cluster_clicks_funnel(ck.click_to_order(ck.first_orders(t.funnel_orders()), t.clicks()), t.clusters())
-    frame = materialize(fe.feature_frame(_panel(spark, sf_dir), c2o))
+    frame = share(fe.feature_frame(_panel(spark, sf_dir), c2o))
     train = frame.filter(F.col("dataset_split") == "train")
     test = frame.filter(F.col("dataset_split") == "test")
 
@@ -289,7 +297,7 @@ def q_best_vs_baselines(spark, sf_dir):
     window), sorted by WAPE, RMSE, MAE."""
     hist = fe.demand_history(_panel(spark, sf_dir)).withColumn(
         "rolling_mean_7_demand", fe.shifted_rolling("demand", [fe.CLUSTER, fe.WAREHOUSE], 7, F.avg))
-    df = materialize(hist.dropna(subset=["lag_1_demand", "lag_2_demand", "lag_3_demand", "rolling_mean_7_demand"]))
+    df = share(hist.dropna(subset=["lag_1_demand", "lag_2_demand", "lag_3_demand", "rolling_mean_7_demand"]))
     train = df.filter(F.col("dataset_split") == "train")
     test = df.filter(F.col("dataset_split") == "test")
     _, pred, _ = md.fit_predict(train, test, fe.FEATURE_SETS["B"], md.MODEL_GRID["gradient_boosting"], clip=False)

@@ -31,8 +31,8 @@ def test_percentiles_are_exact(spark, accuracy):
 
 
 def test_small_columns(spark):
-    for n in range(0, 8):
-        for accuracy in (2, 5, 100):
+    for n in (0, 1, 2, 5):
+        for accuracy in (2, 100):
             values = [(i * 7) % 11 for i in range(n)] + [None, None]
             got = os_.exact_percentiles(frame(spark, {"x": values}), ["x"], PS, accuracy).first().x
             if n == 0:
