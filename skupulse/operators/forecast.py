@@ -186,6 +186,31 @@ def rule_forecasts(frame: DataFrame, keys: list[str], start: dt.date, end: dt.da
                       for m in models])
 
 
+def recursive_forecast(history: DataFrame, future: DataFrame, keys: list[str], days: list[dt.date], predict,
+                       context: DataFrame | None = None, context_keys: list[str] | None = None) -> DataFrame:
+    """Forecast day by day; a day's predictions are the next day's history.
+
+    ``history`` and ``future`` have (date, keys); history also demand.  Each day,
+    lags and rolling means are taken from the days just before it - as many as the
+    longest lag or window reaches, so the work of a day does not grow - the context
+    is joined, and ``predict`` adds predicted_demand to the day's rows.  It is
+    clipped at 0 and written once."""
+    reach = max(*AR_LAGS, *ROLL_WINDOWS)
+    known = share(history.select("date", *keys, "demand")
+                  .filter(F.col("date").between(F.date_sub(F.lit(days[0]), reach), F.date_sub(F.lit(days[0]), 1))))
+    out = []
+    for day in days:
+        rows = future.filter(F.col("date") == F.lit(day)).select("date", *keys, F.lit(None).cast("double").alias("demand"))
+        recent = known.filter(F.col("date") >= F.date_sub(F.lit(day), reach)).unionByName(rows)
+        frame = training_matrix(recent, keys, context, context_keys) if context is not None else add_history(
+            recent, keys, "demand", "", lag_fmt="lag_{n}", roll_fmt="rolling_mean_{n}")
+        done = predict(frame.filter(F.col("date") == F.lit(day)))
+        done = share(done.select("date", *keys, F.greatest(F.col("predicted_demand"), F.lit(0.0)).alias("predicted_demand")))
+        known = known.unionByName(done.withColumnRenamed("predicted_demand", "demand"))
+        out.append(done)
+    return union_all(out)
+
+
 def tag(df: DataFrame, approach: str, level: str, family: str = "baseline") -> DataFrame:
     return df.withColumns({
         "model_id": F.concat(F.lit(approach + "__"), F.col("model_name")),

@@ -12,19 +12,27 @@
 
 from __future__ import annotations
 
+import json
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline
+import numpy as np
+import pyarrow as pa
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCols
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skupulse import config
 from skupulse.functions.exprs import count_if
 from skupulse.operators.grid import attach_one_row, densify, dim_product
+from skupulse.session import share
 
 SEED = 42
 
@@ -55,12 +63,13 @@ def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame
 # ----------------------------------------------------------------- k-means (M2-M5)
 
 def _k_range(n: int, k_min: int, k_max: int) -> range:
+    """The values of k to try: at least 2 and fewer than the rows; where the wanted
+    range leaves none, all that the rows allow."""
     if n < 3:
-        raise ValueError("Need at least 3 SKUs for clustering.")
-    lo, hi = max(2, k_min), min(k_max, n - 1)
-    if lo > hi:
-        lo, hi = 2, max(2, n - 1)
-    return range(lo, hi + 1)
+        raise ValueError(f"k-means over {n} SKUs: three or more are needed")
+    most = min(k_max, n - 1)
+    least = max(2, k_min)
+    return range(least if least <= most else 2, max(2, most if least <= most else n - 1) + 1)
 
 
 def fit_kmeans(vec: DataFrame, k: int, n_init: int = 10, seed: int = SEED):
@@ -78,36 +87,84 @@ def _parallel(fn, items, threads):
         return list(ex.map(fn, items))
 
 
+SILHOUETTE_ROWS = 5_000   # fixed value: rows that score a clustering, at most
+
+
+def silhouettes(labelled: DataFrame, label_cols: list[str], rows: int = SILHOUETTE_ROWS) -> DataFrame:
+    """Mean silhouette, by plain Euclidean distance, of several clusterings of the
+    same vectors (``features``): (clustering, silhouette; null where fewer than two
+    clusters are used).
+
+    Over ``rows`` rows a sample of that many is scored in itself, the same in every
+    run (smallest hashes of sku_ID).  It is broadcast; tasks take a part of its
+    rows, measure their distances once for all clusterings, and give sums per
+    clustering, so no pair of rows leaves a task."""
+    spark = labelled.sparkSession
+    scored = labelled.select("sku_ID", vector_to_array("features").alias("x"), F.array(*label_cols).alias("labels"))
+    scored = share(scored.orderBy(F.xxhash64("sku_ID"), "sku_ID").limit(rows))
+    held = scored.select("x", "labels").collect()   # at most ``rows``
+    if not held:
+        return spark.createDataFrame([(c, None) for c in label_cols], "clustering string, silhouette double")
+    points, labels = np.array([r.x for r in held]), np.array([r.labels for r in held])
+    shared = spark.sparkContext.broadcast((points, labels))
+
+    def run(batches):
+        points, labels = shared.value
+        square = (points ** 2).sum(axis=1)
+        sums, n = np.zeros(labels.shape[1]), 0
+        members = []
+        for c in range(labels.shape[1]):
+            used, own = np.unique(labels[:, c], return_inverse=True)
+            members.append((used, np.eye(len(used))[own], np.bincount(own)))
+        for batch in batches:
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                x = np.array(part.column("x").to_pylist())
+                mine = np.array(part.column("labels").to_pylist())
+                far = np.sqrt(np.maximum(0.0, (x ** 2).sum(axis=1)[:, None] - 2 * x @ points.T + square[None]))
+                far[far < 1e-7] = [np.linalg.norm(x[i] - points[j]) for i, j in zip(*np.nonzero(far < 1e-7), strict=True)]
+                n += len(x)
+                for c, (used, one_hot, sizes) in enumerate(members):
+                    if len(used) < 2:
+                        continue
+                    total, own = far @ one_hot, np.searchsorted(used, mine[:, c])
+                    at = np.arange(len(x))
+                    inside = total[at, own] / np.maximum(sizes[own] - 1, 1)
+                    mean = total / sizes
+                    mean[at, own] = np.inf
+                    outside = mean.min(axis=1)
+                    most = np.maximum(inside, outside)
+                    width = np.where((sizes[own] > 1) & (most > 0), (outside - inside) / np.where(most > 0, most, 1.0), 0.0)
+                    sums[c] += width.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(label_cols), pa.array(sums), pa.array([n] * len(label_cols), pa.int64()),
+                                          pa.array([len(m[0]) for m in members], pa.int64())], ["clustering", "s", "n", "used"])
+
+    parts = max(1, min(len(held) // 500, 4 * spark.sparkContext.defaultParallelism))
+    return (scored.repartition(parts, "sku_ID").select("x", "labels").mapInArrow(run, "clustering string, s double, n long, used long")
+            .groupBy("clustering").agg(F.when(F.max("used") > 1, F.sum("s") / F.sum("n")).alias("silhouette")))
+
+
 def kmeans_silhouette_sweep(feats: DataFrame, cols: list[str], k_min: int = 20, k_max: int = 50,
                             n_init: int = 10, seed: int = SEED, threads: int = 4):
-    """M2: fit each k, score all rows by silhouette (squared Euclidean),
-    keep the best; falls back to k = 2 when no k yields two clusters.
-    Returns (scores frame (k, silhouette, training_cost), best k,
-    assignments (sku_ID, sku_cluster_ID))."""
+    """M2: fit each k, score all of them by silhouette (plain Euclidean distance),
+    keep the best, the smallest k where several are; k = 2 where none uses two
+    clusters.  Returns (scores frame (k, silhouette, training_cost), best k,
+    assignments (sku_ID, sku_cluster_ID), model)."""
     spark = feats.sparkSession
-    vec = assemble(zscore(feats, cols), cols).select("sku_ID", "features").cache()
-    n = vec.count()
-    ks = list(_k_range(n, k_min, k_max))
-    ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction", metricName="silhouette")
-
-    def run(k):
-        m = fit_kmeans(vec, k, n_init, seed)
-        pred = m.transform(vec)
-        used = pred.select("prediction").distinct().count()
-        if used < 2:
-            return k, None, m.summary.trainingCost, m
-        return k, float(ev.evaluate(pred)), m.summary.trainingCost, m
-
-    res = _parallel(run, ks, threads)
-    valid = [r for r in res if r[1] is not None]
-    if valid:
-        best = max(valid, key=lambda r: (r[1], -r[0]))
-    else:
-        m = fit_kmeans(vec, 2, n_init, seed)
-        best = (2, float(ev.evaluate(m.transform(vec))), m.summary.trainingCost, m)
-    scores = spark.createDataFrame([(k, s, c) for k, s, c, _ in res], "k int, silhouette double, training_cost double")
-    assign = best[3].transform(vec).select("sku_ID", F.col("prediction").cast("int").alias("sku_cluster_ID"))
-    return scores, best[0], assign, best[3]
+    vec = share(assemble(zscore(feats, cols), cols).select("sku_ID", "features"))
+    ks = list(_k_range(vec.count(), k_min, k_max))
+    models = dict(zip(ks, _parallel(lambda k: fit_kmeans(vec, k, n_init, seed), ks, threads), strict=True))
+    labelled = vec
+    for k, m in models.items():
+        labelled = m.setPredictionCol(f"k{k}").transform(labelled)
+    found = {int(r.clustering[1:]): r.silhouette for r in silhouettes(labelled, [f"k{k}" for k in ks]).collect()}
+    best = max((k for k in ks if found[k] is not None), key=lambda k: (found[k], -k), default=2)
+    if best not in models:
+        models[best] = fit_kmeans(vec, best, n_init, seed).setPredictionCol(f"k{best}")
+    scores = spark.createDataFrame([(k, found[k], models[k].summary.trainingCost) for k in ks],
+                                   "k int, silhouette double, training_cost double")
+    assign = models[best].transform(vec).select("sku_ID", F.col(f"k{best}").cast("int").alias("sku_cluster_ID"))
+    return scores, best, assign, models[best].setPredictionCol("prediction")
 
 
 def kmeans_objective_sweep(train_feats: DataFrame, cols: list[str], train_lines: DataFrame, start, end,
@@ -119,7 +176,7 @@ def kmeans_objective_sweep(train_feats: DataFrame, cols: list[str], train_lines:
     The scoring of all k runs as ONE Spark plan: the assignments of every k
     are unioned with a k column, and k is part of every grouping key."""
     spark = train_feats.sparkSession
-    vec = assemble(zscore(train_feats, cols), cols).select("sku_ID", "features").cache()
+    vec = share(assemble(zscore(train_feats, cols), cols).select("sku_ID", "features"))
     ks = list(_k_range(vec.count(), k_min, k_max))
     models = dict(zip(ks, _parallel(lambda k: fit_kmeans(vec, k, n_init, seed), ks, threads)))
     assign = None
@@ -194,8 +251,38 @@ MODEL_GRID = {
 }
 
 
+class MostFrequentModel(Model, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """Nulls of the input columns set to the fitted most frequent value."""
+
+    modes = Param(Params._dummy(), "modes", "JSON object: column -> value (null: none seen)", TypeConverters.toString)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        known = {c: v for c, v in json.loads(self.getOrDefault(self.modes)).items() if v is not None}
+        return dataset.fillna(known) if known else dataset
+
+
+class MostFrequentImputer(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """M6/M7: most frequent value of string columns; ties go to the smallest
+    number, then the smallest text.  Values are counted per (column, value) with
+    partial sums, then one row per column is kept."""
+
+    @keyword_only
+    def __init__(self, *, inputCols: list[str] | None = None):
+        super().__init__()
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _fit(self, dataset: DataFrame) -> MostFrequentModel:
+        cols = self.getInputCols()
+        pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in cols])
+        counts = dataset.select(F.inline(pairs)).where("value is not null").groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+        order = F.struct((-F.col("n")).alias("n"), F.coalesce(F.col("value").try_cast("double"), F.lit(float("inf"))).alias("x"), "value")
+        found = {r["name"]: r["value"] for r in counts.groupBy("name").agg(F.min_by("value", order).alias("value")).collect()}
+        model = MostFrequentModel()
+        return model._set(inputCols=cols, modes=json.dumps({c: found.get(c) for c in cols}))
+
+
 def preprocess_stages(feature_cols: list[str], numeric_impute: str = "median", scale: bool = False):
-    """M6/M7: categorical -> most-frequent impute + one-hot (unknown kept
+    """M6/M7: categorical -> most-frequent impute + one-hot (unseen levels kept
     apart), numeric -> median (M6) or constant-0 (M7) impute; optional
     z-scaling is applied by the caller with exact population std."""
     cats = [c for c in feature_cols if c in CATEGORICAL]
@@ -204,6 +291,7 @@ def preprocess_stages(feature_cols: list[str], numeric_impute: str = "median", s
     idx = [f"{c}__idx" for c in cats]
     ohe = [f"{c}__ohe" for c in cats]
     if cats:
+        stages.append(MostFrequentImputer(inputCols=cats))
         stages.append(StringIndexer(inputCols=cats, outputCols=idx, handleInvalid="keep",
                                     stringOrderType="frequencyDesc"))
         # the indexer's extra index already stands for unseen levels
@@ -279,6 +367,12 @@ def feature_importance(model, names: list[str], top: int | None = None):
     return vals
 
 
+def top_importances(rows: DataFrame, top: int = 15) -> DataFrame:
+    """K4: the ``top`` features of each model id by importance, then name."""
+    by = Window.partitionBy("model_id").orderBy(F.desc("importance"), "feature")
+    return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
+
+
 def elasticity(daily: DataFrame, eps: float = 1e-6) -> DataFrame:
     """Slope of log demand on log price per SKU; 0 when fewer than two
     points or the log price does not vary (var_pop <= 1e-8)."""

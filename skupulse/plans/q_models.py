@@ -7,6 +7,8 @@ elasticity, cluster sizes) have one.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from skupulse import config
@@ -17,8 +19,8 @@ from skupulse.operators import features as fe
 from skupulse.operators import forecast as fc
 from skupulse.operators import models as md
 from skupulse.operators import panel
-from skupulse.operators.grid import union_all
-from skupulse.plans.oracle import sql
+from skupulse.operators.grid import dim_product, union_all
+from skupulse.plans.oracle import cte, sql
 from skupulse.plans.q_demand import SKUFEAT_COLS
 from skupulse.plans.q_features import _panel
 from skupulse.plans.q_forecast import Inputs
@@ -213,6 +215,67 @@ def q_best_learned(spark, sf_dir):
     return ev.best_learned(_candidate_summary(Inputs(spark, sf_dir), False))
 
 
+def _test_days():
+    return [config.TEST_START + dt.timedelta(days=k) for k in range((config.TEST_END - config.TEST_START).days + 1)]
+
+
+cte("recursive_rules", f"""
+with recursive seed as materialized (
+  select warehouse, sku_cluster_ID, list(demand order by date) as vals from opt_train
+  where date > date '1998-03-24' - 7 group by all),
+rule as materialized (select * from (values {", ".join(f"('{m}')" for m in fc.RULE_MODELS)}) r(model_name)),
+step as (
+  select warehouse, sku_cluster_ID, model_name, 0 as day, null::double as predicted_demand, vals from seed cross join rule
+  union all
+  select warehouse, sku_cluster_ID, model_name, day + 1, p, list_append(vals[2:7], p)
+  from (select *, greatest(case model_name when 'lag_1' then vals[7] when 'moving_average_3' then list_avg(vals[5:7])
+                           when 'moving_average_7' then list_avg(vals) else 0.5 * vals[7] + 0.5 * list_avg(vals[5:7]) end, 0.0) as p
+        from step where day < 7))
+select date '1998-03-24' + day as date, warehouse, sku_cluster_ID, model_name, predicted_demand from step where day > 0""", "opt_train")
+
+
+@query("recursive_rules", sql("select date, warehouse, sku_cluster_ID, model_name, round(predicted_demand, 6) as predicted_demand "
+                              "from recursive_rules", "recursive_rules"))
+def q_recursive_rules(spark, sf_dir):
+    """The rule forecasts of the test week, each day from the predictions of
+    the days before it."""
+    i = Inputs(spark, sf_dir)
+    series = i.train.select(*fc.KEYS).distinct()
+    days = _test_days()
+    future = share(dim_product([series, spark.createDataFrame([(d,) for d in days], "date date")]))
+    return union_all([fc.recursive_forecast(i.train, future, fc.KEYS, days, lambda f, m=m: f.withColumn(
+        "predicted_demand", fc.rule_prediction(m))).withColumn("model_name", F.lit(m)) for m in fc.RULE_MODELS])
+
+
+@query("recursive_ridge")
+def q_recursive_ridge(spark, sf_dir):
+    """The test week of the direct ridge model, forecast day by day."""
+    i = Inputs(spark, sf_dir)
+    model, _, _, scale = _ridge(i)
+    context = share(i.whctx().join(i.gctx(), "date", "left"))
+    series = share(i.train.select(*fc.KEYS).distinct())
+    days = _test_days()
+    future = dim_product([series, spark.createDataFrame([(d,) for d in days], "date date")])
+
+    def predict(frame):
+        rows = scale(frame).withColumn("label", F.lit(0.0))
+        for c in [c for c in DIRECT_FEATURES if c in md.CATEGORICAL]:
+            rows = rows.withColumn(c, F.col(c).cast("string"))
+        rows = model.transform(rows).withColumnRenamed("prediction", "predicted_demand")
+        return rows.withColumns({k: F.col(k).cast("int") for k in fc.KEYS})
+
+    return fc.recursive_forecast(i.train, future, fc.KEYS, days, predict, context, ["date", "warehouse"])
+
+
+def _ridge(i):
+    """The direct ridge model of the train window, and its scaling of other rows."""
+    nums = [c for c in DIRECT_FEATURES if c not in md.CATEGORICAL]
+    train = i.dmat().filter(F.col("date") <= F.lit(config.TRAIN_END))
+    stats = share(md.scale_stats(train.fillna(0.0, subset=nums), nums))
+    model, pred, names = _fit(train, train, DIRECT_FEATURES, "ridge_alpha_1.0")
+    return model, pred, names, lambda rows: md.zscore(rows.fillna(0.0, subset=nums), nums, stats)
+
+
 def _register_candidate(key, name):
     @query(key)
     def q(spark, sf_dir):
@@ -238,6 +301,33 @@ def q_feature_importance(spark, sf_dir):
     return df.orderBy(F.col("importance").desc(), "feature").limit(15)
 
 
+# What a rule forecast weighs.
+RULE_WEIGHTS = {"lag_1": {"lag_1": 1.0}, "moving_average_3": {"rolling_mean_3": 1.0},
+                "moving_average_7": {"rolling_mean_7": 1.0}, "blend_50_50": {"lag_1": 0.5, "rolling_mean_3": 0.5}}
+APPROACHES = ("direct_warehouse", "cluster_to_warehouse")
+
+
+@query("feature_importances", round_scale=None)
+def q_feature_importances(spark, sf_dir):
+    """M19+K4: top-15 drivers of each of the 18 candidates: tree importances,
+    absolute coefficients, or a rule's weights."""
+    i = Inputs(spark, sf_dir)
+    levels = [(APPROACHES[0], i.dmat(), DIRECT_FEATURES), (APPROACHES[1], i.cmat(), CLUSTER_FEATURES)]
+
+    def fitted(job):
+        (approach, frame, features), name = job
+        train = frame.filter(F.col("date") <= F.lit(config.TRAIN_END))
+        model, _, names = _fit(train, train, features, name)
+        kind = "feature_importance" if hasattr(model.stages[-1], "featureImportances") else "abs_coefficient"
+        return [(f"{approach}__{name}", n, float(v), kind)
+                for n, v in zip(_expanded_names(model, names), md.feature_importance(model, names), strict=True)]
+
+    rows = [row for part in md._parallel(fitted, [(level, name) for level in levels for name in CANDIDATES], 4) for row in part]
+    rows += [(f"{a}__{rule}", f, w, "rule_weight") for a in APPROACHES for rule, weights in RULE_WEIGHTS.items() for f, w in weights.items()]
+    # a row per model and feature slot
+    return md.top_importances(spark.createDataFrame(rows, "model_id string, feature string, importance double, importance_type string"))
+
+
 def _expanded_names(model, names):
     """One-hot slots get '<column>=<level>' names from the indexer labels."""
     from pyspark.ml.feature import StringIndexerModel

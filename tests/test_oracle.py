@@ -34,7 +34,7 @@ def test_matches_oracle(spark, con, name):
     try:
         df = QUERIES[name](spark, SF)
     except ValueError as e:  # the distinct-date split refuses too-short windows (D4)
-        if "Not enough distinct order dates" in str(e):
+        if "to train and" in str(e):
             pytest.skip(str(e))
         raise
     srows = [tuple(r) for r in df.collect()]
