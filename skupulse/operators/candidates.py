@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from skupulse.operators.grid import attach_one_row
+from skupulse.session import share
 
 KEYS = ["date", "warehouse", "sku_cluster_ID"]
 
@@ -32,13 +33,16 @@ def excel_serial_dates(df: DataFrame, col: str) -> DataFrame:
     return j.withColumn(col, parsed).drop("_serial")
 
 
-def align_candidate(raw: DataFrame, actual: DataFrame, role: str) -> DataFrame:
+def align_with_diagnostics(raw: DataFrame, actual: DataFrame, role: str) -> tuple[DataFrame, dict]:
     """A prediction file (date, cluster_id, warehouse_id, actual_demand,
     predicted_demand[, model_name, feature_set]) aligned to the actual test
     panel: types coerced, predictions clipped at 0, one row per key (lowest
     prediction first - an explicit order, T13), actual-demand mismatch
     checked (> 1e-6 raises), model id from the modal model name and feature
-    set (W13)."""
+    set (W13).
+
+    The checks are metrics of the passes that write the file's rows and the
+    aligned rows; both come back with the aligned rows."""
     need = {"date", "cluster_id", "warehouse_id", "actual_demand", "predicted_demand"}
     missing = need - set(raw.columns)
     if missing:
@@ -54,25 +58,44 @@ def align_candidate(raw: DataFrame, actual: DataFrame, role: str) -> DataFrame:
         F.col("actual_demand").try_cast("double").alias("actual_demand"),
         F.greatest(F.coalesce(F.col("predicted_demand").try_cast("double"), F.lit(0.0)), F.lit(0.0))
         .alias("predicted_demand"), "model_name", "feature_set")
+    read, kept = Observation(), Observation()
+    f = f.observe(read, F.count(F.lit(1)).alias("rows"))
     f = f.dropna(subset=["date", "sku_cluster_ID", "warehouse", "actual_demand"])
     w = Window.partitionBy(*KEYS).orderBy("predicted_demand", "actual_demand", "model_name", "feature_set")
-    f = f.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    f = share(f.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn"))
     a = actual.select(*KEYS, "demand").join(f, KEYS, "left")
-    mism = a.agg(F.coalesce(F.sum(F.abs(F.col("demand") - F.col("actual_demand"))), F.lit(0.0)).alias("m")) \
-        .collect()[0]["m"]
-    if mism > 1e-6:
-        raise ValueError(f"Actual demand mismatch between test panel and {role}. Absolute mismatch sum={mism}")
+    a = a.observe(kept, F.count(F.lit(1)).alias("rows"), F.sum(F.col("actual_demand").isNull().cast("long")).alias("filled"),
+                  F.sum(F.abs(F.col("demand") - F.col("actual_demand"))).alias("mismatch"),
+                  F.min("date").alias("min_date"), F.max("date").alias("max_date"))
     modes = f.agg(F.mode("model_name", True).alias("_mn"), F.mode("feature_set", True).alias("_fs"))
     a = attach_one_row(a, modes)
     mn = F.coalesce(F.col("_mn"), F.lit(role))
     fs = F.coalesce(F.col("_fs"), F.lit("unknown"))
-    return a.select(
+    aligned = share(a.select(
         *KEYS, F.col("demand").alias("actual_demand"),
         F.coalesce("predicted_demand", F.lit(0.0)).alias("predicted_demand"),
         F.concat(token(F.lit(role)), F.lit("__"), token(mn), F.lit("__feature_"), token(fs)).alias("model_id"),
         F.lit("candidate_file").alias("approach"), F.lit("direct warehouse-cluster").alias("prediction_level"),
         mn.alias("model_name"), F.lit("candidate_file").alias("family"), fs.alias("feature_set"),
-        F.lit(role).alias("source_file"))
+        F.lit(role).alias("source_file")))
+    found = kept.get
+    mismatch = found["mismatch"] or 0.0
+    if mismatch > 1e-6:
+        raise ValueError(f"{role}: actual demand differs from the test panel, by {mismatch} in all")
+    name = aligned.select("model_name", "feature_set").first()
+    return aligned, {
+        "source_file": role, "source_rows": read.get["rows"], "aligned_rows": found["rows"], "filled_rows": found["filled"] or 0,
+        "actual_demand_mismatch": mismatch, "model_name": name and name.model_name, "feature_set": name and name.feature_set,
+        "min_date": found["min_date"], "max_date": found["max_date"]}
+
+
+def align_candidate(raw: DataFrame, actual: DataFrame, role: str) -> DataFrame:
+    """The aligned rows alone (see ``align_with_diagnostics``)."""
+    return align_with_diagnostics(raw, actual, role)[0]
+
+
+DIAGNOSTICS = ("source_file string, source_rows long, aligned_rows long, filled_rows long, actual_demand_mismatch double, "
+               "model_name string, feature_set string, min_date date, max_date date")
 
 
 def candidate_ranking(summary: DataFrame, aligned: DataFrame) -> DataFrame:
@@ -186,3 +209,17 @@ def require_columns(df: DataFrame, required, name: str = "table") -> DataFrame:
     if missing:
         raise ValueError(f"{name} missing required columns: {missing}")
     return df
+
+
+def require_spans(tables: dict[str, tuple[DataFrame, str, object, object]]) -> DataFrame:
+    """Date coverage of every table (name -> frame, date column, first and last
+    expected day); raises where a table's span is another."""
+    found = date_coverage({name: (df, col) for name, (df, col, _, _) in tables.items()})
+    wrong = []
+    for r in found.collect():    # one row per table
+        first, last = tables[r.table][2:]
+        if (r.min_date, r.max_date) != (first, last):
+            wrong.append(f"{r.table}: {r.min_date} to {r.max_date} instead of {first} to {last}")
+    if wrong:
+        raise ValueError("unexpected date span; " + "; ".join(sorted(wrong)))
+    return found

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from skupulse import config
 from skupulse.operators import candidates as cd
 from skupulse.operators import evaluate as ev
 from skupulse.operators import forecast as fc
+from skupulse.operators.grid import union_all
 from skupulse.plans import q_forecast  # noqa: F401  (registers CTEs)
 from skupulse.plans.oracle import cte, sql
 from skupulse.plans.q_forecast import Inputs
 from skupulse.plans.registry import query
-from skupulse.session import share
-from skupulse.sources.fixtures import bind
+from skupulse.session import checkpoint_dir, share
+from skupulse.sources import loaders
+from skupulse.sources.fixtures import _sku_from_props, bind, table
 
 # Metrics of the previous pipeline version (test week), as published.
 PREVIOUS_METRICS = {
@@ -70,21 +74,28 @@ left join f on f.role = m.role and f.rn = 1 and f.date = a.date and f.warehouse_
   and f.cluster_id = a.sku_cluster_ID""", "cand_raw", "opt_test")
 
 
-def _candidates(spark, sf_dir):
+def _candidate_files(spark, sf_dir):
+    """Inputs, and (role, aligned rows, diagnostics) of three prediction files, one of
+    them with repeated keys."""
     i = Inputs(spark, sf_dir)
     lag1 = fc.lag1_baseline(i.train, i.test).select(
-        "date", F.col("sku_cluster_ID").alias("cluster_id"), F.col("warehouse").alias("warehouse_id"),
-        F.col("demand").alias("actual_demand"), "predicted_demand",
+        "date", F.col("sku_cluster_ID").alias("cluster_id"), F.col("warehouse").alias("warehouse_id"), F.col("demand").alias("actual_demand"), "predicted_demand",
         F.lit("lag_1_actual_demand").alias("model_name"), F.lit("lag_1").alias("feature_set"))
+    files = {"lag1_baseline": lag1}
     preds = i.predictions(config.TEST_START, config.TEST_END, config.TRAIN_END).filter(
         F.col("approach") == "direct_warehouse")
-    out = [cd.align_candidate(share(lag1), i.test, "lag1_baseline")]
     for name, fs in (("moving_average_3", "rolling_mean_3"), ("moving_average_7", "rolling_mean_7")):
-        f = preds.filter(F.col("model_name") == name).join(i.test, ["date", "warehouse", "sku_cluster_ID"]).select(
+        files[name] = preds.filter(F.col("model_name") == name).join(i.test, ["date", "warehouse", "sku_cluster_ID"]).select(
             "date", F.col("sku_cluster_ID").alias("cluster_id"), F.col("warehouse").alias("warehouse_id"),
             F.col("demand").alias("actual_demand"), "predicted_demand", "model_name", F.lit(fs).alias("feature_set"))
-        out.append(cd.align_candidate(share(f), i.test, name))
-    return i, share(out[0].unionByName(out[1]).unionByName(out[2]))
+    again = files["moving_average_3"].withColumn("predicted_demand", F.col("predicted_demand") + 1)
+    files["moving_average_3"] = files["moving_average_3"].unionByName(again)
+    return i, [(role, *cd.align_with_diagnostics(share(f), i.test, role)) for role, f in files.items()]
+
+
+def _candidates(spark, sf_dir):
+    i, files = _candidate_files(spark, sf_dir)
+    return i, union_all([aligned for _, aligned, _ in files])
 
 
 @query("candidate_alignment", sql("""
@@ -95,6 +106,23 @@ def q_candidate_alignment(spark, sf_dir):
     return _candidates(spark, sf_dir)[1]
 
 
+@query("candidate_diagnostics", sql("""
+with f as (select role, count(*) * case when role = 'moving_average_3' then 2 else 1 end as source_rows from cand_raw group by role),
+a as (select source_file, count(*) as aligned_rows, min(date) as min_date, max(date) as max_date, any_value(model_name) as model_name,
+        any_value(feature_set) as feature_set from cand_aligned group by 1),
+m as (select r.role, count_if(c.role is null) as filled_rows, coalesce(sum(abs(t.demand - c.actual_demand)), 0.0) as mismatch
+      from (select distinct role from cand_raw) r cross join opt_test t
+      left join (select distinct role, date, warehouse_id, cluster_id, actual_demand from cand_raw) c
+        on c.role = r.role and c.date = t.date and c.warehouse_id = t.warehouse and c.cluster_id = t.sku_cluster_ID group by 1)
+select a.source_file, f.source_rows, a.aligned_rows, m.filled_rows, round(m.mismatch, 6) as actual_demand_mismatch, a.model_name,
+  a.feature_set, a.min_date, a.max_date
+from a join f on f.role = a.source_file join m on m.role = a.source_file""", "cand_raw", "cand_aligned", "opt_test"))
+def q_candidate_diagnostics(spark, sf_dir):
+    """Rows read, aligned, filled and the mismatch of each prediction file."""
+    rows = [tuple(d.values()) for _, _, d in _candidate_files(spark, sf_dir)[1]]   # one per file
+    return spark.createDataFrame(rows, cd.DIAGNOSTICS)
+
+
 _MCOLS = ["actual_units", "predicted_units", "mae", "rmse", "wape", "bias", "underprediction_units",
           "overprediction_units", "price_weighted_abs_error", "purchase_cost_proxy", "holding_cost_proxy"]
 cte("cand_sum", f"""
@@ -331,3 +359,32 @@ def q_cluster_region_matrix(spark, sf_dir):
     t = bind(spark, sf_dir)
     m = panel.series_metrics(panel.region_grid(t.orders(columns=["sku_ID", "dc_des", "order_date", "quantity"]), t.clusters(), t.network()), "region_ID", zero_fill=False)
     return m.select("sku_cluster_ID", "region_ID", "zero_rate", "cv")
+
+
+# ----------------------------------------------------------------- loading text tables
+
+@query("load_rejects", sql("""
+select 'clicks' as "table", count(*) as rows, count_if(user_id % 97 = 0 and event_type in ('click', 'view')) as rejected,
+  count_if(user_id % 89 = 0 and user_id % 97 <> 0) as coerced from events where event_type in ('click', 'view')
+union all
+select 'users', count(*), 0, count_if(c_custkey % 50 = 0) from customer""", ))
+def q_load_rejects(spark, sf_dir):
+    """S7+S3: clicks and users written as text, with some bad cells, and loaded by
+    their declared columns: rows, rejected rows (a strict column does not parse)
+    and coerced cells (a lenient one becomes null)."""
+    t = bind(spark, sf_dir)
+    number = F.regexp_replace("user", "[^0-9]", "").cast("long")
+    raw = table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "view")).select(
+        F.col("user_id").cast("string").alias("user"), F.col("ts").cast("string").alias("request_time"), _sku_from_props().cast("string").alias("sku_ID"),
+        F.col("event_type").alias("channel"))
+    texts = {
+        "clicks": raw.select(F.col("user").alias(" user_ID"), F.when(number % 89 == 0, "none").otherwise(F.col("sku_ID")).alias("sku_ID "),
+                             F.when(number % 97 == 0, "not a time").otherwise(F.col("request_time")).alias("request_time"), "channel",
+                             F.lit("unused").alias("extra")),
+        "users": t.users().select("user_ID", F.when(F.col("user_ID").cast("long") % 50 == 0, "x").otherwise("3").alias("level"), "region")}
+    out = []
+    for name, df in texts.items():
+        path = f"{checkpoint_dir(spark)}/text-{uuid.uuid4().hex}"
+        loaders.write_result(df, path, csv=True)
+        out.append(loaders.load_logical(spark, path, name)[1])
+    return union_all(out)

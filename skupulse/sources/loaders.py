@@ -43,6 +43,46 @@ def load_table(spark: SparkSession, path: str, cols: list[str] | None = None, ti
     return df
 
 
+# Columns of the logical tables that come as text, with their type;
+# "!" marks a strict column, whose bad cells reject the row, in others they are null.
+LOGICAL = {
+    "clicks": {"user_ID": "string", "sku_ID": "bigint", "request_time": "timestamp_ntz!", "channel": "string"},
+    "users": {"user_ID": "string!", "level": "int", "region": "string"},
+    "orders": {"order_ID": "string!", "user_ID": "string", "sku_ID": "string", "order_date": "date!", "order_time": "timestamp_ntz",
+               "quantity": "double", "original_unit_price": "double", "final_unit_price": "double", "dc_ori": "int", "dc_des": "int"},
+    "inventory": {"dc_ID": "int", "sku_ID": "string", "date": "date!"},
+    "delivery": {"order_ID": "string!", "package_ID": "string", "ship_out_time": "timestamp_ntz!", "arr_station_time": "timestamp_ntz!",
+                 "arr_time": "timestamp_ntz!"},
+    "network": {"dc_ID": "int!", "region_ID": "int!"},
+    "skus": {"sku_ID": "string!", "type": "int", "brand_ID": "string", "attribute1": "string", "attribute2": "string"},
+}
+
+
+def load_logical(spark: SparkSession, path: str, table: str) -> tuple[DataFrame, DataFrame]:
+    """A logical table from header CSV: names stripped, the declared columns
+    alone, cells parsed by type.  Returns the kept rows, and one row (table, rows,
+    rejected, coerced): rejected rows have a bad or empty cell in a strict column,
+    coerced cells are text that a lenient column could not parse."""
+    kinds = LOGICAL[table]
+    raw = strip_names(spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path))
+    require_columns(raw, list(kinds), path)
+    cell = {c: F.nullif(F.trim(F.col(c)), F.lit("")) for c in kinds}
+    parsed = {c: cell[c].try_cast(k.rstrip("!")) for c, k in kinds.items()}
+    bad = F.lit(False)
+    for c, k in kinds.items():
+        if k.endswith("!"):
+            bad = bad | parsed[c].isNull()
+    lost = F.lit(0)
+    for c, k in kinds.items():
+        if not k.endswith("!"):
+            lost = lost + (cell[c].isNotNull() & parsed[c].isNull()).cast("int")
+    df = raw.select(*[parsed[c].alias(c) for c in kinds], bad.alias("_bad"), lost.alias("_lost"))
+    report = df.agg(F.lit(table).alias("table"), F.count(F.lit(1)).alias("rows"),
+                    F.coalesce(F.sum(F.col("_bad").cast("long")), F.lit(0)).alias("rejected"),
+                    F.coalesce(F.sum(F.when(~F.col("_bad"), F.col("_lost"))), F.lit(0)).cast("long").alias("coerced"))
+    return df.where(~F.col("_bad")).drop("_bad", "_lost"), report
+
+
 def load_orders(spark: SparkSession, table: str, path: str, required: list[str], fmt: str = "csv"):
     """S3: prefer the catalog table when it exists AND has every required
     column, else the file; returns (frame, source)."""
@@ -50,9 +90,7 @@ def load_orders(spark: SparkSession, table: str, path: str, required: list[str],
         df = spark.table(table)
         if set(required) <= set(df.columns):
             return df, f"table:{table}"
-    df = load_table(spark, path, fmt=fmt)
-    require_columns(df, required, path)
-    return df, f"file:{path}"
+    return load_table(spark, path, list(required), fmt=fmt), f"file:{path}"
 
 
 def pick_table(spark: SparkSession, name_hints: list[str], column_hints: list[str]):
