@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import os
 import sys
 import tempfile
@@ -40,6 +41,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of what frames that are gone have left: Spark's cleaner removes
+    shuffles, broadcasts and checkpoints once the driver's JVM has collected the
+    objects that stand for them, and the heap shrinks to what is still held.  Long
+    iterations otherwise keep all of it until the heap is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def id_remainder(col, modulus: int):
     """crc32 of the id written as text, modulo ``modulus`` (null id: null)."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % modulus

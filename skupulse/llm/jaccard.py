@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skupulse.llm.common import cut, frugal, release_stores, slices
+from skupulse.llm.common import cut, frugal, release_stores, slices, tidy
 
 COUNTER_BITS = 20     # counters per table that rank shingles (two tables)
 CELLS = 256           # hashed subspaces of the count windows
@@ -302,6 +302,7 @@ def components(links: DataFrame) -> DataFrame:
         if new.where("comp <> was").isEmpty():
             return new.select("id", "comp")
         labels = new.select("id", "comp")
+        tidy(links.sparkSession)
 
 
 def _block_pairs(num: int, den: int):
@@ -351,6 +352,7 @@ def jaccard_components(documents: DataFrame, n: int = 5, num: int = 8, den: int
                                            F.first("pivots").alias("pivots")))
     points = cut(points.select("id", "size", "cells", "pivots"))
     counters.destroy()
+    tidy(spark)
     rows = points.select("id", F.col("size").cast("int").alias("size"), F.explode("pivots").alias("pivot"))
     regions = (rows.groupBy("pivot").agg(F.count("*").alias("n"), F.min("id").alias("hub"), F.max("id").alias("last"),
                                          F.bit_xor(F.xxhash64("id")).alias("who"),
@@ -362,6 +364,7 @@ def jaccard_components(documents: DataFrame, n: int = 5, num: int = 8, den: int
     more = regions.where("n > 2").select("region", "n", "hub")
     side = F.broadcast(more) if more.count() <= BROADCAST_REGIONS else more
     members = cut(rows.join(side, F.col("pivot") == F.col("region")).select("region", "n", "hub", "id", "size"))
+    tidy(spark)
     twos = regions.where("n = 2").select(F.col("hub").alias("a"), F.col("last").alias("b"))
     links = _links(docs, n, points.select("id", "size", "cells"), twos, members, classes, num, den)
     named = (classes.join(components(links), F.col("rep") == F.col("id"), "left")
@@ -399,6 +402,8 @@ def _links(docs, n, facts, twos, members, classes, num, den) -> DataFrame:
                 .groupBy("id", "digest").agg(F.first("members").alias("members")).select("id", "members"))
         found = cut(_linked(pairs, cut(sets), num, den))
         wanted.destroy()
+        del sets
+        tidy(spark)
         return found
 
     links = confirmed(pairs)
