@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from skupulse.llm.common import SPACE, cut, hash_share
 
 SAMPLE_ROWS = 1_000      # documents that estimate cost and selectivity
+REPEATS = 3              # evaluations of a rule on the sample, after a first one
 SYMBOLS = "#*$%&|<>"
 
 # The rules; each condition rejects.  n_words etc. are the base
@@ -77,21 +78,23 @@ def base_failed() -> Column:
 
 
 def rule_order(documents: DataFrame, rules: dict[str, str] | None = None, rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
-    """(rule, share rejected, seconds) by rejections per second, from a sample."""
+    """(rule, share rejected, seconds) by rejections per second, from a sample.
+
+    Shares are smoothed, (rejected + 1/2) / (rows + 1), so that rules which rejected
+    nothing there still go by their cost; seconds are the least of ``REPEATS``."""
     rules = rules or RULES
     docs = documents.select("doc_id", "text")
-    sample = cut(base_figures(hash_share(docs, rows, docs.count(), "doc_id"))).where(~base_failed())
-    shares = sample.agg(*(F.avg(F.expr(r).cast("int")).alias(k) for k, r in rules.items())).first()
+    sample = cut(base_figures(hash_share(docs, rows, docs.count(), "doc_id", "text").distinct())).where(~base_failed())
+    found = sample.agg(F.count(F.lit(1)).alias("rows"), *(F.sum(F.expr(r).cast("int")).alias(k) for k, r in rules.items())).first()
 
     def seconds(condition: str) -> float:
         began = time.perf_counter()
         sample.agg(F.sum(F.expr(condition).cast("int"))).collect()
         return time.perf_counter() - began
 
-    seconds("true")
-    scan = seconds("true")
-    found = [(k, float(shares[k] or 0.0), max(seconds(r) - scan, 1e-3)) for k, r in rules.items()]
-    return sorted(found, key=lambda f: (-f[1] / f[2], f[0]))
+    least = {k: min(seconds(r) for _ in range(REPEATS + 1)) for k, r in ({"": "true"} | rules).items()}
+    scored = [(k, ((found[k] or 0) + 0.5) / (found.rows + 1), max(least[k] - least[""], 1e-3)) for k in rules]
+    return sorted(scored, key=lambda f: (-f[1] / f[2], f[0]))
 
 
 def judge(documents: DataFrame, rules: dict[str, str] | None = None, order: list[str] | None = None) -> DataFrame:
