@@ -39,6 +39,7 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 # Issuer keywords, and the patterns tried there.
 GITHUB = re.compile(r"gh[pousr]_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
+JWT_RUN = re.compile(r"[A-Za-z0-9_-]*")
 CARD = re.compile(r"(?<![0-9])[2-6][0-9]{3}(?:[ -]?[0-9]{4}){3}(?![0-9])")
 IBAN = re.compile(r"(?<![A-Z0-9])([A-Z]{2})([0-9]{2})([A-Z0-9]{11,30})(?![A-Z0-9])")
 PEM = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
@@ -127,6 +128,23 @@ def _hex_runs(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _tokens(text: str, hits) -> list[tuple[int, int]]:
+    """Signed tokens at the hits.  Where no pattern follows a run of their
+    characters, none follows it for a later hit in the same run either, so a long
+    run is read once."""
+    out, done = [], 0
+    for at in sorted(hits):
+        if at < done:
+            continue
+        if m := JWT.match(text, at):
+            done = m.end()
+            if _jwt_valid(m[1]):
+                out.append(m.span())
+        else:
+            done = max(at + 1, JWT_RUN.match(text, at).end())
+    return out
+
+
 def scan(text: str, words: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every secret, by start and then kind."""
     hits: dict[str, set[int]] = {}
@@ -141,7 +159,7 @@ def scan(text: str, words: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     if at := hits.get("github"):
         found["github"] = _walk(GITHUB, text, at, lambda m: _github_valid(m[1], m[2]))
     if at := hits.get("jwt"):
-        found["jwt"] = _walk(JWT, text, at, lambda m: _jwt_valid(m[1]))
+        found["jwt"] = _tokens(text, at)
     if at := hits.get("card"):
         near = {m.start() for p in at if (m := CARD.search(text, p, p + CARD_REACH + 19))}
         found["card"] = _walk(CARD, text, near, lambda m: luhn(re.sub("[ -]", "", m[0])))
