@@ -82,7 +82,19 @@ def _sized(documents: DataFrame) -> DataFrame:
                             text_size().alias("size"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("quality", text_quality())
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-    return rows.select("doc_id", "source", key.alias("source_key"), "size", draw().alias("key"))
+    return rows.select("doc_id", "source", key.alias("source_key"), "size", "quality", draw().alias("key"))
+
+
+def quality_levels(sized: DataFrame) -> DataFrame:
+    """Per source, its documents' qualities rounded to sixteenths, with counts."""
+    counts = sized.groupBy("source_key", (F.round(F.col("quality") * 16) / 16).alias("q")).agg(F.count("*").alias("n"))
+    return counts.groupBy(F.col("source_key").alias("level_key")).agg(F.collect_list(F.struct("q", "n")).alias("levels"))   # at most 13
+
+
+def _prepared(sized: DataFrame, weights, most) -> DataFrame:
+    """Targets and quality levels: one row per source."""
+    per = targets(sized, weights, most)
+    return cut(per.join(quality_levels(sized), F.col("source_key") == F.col("level_key")).drop("level_key"))
 
 
 def _with_targets(sized: DataFrame, per: DataFrame) -> DataFrame:
@@ -94,7 +106,9 @@ def _with_targets(sized: DataFrame, per: DataFrame) -> DataFrame:
 def _summed(rows: DataFrame) -> DataFrame:
     """Adds ``before``: words of the source's documents with smaller keys."""
     buckets = F.ceil(F.col("n_docs") / BUCKET_ROWS)
-    rows = rows.withColumn("bucket", F.least(buckets - 1, F.floor(buckets * (1 - F.exp(-F.col("key"))))).cast("long"))
+    # the share of the source's keys below this one: exponential at each quality
+    below = F.aggregate("levels", F.lit(0.0), lambda s, e: s + e["n"] * (1 - F.exp(-e["q"] * F.col("key")))) / F.col("n_docs")
+    rows = rows.withColumn("bucket", F.least(buckets - 1, F.floor(buckets * below)).cast("long")).drop("levels")
     totals = rows.groupBy("source_key", "bucket").agg(F.sum("size").alias("bucket_size"))
     earlier = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("source_key", "bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("base"))
@@ -106,7 +120,7 @@ def _summed(rows: DataFrame) -> DataFrame:
 def mix(documents: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """doc_id, size, source_size, target, taken, source for every document."""
     sized = cut(_sized(documents))
-    rows = _summed(_with_targets(sized, cut(targets(sized, weights, most))))
+    rows = _summed(_with_targets(sized, _prepared(sized, weights, most)))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
     return rows.select("doc_id", "size", "source_size", "target",
                        (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), "source")
@@ -119,7 +133,7 @@ def mixed_documents(documents: DataFrame, weights=WEIGHTS, most: int = MOST) ->
     Only one number per source, the largest key taken, goes back to the
     documents, so their texts are not shuffled."""
     sized = cut(_sized(documents))
-    per = cut(targets(sized, weights, most))
+    per = _prepared(sized, weights, most)
     inside = F.col("size") + 2 * F.col("before") <= 2 * F.col("rest")
     edge = (_summed(_with_targets(sized, per)).where(inside & (F.col("size") > 0)).groupBy("source_key")
             .agg(F.max("key").alias("__edge")).withColumnRenamed("source_key", "__key"))
