@@ -5,8 +5,7 @@ score the word under each candidate, and Viterbi decoding with a switching
 penalty turns the scores of a document's words into language spans.
 
 Learning: n-gram counts per language over a bounded sample of labelled rows
-(``SAMPLE_ROWS``, chosen by a hash of the row), at most ``MAX_GRAMS`` counts
-by frequency.  Prediction reads the text alone, every word of it.
+(``SAMPLE_ROWS``, chosen by a hash of the row; equal rows count once).  Prediction reads the text alone, every word of it.
 
 Defined results: null text, or text without a letter, gives ``und``, score 0
 and no spans; words of scripts that no language was seen in keep every
@@ -27,8 +26,6 @@ from pyspark.sql import functions as F
 from skupulse.llm.common import cut, frugal, hash_share, id_remainder, release_stores, slices
 
 SAMPLE_ROWS = 12_000     # labelled rows that fit the model, at most about
-MAX_GRAMS = 150_000      # (language, n-gram) counts kept, most frequent first
-MAX_LANGS = 200
 SWITCH = 12.0            # penalty, in nats, for a change of language
 FLOOR = 0.02             # share of a language's words a script needs to count
 CACHE = 250_000          # words whose scores a worker remembers
@@ -79,11 +76,11 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
     """Model from rows (text, lang).  Returns languages, n-grams, a row of
     log-probabilities each and the scripts of each language."""
     rows = labelled.select(F.col("text").cast("string"), F.col("lang").cast("string")).where("lang is not null and text is not null")
-    sample = hash_share(rows, sample_rows, rows.select("lang").count(), "text", "lang")
+    sample = hash_share(rows, sample_rows, rows.select("lang").count(), "text", "lang").distinct()
     counts = cut(sample.mapInArrow(frugal(_count), "lang string, kind string, gram string, n long")
                  .groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")))
-    scripts = counts.where("kind = 's'").orderBy(F.desc("n"), "lang", "gram").limit(MAX_LANGS * len(SCRIPTS)).collect()
-    kept = counts.where("kind = 'g'").orderBy(F.desc("n"), "gram", "lang").limit(MAX_GRAMS).collect()
+    scripts = counts.where("kind = 's'").orderBy(F.desc("n"), "lang", "gram").collect()
+    kept = counts.where("kind = 'g'").orderBy(F.desc("n"), "gram", "lang").collect()   # of the sample
     langs = sorted({r.lang for r in scripts})
     at = {lang: i for i, lang in enumerate(langs)}
     table: dict[str, np.ndarray] = {}
@@ -99,7 +96,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
     for r in scripts:
         if r.n >= FLOOR * words[r.lang]:
             seen.setdefault(r.gram, np.zeros(len(langs), bool))[at[r.lang]] = True
-    # the last row scores n-grams that were not kept
+    # the last row scores n-grams that the sample does not hold
     counted = np.stack([*table.values(), np.zeros(len(langs))])
     logs = np.log((counted + 0.5) / (total + 0.5 * size)).astype(np.float32)
     return {"langs": langs, "grams": list(table), "logs": logs, "scripts": seen}
