@@ -34,16 +34,20 @@ from skupulse.llm.common import cut, id_remainder
 TOXIC_ROWS = 1_500       # labelled toxic documents in the sample, at most about
 CLEAN_ROWS = 6_000       # labelled clean documents in the sample, at most about
 FIELD_ROWS = 700         # documents of each label that train the field
-SAMPLE_BYTES = 60_000    # longer documents do not train
 LIFT = 12.0              # toxic over clean document rate that marks a token
 MIN_DOCS = 4             # toxic documents that must hold a marking feature
-MAX_FEATURES = 200_000   # features of toxic documents that are tried
 PREFIXES = (3, 4, 5, 6)
 STEPS = 60
 CACHE = 300_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def fold(text: str) -> str:
+    """Lower case, letter by letter: offsets stay those of the text."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x) == 1 else c for c, x in ((c, c.lower()) for c in text))
+
+
 def features(word: str) -> list[str]:
     return ["=" + word, *(word[:k] for k in PREFIXES if len(word) >= k)]
 
@@ -124,7 +128,7 @@ def marking(toxic: dict[str, int], clean: dict[str, int], n1: int, n0: int) -> s
 
 def train(texts: list[str], labels: list[int], marks: set[str]) -> dict:
     """Fit the field and the document fit to labelled texts."""
-    docs = [WORD.findall(t.lower()) for t in texts]
+    docs = [WORD.findall(fold(t)) for t in texts]
     y = np.array(labels)
     prior = float(y.mean()) if len(y) else 0.5
     if not len(y) or y.min() == y.max():
@@ -199,7 +203,7 @@ def _score(model):
 
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            emits = [np.fromiter(map(emission, WORD.findall(t.lower())), float) for t in texts]
+            emits = [np.fromiter(map(emission, WORD.findall(fold(t))), float) for t in texts]
             lengths = np.array([len(e) for e in emits], np.int64)
             order = np.argsort(-lengths, kind="stable")
             live = order[:int((lengths > 0).sum())]
@@ -214,9 +218,8 @@ def _score(model):
                 owner = np.searchsorted(starts, hot, side="right") - 1
                 for o in np.unique(owner):
                     i = live[o]
-                    where = [mt.span() for mt in WORD.finditer(texts[i].lower())] if len(texts[i].lower()) == len(texts[i]) \
-                        else [mt.span() for mt in WORD.finditer(texts[i])]
-                    spans[i] = ",".join(f"{where[k][0]}:{where[k][1]}" for k in hot[owner == o] - starts[o] if k < len(where))
+                    where = [mt.span() for mt in WORD.finditer(fold(texts[i]))]
+                    spans[i] = ",".join(f"{where[k][0]}:{where[k][1]}" for k in hot[owner == o] - starts[o])
             score = _sigmoid(doc[0] + x @ np.array(doc[1:])) if doc else np.full(len(texts), m["prior"])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64()), pa.array(spans, pa.string())],
                                              ["doc_id", "score", "spans"])
@@ -236,7 +239,7 @@ def _signature(batches):
     for batch in batches:
         sign = []
         for text in batch.column("text").to_pylist():
-            words = WORD.findall(text.lower())
+            words = WORD.findall(fold(text))
             sign.append(min((zlib.crc32(" ".join(words[i:i + 3]).encode()) for i in range(max(1, len(words) - 2))), default=0))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sign, pa.int64())], [*batch.schema.names, "sign"])
 
@@ -247,7 +250,7 @@ def _document_counts(only):
         for batch in batches:
             found = Counter()
             for text in batch.column("text").to_pylist():
-                held = {f for w in set(WORD.findall(text.lower())) for f in features(w)}
+                held = {f for w in set(WORD.findall(fold(text))) for f in features(w)}
                 found.update(held if only is None else held & only.value)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())],
                                              ["feature", "n"])
@@ -272,7 +275,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> dict:
     # the sampled ids are few by construction; the limit is the proof
     ids = F.broadcast(known.where(want).limit(2 * (TOXIC_ROWS + CLEAN_ROWS)))
     sample = (documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-              .join(ids, F.col("doc_id") == F.col("label_id")).where(F.octet_length("text") <= SAMPLE_BYTES)
+              .join(ids, F.col("doc_id") == F.col("label_id")).where("text is not null")
               .select("doc_id", "text", "toxic")
               .mapInArrow(_signature, "doc_id long, text string, toxic int, sign long"))
     sample = cut(sample.groupBy("sign", "toxic").agg(F.min(F.struct("doc_id", "text")).alias("one"))
@@ -282,7 +285,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> dict:
     per = lambda rows, only: (rows.select("text").mapInArrow(_document_counts(only), "feature string, n long")
                               .groupBy("feature").agg(F.sum("n").alias("n")))
     toxic = {r.feature: r.n for r in per(sample.where("toxic <> 0"), None).where(F.col("n") >= MIN_DOCS)
-             .orderBy(F.desc("n"), "feature").limit(MAX_FEATURES).collect()}
+             .collect()}   # of the sample
     tried = spark.sparkContext.broadcast(frozenset(toxic))
     clean = {r.feature: r.n for r in per(sample.where("toxic = 0"), tried).collect()}
     marks = marking(toxic, clean, n1, n0)
