@@ -27,16 +27,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skupulse.llm.common import STORE, cut, frugal, slices
+from skupulse.llm.common import STORE, cut, frugal, release_stores
 
 WINDOW = 4096
 END_ID = 2
-CHUNKS = 150_000         # chunks whose ids a worker remembers
-WORDS = 500_000          # words whose ids a worker remembers
+WORDS = 250_000          # words whose ids a worker remembers
 GROUP_ROWS = 2_000       # pieces per salted rank group, about
 TOKENIZER = "word_bpe_49k.json"
 
@@ -68,52 +68,81 @@ class _Words(dict):
         return ids
 
 
-class _Chunks(dict):
-    """Ids of white-space free chunks of text.  The tokenizer drops white space
-    and never joins across it, so a text's ids are those of its chunks in
-    order; most chunks are a known word with a capital or a mark."""
-
-    def __init__(self, path: str):
-        super().__init__({"": b""})
-        self.words = _Words(path)
-
-    def __missing__(self, chunk: str) -> bytes:
-        if PLAIN.fullmatch(chunk) and "<|" not in chunk:
-            ids = b"".join(map(self.words.__getitem__, SPLIT.findall(chunk.lower())))
-        else:
-            ids = self.words[chunk]
-        if len(self) < CHUNKS:
-            self[chunk] = ids
-        return ids
-
-    def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        chunks = text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ")
-        return b"".join(map(self.__getitem__, chunks))
-
-
-def _known_chunks(path: str) -> _Chunks:
+def known_words(path: str) -> _Words:
     """The worker process's own store, which outlives a task: functions that
     travel by value get fresh globals each time, the interpreter's stay."""
-    stores = vars(sys).setdefault(STORE + "chunks", {})
+    stores = vars(sys).setdefault(STORE + "words", {})
     if path not in stores:
-        stores[path] = _Chunks(path)
+        release_stores()
+        stores = vars(sys).setdefault(STORE + "words", {})
+        stores[path] = _Words(path)
     return stores[path]
 
 
+def _take(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``flat`` (their sizes given) at the places ``at``, in a
+    row, and the size of each."""
+    count = sizes[at]
+    ends = np.cumsum(count)
+    shift = (np.cumsum(sizes) - sizes)[at] - (ends - count)
+    return flat[np.repeat(shift, count) + np.arange(ends[-1] if len(ends) else 0)], count
+
+
+def _lists(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """All elements in a row, and the bounds of each list among them."""
+    offsets = column.offsets.to_numpy()
+    return column.flatten(), offsets - offsets[0]
+
+
+def _sums(count: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    return np.diff(np.concatenate([[0], np.cumsum(count)])[bounds])
+
+
+def split_ids(texts: pa.Array, known, width: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, and the number of each text's ids.
+
+    The tokenizer drops white space and never joins across it, so texts split
+    there.  A chunk of plain characters folds letter by letter and splits into
+    words by its own pattern; any other goes to the tokenizer as it is.  Each
+    distinct chunk is split once, and each distinct word looked up once."""
+    chunks, edges = _lists(pc.ascii_split_whitespace(pc.fill_null(texts, "")))
+    chunks = chunks.dictionary_encode()
+    distinct = chunks.dictionary
+    plain = pc.and_(pc.match_substring_regex(distinct, f"^(?:{PLAIN.pattern})$"), pc.invert(pc.match_substring(distinct, "<|")))
+    split = pc.replace_substring_regex(pc.utf8_lower(distinct), f"({SPLIT.pattern})", "\\1 ")
+    words, bounds = _lists(pc.ascii_split_whitespace(pc.if_else(plain, split, distinct)))
+    words = words.dictionary_encode()
+    parts = [known[w] for w in words.dictionary.to_numpy(zero_copy_only=False).tolist()]
+    flat = np.frombuffer(b"".join(parts), "<u4").astype(width)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    flat, count = _take(flat, sizes, words.indices.to_numpy())
+    ids, count = _take(flat, _sums(count, bounds), chunks.indices.to_numpy())
+    return ids, _sums(count, edges)
+
+
+def by_size(batches, size: int = 4 << 20):
+    """Parts of the batches whose texts take about ``size`` bytes."""
+    for batch in batches:
+        bytes_ = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64)) // size
+        cuts = [0, *(np.flatnonzero(np.diff(bytes_)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            yield batch.slice(low, high - low)
+
+
 def _pieces(path: str, window: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        known = _known_chunks(path)
-        for batch in slices(batches):
+        known = known_words(path)
+        for batch in by_size(batches):
             out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = known.ids(text) + end
-                total = len(ids) // 4
+            ids, counts = split_ids(batch.column("text"), known, "<u4")
+            ends = np.cumsum(counts).tolist()
+            for doc, first, last in zip(batch.column("doc_id").to_pylist(), [0, *ends], ends, strict=False):
+                own = ids[first:last].tobytes() + end
+                total = len(own) // 4
                 for start in range(0, total, window):
-                    part = ids[4 * start:4 * (start + window)]
+                    part = own[4 * start:4 * (start + window)]
                     for column, value in zip(out, (doc, start, len(part) // 4, zlib.crc32(part), total), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out],

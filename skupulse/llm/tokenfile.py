@@ -31,14 +31,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skupulse.llm.common import frugal
-from skupulse.llm.packing import END_ID, PLAIN, SPLIT, _known_chunks, tokenizer_path
+from skupulse.llm.packing import END_ID, by_size, known_words, split_ids, tokenizer_path
 
 MAX_BITS = 16            # code length; more only if there are over 2**16 ids
 BLOCK_TOKENS = 65_536    # ids per block, about
@@ -48,65 +47,10 @@ PART_TOKENS = 32_000_000  # ids per range of documents, at most about
 
 # ---- tokens
 
-def _take(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The stretches of ``flat`` (their sizes given) at the places ``at``, in a
-    row, and the size of each."""
-    count = sizes[at]
-    ends = np.cumsum(count)
-    shift = (np.cumsum(sizes) - sizes)[at] - (ends - count)
-    return flat[np.repeat(shift, count) + np.arange(ends[-1] if len(ends) else 0)], count
-
-
-def _lists(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
-    """All elements in a row, and the bounds of each list among them."""
-    offsets = column.offsets.to_numpy()
-    return column.flatten(), offsets - offsets[0]
-
-
-def _sums(count: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    return np.diff(np.concatenate([[0], np.cumsum(count)])[bounds])
-
-
-def split_ids(texts: pa.Array, known, width: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts in a row, and the number of each text's ids.
-
-    The tokenizer drops white space and never joins across it, so texts split
-    there.  A chunk of plain characters folds letter by letter and splits into
-    words by its own pattern; any other goes to the tokenizer as it is.  Each
-    distinct chunk is split once, and each distinct word looked up once."""
-    chunks, edges = _lists(pc.ascii_split_whitespace(pc.fill_null(texts, "")))
-    chunks = chunks.dictionary_encode()
-    distinct = chunks.dictionary
-    plain = pc.and_(pc.match_substring_regex(distinct, f"^(?:{PLAIN.pattern})$"), pc.invert(pc.match_substring(distinct, "<|")))
-    split = pc.replace_substring_regex(pc.utf8_lower(distinct), f"({SPLIT.pattern})", "\\1 ")
-    words, bounds = _lists(pc.ascii_split_whitespace(pc.if_else(plain, split, distinct)))
-    words = words.dictionary_encode()
-    parts = [known[w] for w in words.dictionary.to_numpy(zero_copy_only=False).tolist()]
-    flat = np.frombuffer(b"".join(parts), "<u4").astype(width)
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-    flat, count = _take(flat, sizes, words.indices.to_numpy())
-    ids, count = _take(flat, _sums(count, bounds), chunks.indices.to_numpy())
-    return ids, _sums(count, edges)
-
-
-def _by_size(batches, size: int = 16 << 20):
-    """Parts of the batches whose texts take about ``size`` bytes."""
-    for batch in batches:
-        bytes_ = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64)) // size
-        cuts = [0, *(np.flatnonzero(np.diff(bytes_)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
-        for low, high in zip(cuts, cuts[1:], strict=False):
-            yield batch.slice(low, high - low)
-
-
-def _known_words(path: str):
-    """The worker process's own store of words' ids, which outlives a task."""
-    return _known_chunks(path).words
-
-
 def _stage(path: str, end_id: int, width: str):
     def run(batches):
-        known = _known_words(path)
-        for batch in _by_size(batches):
+        known = known_words(path)
+        for batch in by_size(batches):
             ids, n = split_ids(batch.column("text"), known, width)
             docs = batch.num_rows
             out = np.full(len(ids) + docs, end_id, width)

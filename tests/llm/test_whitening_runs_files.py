@@ -319,9 +319,9 @@ def test_codes_round_trip():
 
 
 def test_split_ids_equals_tokenizer():
-    known, words = tokenizer(), tokenfile._known_words(packing.tokenizer_path())
+    known, words = tokenizer(), packing.known_words(packing.tokenizer_path())
     texts = [None, "", "  ", "<|endoftext|> a<|endoftext|>b", "I'll they're O'T'S x", " a b \x1c c\x85d", "é É ẞ İ", "a ́",
              "中文 Ж, ok. 12ab3", "퟿", "don't'sx ''s", "ǅ", "Ω K", "\x0b\x0c a\tb\r\nc", "x" * 3000]
-    ids, n = tokenfile.split_ids(pa.array(texts), words, "<u4")
+    ids, n = packing.split_ids(pa.array(texts), words, "<u4")
     for text, own in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
         assert own.tolist() == known.encode(text or "", add_special_tokens=False).ids
