@@ -1,22 +1,28 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host are parsed into DOM trees; like siblings fold into one node, so
-that siblings have distinct labels and the largest alignment of two trees pairs
-the nodes with equal paths of labels.  All pages of a host are aligned that way
-into its wrapper: for each node the texts of its blocks are counted, by digest
-of the whole normalised text, over the host's pages, pages of equal text once.
-A text is template where it is on ``SAME_ON`` pages or more and on half of those
-that have the node, inside article or main elements on nine of ten (near copies
-of an article are not its template).  The wrapper stores the template's digests;
-a page loses a block only if the block's own text is among its node's.
-
-Besides, parts whose element or class says that they are menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles or reader comments
-are no content, and where there is an article or main element, only that counts.
+Pages of a host are parsed into DOM trees; like siblings (tag and class) fold
+into one node.  The host's commonest tree is its reference, and every page of
+the host is aligned with it by simple tree matching: nodes pair along the
+largest alignment of equal tags, in order, equal classes first.  A block counts
+at its own path, at the path of the reference's node it is aligned with (so
+renamed classes meet) and, outside article and main, at the host as a whole (so
+moved menus meet).  Counts go by digest of the whole normalised text over all
+pages of the host, pages of equal text once.  A text is template where it is on
+``SAME_ON`` pages or more and on half of those that have the node, inside
+article or main elements on nine of ten (near copies of an article are not its
+template).  The wrapper stores the template's digests; a page loses a block only
+if the block's own text is among its nodes'.
+
+Besides, parts whose element says that they are menus, footers, scripts, styles
+or controls are no content.  Class, id and role names, forms and headers only
+vote: such a part goes unless it holds more than half of the page's text (reader
+comments: nine tenths).  Where article or main elements hold a quarter or more of
+the text that is left without template, only they count.
 
 Counts are combined in the tasks before they move and spread by page, node and
-text, so a host with a third of all pages is spread like any other.  Wrappers
-are broadcast while they are small (counted first) and joined otherwise.
+text, so a host with a third of all pages is spread like any other.  References
+and wrappers are broadcast while they are small (measured first) and joined
+otherwise.
 
 Defined results: null or empty html, or html without text, gives an empty text
 of 0 characters; broken and cut markup is read as far as it goes; pages with a
@@ -39,7 +45,7 @@ from skupulse.llm.common import cut
 from skupulse.llm.urls import host_of
 
 SAME_ON = 3              # pages of different text a template block must be seen on
-MAX_NODES = 2_000        # nodes of a folded tree that are aligned
+DENSE = 4_096            # pairs of children up to which tags alone may match
 BROADCAST_BYTES = 32_000_000
 CACHE = 20_000
 
@@ -53,27 +59,46 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
                    "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul br".split())
 ENDS_P = BLOCKS - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 SAME_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-AWAY = frozenset("head script style title noscript template iframe nav footer aside form button select textarea svg object menu dialog".split())
+AWAY = frozenset("head script style title noscript template iframe nav footer aside button select textarea svg object menu dialog "
+                 "label legend option datalist".split())
 AWAY_ROLE = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
-AWAY_NAME = re.compile(r"(?:^|[-_\s])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice\w*|popup|modal|newsletter|subscribe|"
-                       r"nav|navbar|navigation|menu\w*|breadcrumb\w*|sidebar\w*|side|footer\w*|masthead|site-header|page-header|comment\w*|respond|"
-                       r"disqus\w*|related|share|sharing|social|pagination|pager|login|signup)(?:$|[-_\s\d])", re.I)
+AWAY_NAME = re.compile(r"(?:^|[-_])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice\w*|popup|modal|newsletter|subscribe|"
+                       r"nav|navbar|navigation|menu\w*|breadcrumb\w*|sidebar\w*|footer\w*|masthead|site-header|page-header|"
+                       r"share|sharing|social|pagination|pager|login|signup)(?:$|[-_\d])|^side$|(?:^|[-_])(?:left|right)[-_]?side$|"
+                       r"^side[-_](?:col\w*|nav|menu|box|widget)|^related(?:$|[-_](?:post|article|link|content|stor|news|item|reading))")
+COMMENT_NAME = re.compile(r"(?:^|[-_])(?:comment\w*|respond|disqus\w*)(?:$|[-_\d])")
+STATE = re.compile(r"(?:has|have|with|no|not|without|is)[-_]")  # such a name tells of a part elsewhere
+LIST_ENDS = ("ul", "ol", "dl", "table", "select", "div", "body")
+
+
+def vote(tag: str, main: bool, role: str, names: str) -> int:
+    """0: content, 1: no content, 2: reader comments, by what an element is called."""
+    if tag in ("html", "body", "article", "main"):
+        return 0
+    names = [n for n in names.lower().split() if not STATE.match(n)]
+    if any(COMMENT_NAME.search(n) for n in names):
+        return 2
+    return int(role in AWAY_ROLE or tag == "form" or (tag == "header" and not main) or any(AWAY_NAME.search(n) for n in names))
 
 
 class Page:
-    """A folded DOM tree: node 0 is the root; texts are (node, text, block)."""
+    """A folded DOM tree: node 0 is the root, parents come before children;
+    texts are (node, text, block)."""
 
-    __slots__ = ("labels", "parents", "children", "texts", "away", "main", "block")
+    __slots__ = ("labels", "parents", "children", "texts", "never", "votes", "main", "block")
 
     def __init__(self):
         self.labels, self.parents, self.children = ["#root"], [-1], [{}]
         self.texts: list[tuple[int, str, int]] = []
-        self.away, self.main = [False], [False]
+        self.never, self.votes, self.main = [False], [0], [False]
         self.block = [0]  # the block that each node's text belongs to
 
     def child(self, parent: int, tag: str, attrs: str) -> int:
         found = {m[1].lower(): (m[2] or m[3] or m[4] or "").strip() for m in ATTR.finditer(attrs)} if attrs and "=" in attrs else {}
-        label = tag + ("." + re.sub(r"\d+", "#", found["class"]) if found.get("class") else "")
+        # parts that differ in what their id or role says do not fold
+        role, names = found.get("role", "").lower(), f"{found.get('class', '')} {found.get('id', '')}"
+        voted = vote(tag, self.main[parent], role, names)
+        label = tag + ("." + re.sub(r"\d+", "#", " ".join(found["class"].split())) if found.get("class") else "") + ("", " -", " --")[voted]
         own = self.children[parent]
         if label in own:
             return own[label]
@@ -82,151 +107,277 @@ class Page:
         self.parents.append(parent)
         self.children.append({})
         self.block.append(node if tag in BLOCKS else self.block[parent])
-        role = found.get("role", "").lower()
-        main = self.main[parent] or tag in ("article", "main") or role in ("main", "article")
-        name = f"{found.get('class', '')} {found.get('id', '')}"
-        self.main.append(main)
-        self.away.append(self.away[parent] or tag in AWAY or role in AWAY_ROLE or (tag == "header" and not main)
-                         or (tag not in ("html", "body", "article", "main") and bool(AWAY_NAME.search(name))))
+        self.main.append(self.main[parent] or tag in ("article", "main") or role in ("main", "article"))
+        self.never.append(self.never[parent] or tag in AWAY)
+        self.votes.append(voted)
         return node
 
+    def away(self) -> list[bool]:
+        """Nodes that are no content: a vote decides unless the node holds most of the text."""
+        mass = [0] * len(self.labels)
+        for node, text, _ in self.texts:
+            if not self.never[node]:
+                mass[node] += len(text.strip())
+        for node in range(len(mass) - 1, 0, -1):
+            mass[self.parents[node]] += mass[node]
+        out = [False] * len(mass)
+        for node in range(1, len(mass)):
+            voted = self.votes[node]
+            spared = 2 * mass[node] > mass[0] if voted == 1 else 10 * mass[node] > 9 * mass[0]
+            out[node] = self.never[node] or out[self.parents[node]] or bool(voted and not spared)
+        return out
+
+    def paths(self) -> list[int]:
+        """Digest of each node's path of labels."""
+        out = [0] * len(self.labels)
+        for node in range(1, len(out)):
+            out[node] = xxhash.xxh3_64_intdigest(f"{out[self.parents[node]]:x} {self.labels[node]}".encode("utf-8", "surrogatepass"))
+        return out
+
+    def shape(self) -> str:
+        """The tree as text: parent and label of each node."""
+        return "\n".join(f"{p} {x}" for p, x in zip(self.parents[1:], self.labels[1:], strict=True))
+
+
+class _Open:
+    """Open elements, with the places of each tag among them."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = [("#root", 0)]
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, tag: str, node: int) -> None:
+        for name in (tag, "#block") if tag in BLOCKS and tag != "p" else (tag,):
+            self.at.setdefault(name, []).append(len(self.stack))
+        self.stack.append((tag, node))
+
+    def last(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close(self, place: int) -> None:
+        while place and len(self.stack) > place:
+            tag, _ = self.stack.pop()
+            for name in (tag, "#block") if tag in BLOCKS and tag != "p" else (tag,):
+                self.at[name].pop()
+
 
 def parse(source: str) -> Page:
     """Read html into a folded tree; whatever is not closed ends with its parent."""
-    page, stack, block, at = Page(), [("#root", 0)], 0, 0
+    page, open_, block, at = Page(), _Open(), 0, 0
     size = len(source)
     while at < size:
         m = TOKEN.search(source, at)
         end = m.start() if m else size
         if end > at:
-            page.texts.append((stack[-1][1], source[at:end], block))
+            page.texts.append((open_.stack[-1][1], source[at:end], block))
         if not m:
             break
         at = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
+        block += tag in BLOCKS
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-            block += tag in BLOCKS
+            open_.close(open_.last((tag,)))
             continue
-        block += tag in BLOCKS
         if tag in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCKS:
-                    break
+            place = open_.last(("p",))
+            if place > open_.last(("#block",)):
+                open_.close(place)
         if tag in SAME_END:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in SAME_END[tag]:
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("ul", "ol", "dl", "table", "select", "div", "body"):
-                    break
-        node = page.child(stack[-1][1], tag, m[3])
+            place = open_.last(SAME_END[tag])
+            if place > open_.last(LIST_ENDS):
+                open_.close(place)
+        node = page.child(open_.stack[-1][1], tag, m[3])
         if tag in RAW_END:
             stop = RAW_END[tag].search(source, at)
             at = stop.end() if stop else size
         elif tag not in VOID and not m[3].endswith("/"):
-            stack.append((tag, node))
+            open_.push(tag, node)
     return page
 
 
-def align(a_labels, a_children, b_labels, b_children, limit: int = MAX_NODES) -> dict[int, int]:
-    """Simple tree matching of two ordered trees: nodes of a to nodes of b.
-    Children are matched in order, for the largest number of aligned nodes."""
-    if len(a_labels) > limit or len(b_labels) > limit:
-        limit_children = 64
-    else:
-        limit_children = limit
-
-    def match(x: int, y: int) -> tuple[int, list]:
-        xs, ys = a_children[x][:limit_children], b_children[y][:limit_children]
-        table = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-        below = {}
-        for i, c in enumerate(xs, 1):
-            for j, d in enumerate(ys, 1):
-                best = max(table[i - 1][j], table[i][j - 1])
-                if a_labels[c] == b_labels[d]:
-                    below[i, j] = match(c, d)
-                    best = max(best, table[i - 1][j - 1] + below[i, j][0])
-                table[i][j] = best
-        pairs, i, j = [(x, y)], len(xs), len(ys)
-        while i and j:
-            if (i, j) in below and table[i][j] == table[i - 1][j - 1] + below[i, j][0]:
-                pairs += below[i, j][1]
-                i, j = i - 1, j - 1
-            elif table[i][j] == table[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-        return table[len(xs)][len(ys)] + 1, pairs
-
-    return dict(match(0, 0)[1])
-
-
-def units(page: Page) -> list[tuple[int, int, str]]:
-    """(path, key, text) of each block that tags and names leave: digests of the
-    node's path (odd inside article or main) and of path and text."""
-    inside = any(page.main[n] and not page.away[n] for n, t, _ in page.texts if not t.isspace())
+def _tag(label: str) -> str:
+    return label.split(".", 1)[0].split(" ", 1)[0]
+
+
+def _chain(xs, ys, worth: dict) -> list[tuple[int, int]]:
+    """The heaviest pairs of two ordered lists that do not cross."""
+    table = [[0] * (len(ys) + 1)]
+    for c in xs:
+        above, line = table[-1], [0]
+        for j, d in enumerate(ys):
+            line.append(max(above[j + 1], line[j], above[j] + worth.get((c, d), -1)))
+        table.append(line)
+    out, i, j = [], len(xs), len(ys)
+    while i and j:
+        if table[i][j] == table[i - 1][j]:
+            i -= 1
+        elif table[i][j] == table[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((xs[i], ys[j]))
+    return out
+
+
+def align(a_labels, a_children, b_labels, b_children) -> dict[int, int]:
+    """Simple tree matching of two ordered trees: nodes of a to nodes of b.  Nodes
+    match by tag, and weigh twice where their class is the same too; children are
+    matched in order, for the heaviest alignment of what is below.  Beyond
+    ``DENSE`` pairs of children only equal labels match, in any order."""
+    def tries(x: int, y: int) -> list[tuple[int, int]]:
+        xs, ys = a_children[x], b_children[y]
+        if len(xs) * len(ys) > DENSE:
+            named = {b_labels[d]: d for d in ys}
+            return [(c, named[a_labels[c]]) for c in xs if a_labels[c] in named]
+        return [(c, d) for c in xs for d in ys if _tag(a_labels[c]) == _tag(b_labels[d])]
+
+    order, below = [(0, 0)], {}
+    for pair in order:  # grows as it is read
+        below[pair] = tries(*pair)
+        order += below[pair]
+    weight, chosen = {}, {}
+    for x, y in reversed(order):
+        worth = {pair: weight[pair] for pair in below[x, y]}
+        dense = len(a_children[x]) * len(b_children[y]) <= DENSE
+        chosen[x, y] = _chain(a_children[x], b_children[y], worth) if dense and len(worth) > 1 else list(worth)
+        weight[x, y] = 1 + (a_labels[x] == b_labels[y]) + sum(worth[pair] for pair in chosen[x, y])
+    out, todo = {}, [(0, 0)]
+    while todo:
+        x, y = todo.pop()
+        out[x] = y
+        todo += chosen[x, y]
+    return out
+
+
+class Reference:
+    """A host's reference tree, read from its shape, and the alignments of the shapes met."""
+
+    def __init__(self, shape: str):
+        page = Page()
+        for line in shape.split("\n") if shape else []:
+            parent, label = line.split(" ", 1)
+            page.children[int(parent)][label] = len(page.labels)
+            page.parents.append(int(parent))
+            page.labels.append(label)
+            page.children.append({})
+        self.labels, self.children, self.paths = page.labels, [list(c.values()) for c in page.children], page.paths()
+        self.known: dict[int, dict[int, int]] = {}
+
+    def partners(self, page: Page) -> dict[int, int]:
+        """The reference's path for each node of the page that is aligned."""
+        key = xxhash.xxh3_64_intdigest(page.shape().encode("utf-8", "surrogatepass"))
+        if key not in self.known:
+            if len(self.known) >= 256:
+                self.known.clear()
+            pairs = align(page.labels, [list(c.values()) for c in page.children], self.labels, self.children)
+            self.known[key] = {x: self.paths[y] for x, y in pairs.items()}
+        return self.known[key]
+
+
+def units(page: Page, reference: Reference | None = None) -> list[tuple[list[tuple[int, int]], str]]:
+    """([(place, key)], text) of each block that elements and votes leave: digests of
+    the places it counts at (odd inside article or main) and of place and text."""
+    away, paths = page.away(), page.paths()
+    partners = reference.partners(page) if reference else {}
     blocks: list[list] = []
     for node, text, block in page.texts:
-        if page.away[node] or (inside and not page.main[node]):
+        if away[node]:
             continue
         if not blocks or blocks[-1][0] != block:
             blocks.append([block, node, []])
         elif all(t.isspace() for t in blocks[-1][2]):
             blocks[-1][1] = node
         blocks[-1][2].append(text)
-    paths: dict[int, int] = {0: 0}
-
-    def path(node: int) -> int:
-        above = []
-        while node not in paths:
-            above.append(node)
-            node = page.parents[node]
-        at = paths[node]
-        for n in reversed(above):
-            at = paths[n] = xxhash.xxh3_64_intdigest(f"{at:x} {page.labels[n]}")
-        return at
-
     out = []
     for _, node, parts in blocks:
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            at = path(page.block[node]) >> 1 << 1 | page.main[node]
-            out.append((at, xxhash.xxh3_64_intdigest(f"{at:x} {text}".encode("utf-8", "surrogatepass")), text))
+            own, main = page.block[node], page.main[node]
+            places = {paths[own] >> 1 << 1 | main: None}
+            if own in partners:
+                places[partners[own] >> 1 << 1 | main] = None
+            if not main:
+                places[0] = None
+            out.append(([(at, xxhash.xxh3_64_intdigest(f"{at:x} {text}".encode("utf-8", "surrogatepass"))) for at in places], text))
     return out
 
 
+def main_text(found, same) -> str:
+    """The blocks without template; of article and main alone where they hold a quarter."""
+    kept = [(keys[0][0] & 1, text) for keys, text in found if not any(key in same for _, key in keys)]
+    inside = sum(len(text) for keys, text in found if keys[0][0] & 1)
+    outside = sum(len(text) for main, text in kept if not main)
+    alone = inside and 3 * inside >= outside
+    return "\n".join(text for main, text in kept if main or not alone)
+
+
 def _signed(values: list[int]) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
 
+def _shapes(batches):
+    """host, shape and number of pages, added up within a batch."""
+    for batch in batches:
+        counts: dict[tuple[int, str], int] = {}
+        for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            key = host, parse(source).shape()
+            counts[key] = counts.get(key, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in counts], pa.int64()), pa.array([x for _, x in counts], pa.string()),
+                                          pa.array(list(counts.values()), pa.int64())], ["host", "shape", "n"])
+
+
+class _Known(dict):
+    """What is made of a host's data, for the hosts met."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def of(self, host, value):
+        if not value.is_valid:
+            return None
+        if host not in self:
+            if len(self) >= CACHE:
+                self.clear()
+            self[host] = self.make(value)
+        return self[host]
+
+
 def _seen(batches):
-    """host, path, key and page of the blocks; a row with key = path counts the node."""
+    """host, place, key and page of the blocks; a row with key = place counts the node."""
+    references = _Known(lambda value: Reference(value.as_py()))
     for batch in batches:
         hosts, lengths, rows = batch.column("host").to_numpy(zero_copy_only=False), [], []
-        for source in batch.column("html").to_pylist():
-            found = units(parse(source))
-            page = xxhash.xxh3_64_intdigest("\n".join(t for _, _, t in found).encode("utf-8", "surrogatepass"))
-            pairs = {(at, key) for at, key, _ in found} | {(at, at) for at, _, _ in found}
+        shapes = batch.column("shape")
+        for i, source in enumerate(batch.column("html").to_pylist()):
+            found = units(parse(source), references.of(hosts[i], shapes[i]))
+            page = xxhash.xxh3_64_intdigest("\n".join(t for _, t in found).encode("utf-8", "surrogatepass"))
+            pairs = {pair for keys, _ in found for pair in keys} | {(at, at) for keys, _ in found for at, _ in keys}
             rows += [(at, key, page) for at, key in pairs]
             lengths.append(len(pairs))
         columns = [pa.array(np.repeat(hosts, lengths))] + [pa.array(_signed([r[k] for r in rows])) for k in range(3)]
         yield pa.RecordBatch.from_arrays(columns, ["host", "path", "key", "page"])
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper): the digest of each host, and those of its template blocks."""
-    rows = pages.select(host_of("url").alias("host"), F.col("html").cast("string").alias("html"))
-    rows = rows.where("host is not null and html <> ''").select(F.xxhash64("host").alias("host"), "html")
-    seen = rows.mapInArrow(_seen, "host long, path long, key long, page long").distinct()
+def _beside(rows: DataFrame, side: DataFrame, weight) -> DataFrame:
+    """Rows with their host's data: broadcast while small, joined otherwise."""
+    bytes_ = side.agg(F.coalesce(F.sum(weight + 64), F.lit(0))).first()[0]
+    side = side.withColumnRenamed("host", "s_host")
+    return rows.join(F.broadcast(side) if bytes_ <= BROADCAST_BYTES else side, F.col("host") == F.col("s_host"), "left").drop("s_host")
+
+
+def references(rows: DataFrame) -> DataFrame:
+    """(host, shape): the commonest tree of each host, ties by text."""
+    shapes = rows.mapInArrow(_shapes, "host long, shape string, n long").groupBy("host", "shape").agg(F.sum("n").alias("n"))
+    return shapes.groupBy("host").agg(F.max(F.struct("n", "shape")).alias("top")).select("host", "top.shape")
+
+
+def wrappers(rows: DataFrame, trees: DataFrame) -> DataFrame:
+    """(host, wrapper): the digests of each host's template blocks."""
+    seen = _beside(rows, trees, F.length("shape")).select("host", "html", "shape")
+    seen = seen.mapInArrow(_seen, "host long, path long, key long, page long").distinct()
     counts = cut(seen.groupBy("host", "path", "key").agg(F.count("*").alias("n")).where(F.col("n") >= SAME_ON))
     nodes = counts.where("key = path").select(F.col("host").alias("n_host"), F.col("path").alias("n_path"), F.col("n").alias("pages"))
     texts = counts.where("key <> path").join(nodes, (F.col("host") == F.col("n_host")) & (F.col("path") == F.col("n_path")))
@@ -237,22 +388,16 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 
 def _extract(batches):
-    fixed: dict[int, frozenset] = {}
+    trees = _Known(lambda value: Reference(value.as_py()))
+    fixed = _Known(lambda value: frozenset(value.values.to_numpy().view(np.uint64).tolist()))
     for batch in batches:
         texts = []
-        known = batch.column("wrapper")
+        shapes, known = batch.column("shape"), batch.column("wrapper")
         for i, (host, source) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)):
-            if not source:
-                texts.append("")
-                continue
-            same = frozenset()
-            if known[i].is_valid:
-                if host not in fixed:
-                    if len(fixed) >= CACHE:
-                        fixed.clear()
-                    fixed[host] = frozenset(known[i].values.to_numpy().view(np.uint64).tolist())
-                same = fixed[host]
-            texts.append("\n".join(t for _, key, t in units(parse(source)) if key not in same))
+            same = fixed.of(host, known[i]) or frozenset()
+            # without a wrapper no block has to be found at its partner's place
+            tree = trees.of(host, shapes[i]) if same else None
+            texts.append(main_text(units(parse(source), tree), same) if source else "")
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
              pa.array(np.array([len(t) for t in texts], np.int64))], ["page_id", "url", "text", "n_chars"])
@@ -260,11 +405,12 @@ def _extract(batches):
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    side = cut(wrappers(pages)).select(F.col("host").alias("w_host"), "wrapper")
-    weight = side.agg(F.coalesce(F.sum(8 * F.size("wrapper") + 64), F.lit(0))).first()[0]
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.col("html").cast("string").alias("html"), host_of("url").alias("name"))
     rows = rows.withColumn("host", F.when(F.col("name").isNotNull(), F.xxhash64("name"))).drop("name")
-    joined = rows.join(F.broadcast(side) if weight <= BROADCAST_BYTES else side, F.col("host") == F.col("w_host"), "left")
-    return (joined.select("page_id", "url", "html", "host", "wrapper")
+    hosted = rows.where("host is not null and html <> ''").select("host", "html")
+    trees = cut(references(hosted))
+    side = cut(wrappers(hosted, trees))
+    joined = _beside(_beside(rows, trees, F.length("shape")), side, 8 * F.size("wrapper"))
+    return (joined.select("page_id", "url", "html", "host", "shape", "wrapper")
             .mapInArrow(_extract, "page_id long, url string, text string, n_chars long"))

@@ -144,6 +144,89 @@ def test_tree_matching():
     assert extract.align(*a, *b) == {0: 0, 2: 1, 3: 2}
 
 
+def best_matching(a_labels, a_children, b_labels, b_children):
+    """Size of the heaviest alignment, by trying every way to pair the children."""
+    def forests(xs, ys):
+        if not xs or not ys:
+            return 0
+        best = max(forests(xs[1:], ys), forests(xs, ys[1:]))
+        if a_labels[xs[0]].split(".")[0] == b_labels[ys[0]].split(".")[0]:
+            best = max(best, trees(xs[0], ys[0]) + forests(xs[1:], ys[1:]))
+        return best
+
+    def trees(x, y):
+        return 1 + (a_labels[x] == b_labels[y]) + forests(a_children[x], b_children[y])
+
+    return trees(0, 0)
+
+
+def test_tree_matching_brute_force():
+    rng = random.Random(5)
+
+    def tree():
+        labels, children = ["#root"], [[]]
+        for _ in range(rng.randint(0, 9)):
+            parent = rng.randrange(len(labels))
+            children[parent].append(len(labels))
+            labels.append(rng.choice(["p", "div.a", "div.b", "ul"]))
+            children.append([])
+        return labels, children
+
+    for _ in range(200):
+        a, b = tree(), tree()
+        got = extract.align(*a, *b)
+        above = [{c: p for p, cs in enumerate(t[1]) for c in cs} for t in (a, b)]
+        for x, y in got.items():
+            assert a[0][x].split(".")[0] == b[0][y].split(".")[0] and (x == 0) == (y == 0)
+            assert x == 0 or got[above[0][x]] == above[1][y]
+        assert len(set(got.values())) == len(got)
+        for x in got:
+            sides = [got[c] for c in a[1][x] if c in got]
+            assert sides == sorted(sides)
+        assert sum(1 + (a[0][x] == b[0][y]) for x, y in got.items()) == best_matching(*a, *b)
+
+
+def test_extraction_names_vote(spark):
+    long = "a sentence of the article goes on " * 8
+    bodies = [
+        f'<div class="container has-sidebar"><article><p>{long}</article><div class="sidebar">side</div></div>',
+        f'<form id="aspnetForm"><div><p>{long}</div><label>Mail</label><button>Send</button></form>',
+        f'<article><p>{long}<section id="side-effects"><p>effects</section><div class="related-work">work</div></article>',
+        f'<div class="post"><p>{long}</div><article class="card">Teaser</article>',
+        f'<div><p>{long}</div><div class="post-comments"><article><p>{long[:150]}</article></div><form class="x"><p>Join us</form>',
+    ]
+    text = " ".join(long.split())
+    want = [text, text, f"{text}\neffects\nwork", f"{text}\nTeaser", text]
+    got = {r.page_id: r.text for r in extract.extract(spark.createDataFrame(
+        [(i, f"http://h{i}.org/", f"<body>{b}</body>") for i, b in enumerate(bodies)], "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(len(bodies))] == want
+
+
+def test_extraction_matches_moved_and_renamed_parts(spark):
+    rows, want, salt = [], {}, "qwertzuiopas"
+    for i in range(12):  # class names of the build, a menu before or after the text
+        menu, own = "<ul><li>Start<li>Shop</ul>", f'<div class="t"><p>text {i}</div>'
+        rows.append((i, f"http://m.org/{i}", f"<body>{menu + own if i % 2 else f'<section>{own}</section><div>{menu}</div>'}</body>"))
+        want[i] = f"text {i}"
+        lead = f'<main class="{salt[i]}x"><div class="{salt[i]}a"><p>All rights</div><div class="{salt[i]}b"><p>body {i}</div></main>'
+        rows.append((100 + i, f"http://r.org/{i}", f"<body>{lead}</body>"))
+        want[100 + i] = f"body {i}"
+    df = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "page_id long, url string, html string, host string, shape string, wrapper string")
+    assert {r.page_id: r.text for r in extract.extract(df).collect()} == want
+    assert extract.extract(df.limit(0)).count() == 0
+
+
+def test_parser_is_linear():
+    import time
+    began = time.time()
+    assert extract.units(extract.parse("<b>" * 20_000 + "x" + "</i>" * 20_000 + "<hr>" * 20_000))[0][1] == "x"
+    page = extract.parse("".join(f'<div class="{"x" * (i % 50)}y">{i}' for i in range(3_000)))
+    assert len(extract.units(page, extract.Reference(page.shape()))) == 3_000
+    wide = extract.parse("".join(f'<div class="{"x" * i}">{i}</div>' for i in range(400)))
+    assert len(extract.units(wide, extract.Reference(wide.shape()))) == 400
+    assert time.time() - began < 20
+
+
 def water(sizes, most=3):
     src = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
     weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(src)}
