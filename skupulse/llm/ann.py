@@ -3,10 +3,13 @@
 The tree is fitted to a bounded sample (``SAMPLE_ROWS``); every row is assigned
 to a leaf.  Largest inner product becomes nearest neighbour by one more
 coordinate that lifts all vectors to the largest norm.  A query walks the tree
-best bin first, through a priority queue of branches by distance, and visits
-leaves in that order while their centre is no further from the query than the
-nearest leaf's plus a slack; the slack is widened until sampled queries reach
-``RECALL`` of their exact neighbours (brute force over all rows), or to no limit.
+best bin first, through a priority queue of branches by distance, and stops
+after a number of leaves; sampled queries, compared with brute force over all
+rows, widen that number until they reach ``RECALL`` of their exact neighbours.
+
+The first leaves of the walk are searched at once.  Their k-th best score then
+spares the query the later leaves whose ball (centre, and the distance of its
+furthest row) cannot hold a row that scores as much; that loses nothing.
 
 Queries meet a leaf in blocks: a leaf's rows and its queries are salted into
 groups of about ``GROUP_ROWS``, so neither a hot leaf nor a popular one is a
@@ -22,6 +25,7 @@ fewer candidates than k give them all.  Extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,7 @@ MAX_LEAVES = 2_000       # the tree is broadcast: its size is bounded
 BRANCHES = 8
 CALIBRATION = 64         # queries whose exact neighbours set the slack
 RECALL = 0.97
+FIRST_LEAVES = 2         # leaves whose scores bound what later ones may add
 GROUP_ROWS = 4_096
 
 
@@ -112,15 +117,9 @@ class Tree:
             for d, child in zip(apart.tolist(), self.children[node], strict=True):
                 heapq.heappush(queue, (d, child))
 
-    def visits(self, query: np.ndarray, slack: float) -> list[int]:
-        """Leaves in the walk's order whose centre is within the slack of the
-        nearest one seen."""
-        out, best = [], np.inf
-        for leaf, far in self.walk(query):
-            best = min(best, far)
-            if far <= best + slack:
-                out.append(leaf)
-        return out
+    def visits(self, query: np.ndarray, count: int) -> list[int]:
+        """The first ``count`` leaves of the walk."""
+        return [leaf for leaf, _ in itertools.islice(self.walk(query), count)]
 
 
 def nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -183,75 +182,55 @@ def brute_force(rows: DataFrame, queries: list[tuple[int, list[float]]], k: int)
     return _top(rows.select("vec_id", "vec").mapInArrow(run, FOUND), k)
 
 
-def calibrate(tree: Tree, top: float, placed: DataFrame, queries, k: int, recall: float = RECALL) -> float:
-    """Smallest slack at which the sampled queries reach the recall."""
+def calibrate(tree: Tree, placed: DataFrame, queries, k: int, recall: float = RECALL) -> int:
+    """Smallest number of leaves at which the sampled queries reach the recall."""
     exact = (brute_force(placed, queries, k).select("query_id", "vec_id")
              .join(placed.select("vec_id", "leaf"), "vec_id").select("query_id", "leaf").collect())
-    need: list[float] = []
-    vecs = dict(queries)
-    far = {}
-    for q, v in vecs.items():
-        # centres are compared with the query itself, its lift being nothing
-        best, order = np.inf, {}
-        for leaf, d in tree.walk(np.append(v, 0.0)):
-            best = min(best, d)
-            order[leaf] = d - best
-        far[q] = order
-    need = sorted(far[r.query_id][r.leaf] for r in exact)
-    if not need:
-        return float("inf")
-    at = min(len(need) - 1, int(np.ceil(recall * len(need))))
-    return need[at] * 1.02 + 1e-9
+    # centres are compared with the query itself, its lift being nothing
+    place = {q: {leaf: i for i, (leaf, _) in enumerate(tree.walk(np.append(v, 0.0)), 1)} for q, v in queries}
+    need = sorted(place[r.query_id][r.leaf] for r in exact)
+    return need[min(len(need) - 1, int(np.ceil(recall * len(need))))] if need else len(tree.leaf_centres)
 
 
-def search(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows of each row whose
-    vec_id is divisible by ``every``."""
-    spark = embeddings.sparkSession
-    rows = cut(usable(embeddings))
-    norm = F.aggregate(F.transform("vec", lambda x: x * x), F.lit(0.0), lambda s, x: s + x)
-    total, top = rows.agg(F.count("*"), F.max(norm)).first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not total:
-        return spark.createDataFrame([], schema)
-    sample = hash_share(rows, SAMPLE_ROWS, total, "vec_id").limit(2 * SAMPLE_ROWS).orderBy("vec_id").collect()
-    if not sample:
-        sample = rows.orderBy("vec_id").limit(1).collect()
-    leaves = int(min(MAX_LEAVES, max(1, total // LEAF_ROWS)))
-    sample_ids, sample_rows = np.array([r.vec_id for r in sample], np.int64), np.array([r.vec for r in sample])
-    tree = Tree(lifted(sample_rows, top), leaves)
+def index(rows: DataFrame, total: int, top: float) -> tuple[Tree, DataFrame]:
+    """The tree of a sample, and every row with its leaf and its distance from the centre."""
+    sample = hash_share(rows, SAMPLE_ROWS, total, "vec_id").limit(2 * SAMPLE_ROWS).orderBy("vec_id").select("vec").toArrow()
+    if not sample.num_rows:
+        sample = rows.orderBy("vec_id").limit(1).select("vec").toArrow()
+    tree = Tree(lifted(_matrix(sample.column("vec")), top), int(min(MAX_LEAVES, max(1, total // LEAF_ROWS))))
 
     def assign(batches):
         for batch in batches:
-            leaf = tree.leaf_of(lifted(_matrix(batch.column("vec")), top)) if batch.num_rows else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], [*batch.schema.names, "leaf"])
-
-    placed = cut(rows.mapInArrow(assign, "vec_id long, vec array<double>, leaf long"))
-    asked = placed.where(F.col("vec_id") % every == 0).select("vec_id", "vec").toDF("query_id", "vec")
-    probe = asked.orderBy(F.xxhash64("query_id"), "query_id").limit(CALIBRATION).collect()
-    if not probe:
-        return spark.createDataFrame([], schema)
-    slack = calibrate(tree, top, placed, [(r.query_id, r.vec) for r in probe], k)
+            vecs = _matrix(batch.column("vec"))
+            leaf = tree.leaf_of(lifted(vecs, top)) if batch.num_rows else np.empty(0, np.int64)
+            apart = np.sqrt(((vecs - tree.leaf_matrix[leaf, :-1]) ** 2).sum(axis=1)) if batch.num_rows else np.empty(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.array(apart)], [*batch.schema.names, "leaf", "apart"])
 
-    # the k best sampled rows are results found, and bound what leaves may add
-    def first(batches):
-        for batch in batches:
-            if batch.num_rows:
-                found = _best(batch.column("query_id").to_numpy(), _matrix(batch.column("vec")), sample_ids, sample_rows, k)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
+    return tree, cut(rows.mapInArrow(assign, "vec_id long, vec array<double>, leaf long, apart double"))
 
-    near = cut(asked.mapInArrow(first, FOUND))
-    bound = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("least"))
-    asked = cut(asked.join(bound, "query_id", "left").select("query_id", "vec", F.coalesce("least", F.lit(float("-inf"))).alias("least"))).toDF("query_id", "vec", "least")
 
+def route(tree: Tree, asked: DataFrame, first: int, last: int, radius: np.ndarray) -> DataFrame:
+    """(query_id, leaf): places first .. last - 1 of each query's walk, without the
+    leaves none of whose rows can score the query's ``least``."""
     def visit(batches):
         for batch in batches:
-            visits = [tree.visits(np.append(v, 0.0), slack) for v in _matrix(batch.column("vec"))] if batch.num_rows else []
-            at = np.repeat(np.arange(batch.num_rows), [len(v) for v in visits]) if visits else np.empty(0, np.int64)
-            leaf = np.concatenate(visits).astype(np.int64) if visits else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(at, pa.int64())), pa.array(leaf)], ["query_id", "leaf"])
-
-    visited = cut(asked.mapInArrow(visit, "query_id long, leaf long"))
+            ids, leaves = [], []
+            least = batch.column("least").to_numpy()
+            for i, v in enumerate(_matrix(batch.column("vec")) if batch.num_rows else ()):
+                walked = np.array(tree.visits(np.append(v, 0.0), last)[first:], np.int64)
+                most = tree.leaf_matrix[walked, :-1] @ v + radius[walked] * np.sqrt(v @ v)
+                walked = walked[most + 1e-9 * (1 + np.abs(most)) >= least[i]]
+                ids.append(np.full(len(walked), batch.column("query_id")[i].as_py(), np.int64))
+                leaves.append(walked)
+            empty = [np.empty(0, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids or empty)), pa.array(np.concatenate(leaves or empty))],
+                                             ["query_id", "leaf"])
+
+    return cut(asked.mapInArrow(visit, "query_id long, leaf long"))
+
+
+def meet(placed: DataFrame, asked: DataFrame, visited: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query in each leaf that it visits."""
     n_rows = placed.groupBy("leaf").agg(F.count("*").alias("n_rows"))
     n_asked = visited.groupBy("leaf").agg(F.count("*").alias("n_asked"))
     parts = cut(n_rows.join(n_asked, "leaf").select(
@@ -263,7 +242,7 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     right = (visited.join(parts, "leaf").select("leaf", F.col("query_id"), salt("query_id", "qs").alias("q"), upto("rs").alias("r"))
              .join(asked, "query_id").select("leaf", "r", "q", "query_id", "vec", "least"))
 
-    def meet(key, rows_, asked_):
+    def score(key, rows_, asked_):
         if not rows_.num_rows or not asked_.num_rows:
             a, b, c = (np.empty(0, t) for t in (np.int64, np.int64, np.float64))
         else:
@@ -273,5 +252,32 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
         return pa.table({"query_id": a, "vec_id": b, "score": c},
                         schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
-    found = left.groupBy("leaf", "r", "q").cogroup(right.groupBy("leaf", "r", "q")).applyInArrow(meet, FOUND)
-    return _top(found.union(near).distinct(), k).select("query_id", "rank", "vec_id", "score")
+    return left.groupBy("leaf", "r", "q").cogroup(right.groupBy("leaf", "r", "q")).applyInArrow(score, FOUND)
+
+
+def search(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest rows of each row whose
+    vec_id is divisible by ``every``."""
+    spark = embeddings.sparkSession
+    rows = cut(usable(embeddings))
+    norm = F.aggregate(F.transform("vec", lambda x: x * x), F.lit(0.0), lambda s, x: s + x)
+    total, top = rows.agg(F.count("*"), F.max(norm)).first()
+    schema = "query_id long, rank int, vec_id long, score double"
+    if not total:
+        return spark.createDataFrame([], schema)
+    tree, placed = index(rows, total, top)
+    asked = placed.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "vec", F.lit(float("-inf")).alias("least"))
+    probe = asked.orderBy(F.xxhash64("query_id"), "query_id").limit(CALIBRATION).collect()
+    if not probe:
+        return spark.createDataFrame([], schema)
+    count = calibrate(tree, placed, [(r.query_id, r.vec) for r in probe], k)
+    radius = np.zeros(len(tree.leaf_centres))
+    for r in placed.groupBy("leaf").agg(F.max("apart").alias("apart")).collect():  # at most about MAX_LEAVES
+        radius[r.leaf] = r.apart
+    begin = min(FIRST_LEAVES, count)
+    near = cut(_top(meet(placed, asked, route(tree, asked, 0, begin, radius), k), k).drop("rank"))
+    bound = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("bound"))
+    asked = cut(asked.join(bound, "query_id", "left")
+                .select("query_id", "vec", F.coalesce("bound", "least").alias("least"))).toDF("query_id", "vec", "least")
+    found = near.union(meet(placed, asked, route(tree, asked, begin, count, radius), k)) if count > begin else near
+    return _top(found, k).select("query_id", "rank", "vec_id", "score")

@@ -331,6 +331,42 @@ def test_neighbours(spark):
     assert few == {(20, 21), (20, 22)}
 
 
+def test_neighbours_of_many_rows_come_by_the_tree(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(60, 16))
+    mat = (base[rng.integers(0, 60, 26_000)] + 0.3 * rng.normal(size=(26_000, 16))).astype(np.float32)
+    mat[100:140] = mat[100]  # ties
+    table = pa.table({"vec_id": pa.array(np.arange(26_000)), "embedding": pa.FixedSizeListArray.from_arrays(mat.ravel(), 16).cast(pa.list_(pa.float32())),
+                      "leaf": pa.array(np.zeros(26_000)), "least": pa.array(np.zeros(26_000)), "query_id": pa.array(np.arange(26_000))})
+    df = spark.createDataFrame(table).repartition(4).checkpoint()
+    exact = mat.astype(float)
+    by = {}
+    for r in ann.search(df).collect():
+        by.setdefault(r.query_id, []).append(r)
+    assert set(by) == set(range(0, 26_000, 20))
+    hits = 0
+    for q, rows in by.items():
+        score = exact @ exact[q]
+        score[q] = -np.inf
+        rows = sorted(rows, key=lambda r: r.rank)
+        assert [r.rank for r in rows] == list(range(1, 21)) and q not in {r.vec_id for r in rows}
+        assert rows == sorted(rows, key=lambda r: (-r.score, r.vec_id))
+        assert np.allclose([r.score for r in rows], score[[r.vec_id for r in rows]], atol=1e-12)
+        hits += sum(score[r.vec_id] >= np.partition(score, -20)[-20] - 1e-12 for r in rows)
+    assert hits >= 0.9 * 20 * len(by)
+    # part of the rows is scored, not all
+    rows = ann.cut(ann.usable(df))
+    tree, placed = ann.index(rows, 26_000, float((exact ** 2).sum(axis=1).max()))
+    asked = placed.where("vec_id % 20 = 0").selectExpr("vec_id query_id", "vec", "double('-inf') least")
+    probe = [(r.query_id, r.vec) for r in asked.limit(64).collect()]
+    count = ann.calibrate(tree, placed, probe, 20)
+    sizes = {r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()}
+    walked = ann.route(tree, asked, 0, count, np.full(len(tree.leaf_centres), np.inf)).collect()
+    share = sum(sizes.get(r.leaf, 0) for r in walked) / (1_300 * 26_000)
+    print(f"recall {hits / 26_000:.3f}, leaves {count} of {len(tree.leaf_centres)}, share of rows within reach {share:.3f}")
+    assert share < 0.5
+
+
 def test_urls(spark):
     rows = ["http://www.Example.com/en/x?q=/es/", "https://example.com/en", "https://a.example.com/en/", "ftp://x.net/es/1", "http://net/fr/", "http://com",
             "http://xcom/", "no scheme", None, "", "http://b.org/#com/", "://com/", "http://example.com/en/", "http://example.com/en/"]
