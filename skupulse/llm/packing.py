@@ -36,7 +36,7 @@ from skupulse.llm.common import STORE, cut, frugal, release_stores
 
 WINDOW = 4096
 END_ID = 2
-WORDS = 250_000          # words whose ids a worker remembers
+WORDS = 150_000          # words whose ids a worker remembers
 GROUP_ROWS = 2_000       # pieces per salted rank group, about
 TOKENIZER = "word_bpe_49k.json"
 
@@ -120,7 +120,7 @@ def split_ids(texts: pa.Array, known, width: str) -> tuple[np.ndarray, np.ndarra
     return ids, _sums(count, edges)
 
 
-def by_size(batches, size: int = 4 << 20):
+def by_size(batches, size: int = 1 << 20):
     """Parts of the batches whose texts take about ``size`` bytes."""
     for batch in batches:
         bytes_ = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64)) // size
@@ -145,6 +145,8 @@ def _pieces(path: str, window: int, end_id: int):
                     part = own[4 * start:4 * (start + window)]
                     for column, value in zip(out, (doc, start, len(part) // 4, zlib.crc32(part), total), strict=True):
                         column.append(value)
+            del ids
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out],
                                              ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
     return run
