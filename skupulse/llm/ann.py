@@ -7,9 +7,11 @@ best bin first, through a priority queue of branches by distance, and stops
 after a number of leaves; sampled queries, compared with brute force over all
 rows, widen that number until they reach ``RECALL`` of their exact neighbours.
 
-The first leaves of the walk are searched at once.  Their k-th best score then
-spares the query the later leaves whose ball (centre, and the distance of its
-furthest row) cannot hold a row that scores as much; that loses nothing.
+The walk is searched in rounds, each ``WIDEN`` times as wide as what was visited
+before it.  A query's k-th best score so far spares it the later leaves whose ball
+(centre, and the distance of its furthest row) cannot hold a row that scores as much,
+and leaves return only rows that score as much; that loses nothing, and a query's
+returned rows grow with the logarithm of the leaves it visits.
 
 Queries meet a leaf in blocks: a leaf's rows and its queries are salted into
 groups of about ``GROUP_ROWS``, so neither a hot leaf nor a popular one is a
@@ -41,7 +43,8 @@ MAX_LEAVES = 2_000       # the tree is broadcast: its size is bounded
 BRANCHES = 8
 CALIBRATION = 64         # queries whose exact neighbours set the slack
 RECALL = 0.97
-FIRST_LEAVES = 2         # leaves whose scores bound what later ones may add
+FIRST_LEAVES = 2         # leaves of the first round, whose scores bound what later ones may add
+WIDEN = 4                # each round goes on to so many times the leaves visited before
 GROUP_ROWS = 4_096
 
 
@@ -274,10 +277,13 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     radius = np.zeros(len(tree.leaf_centres))
     for r in placed.groupBy("leaf").agg(F.max("apart").alias("apart")).collect():  # at most about MAX_LEAVES
         radius[r.leaf] = r.apart
-    begin = min(FIRST_LEAVES, count)
-    near = cut(_top(meet(placed, asked, route(tree, asked, 0, begin, radius), k), k).drop("rank"))
-    bound = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("bound"))
-    asked = cut(asked.join(bound, "query_id", "left")
-                .select("query_id", "vec", F.coalesce("bound", "least").alias("least"))).toDF("query_id", "vec", "least")
-    found = near.union(meet(placed, asked, route(tree, asked, begin, count, radius), k)) if count > begin else near
-    return _top(found, k).select("query_id", "rank", "vec_id", "score")
+    near, begin, end = None, 0, min(FIRST_LEAVES, count)
+    while begin < end:
+        found = meet(placed, asked, route(tree, asked, begin, end, radius), k)
+        near = cut(_top(found if near is None else near.union(found), k).drop("rank"))
+        begin, end = end, min(WIDEN * end, count)
+        if begin < end:
+            bound = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("bound"))
+            asked = cut(asked.join(bound, "query_id", "left")
+                        .select("query_id", "vec", F.coalesce("bound", "least").alias("least"))).toDF("query_id", "vec", "least")
+    return _top(near, k).select("query_id", "rank", "vec_id", "score")
