@@ -67,6 +67,18 @@ def facts_panels(facts: DataFrame, mapping: DataFrame, train=(config.TRAIN_START
     return train_p, test_p, train_p.unionByName(test_p)
 
 
+def panel_alignment(facts: DataFrame, test_panel: DataFrame, test=(config.TEST_START, config.TEST_END)) -> DataFrame:
+    """D3: per train cluster the observed and the zero-filled cells of the
+    aligned test panel, and whether the test week lacks the cluster altogether."""
+    own = facts.filter(F.col("date").between(F.lit(test[0]), F.lit(test[1])) & F.col("warehouse").isNotNull())
+    observed = own.groupBy("sku_cluster_ID").agg(F.count(F.lit(1)).alias("observed_cells"))
+    cells = test_panel.groupBy("sku_cluster_ID").agg(F.count(F.lit(1)).alias("_cells"))
+    seen = F.coalesce("observed_cells", F.lit(0))
+    return cells.join(observed, "sku_cluster_ID", "left").select(
+        "sku_cluster_ID", seen.alias("observed_cells"), (F.col("_cells") - seen).alias("filled_cells"),
+        (seen == 0).cast("int").alias("missing_in_test"))
+
+
 def opt_panels(lines: DataFrame, mapping: DataFrame, train=(config.TRAIN_START, config.TRAIN_END),
                test=(config.TEST_START, config.TEST_END)):
     """The panels of order lines (see ``facts_panels``)."""

@@ -220,13 +220,17 @@ def assign_unseen(test_feats: DataFrame, train_feats: DataFrame, cols: list[str]
                   train_assign: DataFrame) -> DataFrame:
     """M4 + U3: train SKUs keep their cluster (train_fit); test SKUs never
     seen in train (anti join) are scaled with TRAIN statistics and assigned
-    by the train model (test_predict_unseen)."""
+    by the train model (test_predict_unseen).  ``seen_in_train`` and
+    ``seen_in_test`` say in which split a SKU was ordered."""
     unseen = test_feats.join(train_feats.select("sku_ID"), "sku_ID", "left_anti")
     x = zscore(unseen, cols, scale_stats(train_feats, cols))
     pred = model.transform(assemble(x, cols)).select(
         "sku_ID", F.col("prediction").cast("int").alias("sku_cluster_ID"),
-        F.lit("test_predict_unseen").alias("assignment_source"))
-    seen = train_assign.select("sku_ID", "sku_cluster_ID", F.lit("train_fit").alias("assignment_source"))
+        F.lit("test_predict_unseen").alias("assignment_source"), F.lit(0).alias("seen_in_train"), F.lit(1).alias("seen_in_test"))
+    ordered = test_feats.select("sku_ID", F.lit(1).alias("_seen")).distinct()
+    seen = train_assign.join(ordered, "sku_ID", "left").select(
+        "sku_ID", "sku_cluster_ID", F.lit("train_fit").alias("assignment_source"), F.lit(1).alias("seen_in_train"),
+        F.coalesce("_seen", F.lit(0)).alias("seen_in_test"))
     return seen.unionByName(pred)
 
 

@@ -324,6 +324,20 @@ def q_opt_test_panel(spark, sf_dir):
     return _panels(spark, sf_dir)[1]
 
 
+@query("test_panel_alignment", sql("""
+with seen as (select distinct t.order_date, t.dc_des, c.sku_cluster_ID from test_lines t
+  join clusters c on t.sku_ID = c.sku_ID where t.dc_des is not null),
+n as (select sku_cluster_ID, count(*) as k from seen group by 1)
+select p.sku_cluster_ID, coalesce(max(n.k), 0) as observed_cells, count(*) - coalesce(max(n.k), 0) as filled_cells,
+  cast(coalesce(max(n.k), 0) = 0 as integer) as missing_in_test
+from opt_test p left join n on p.sku_cluster_ID = n.sku_cluster_ID group by p.sku_cluster_ID""",
+                                   "opt_test", "test_lines", "clusters"))
+def q_test_panel_alignment(spark, sf_dir):
+    """D3: what the alignment of the test panel filled, per train cluster."""
+    i = Inputs(spark, sf_dir)
+    return fc.panel_alignment(i.facts, i.test)
+
+
 @query("global_context", sql(f"select date, global_order_count, global_clicks, global_click_users, "
                              f"global_order_count_lag_1, global_clicks_lag_1, global_click_users_lag_1, "
                              f"{_r(['global_discount', 'global_units', 'global_gift_rate', 'global_discount_roll_7', 'global_units_roll_3', 'global_units_roll_7', 'global_clicks_roll_7', 'global_click_users_roll_7', 'global_gift_rate_lag_7'])} "

@@ -95,9 +95,8 @@ def q_kmeans_objective(spark, sf_dir):
     return _objective(spark, sf_dir)[2]
 
 
-@query("assign_unseen")
-def q_assign_unseen(spark, sf_dir):
-    """M4+U3: train assignments of the best k plus unseen test SKUs."""
+def _catalogue(spark, sf_dir):
+    """Inputs, chosen k, test lines and the assignment catalogue of the objective sweep."""
     t, feats, ranked, models = _objective(spark, sf_dir)
     best_k = ranked.filter("rank = 1").select("k").collect()[0]["k"]
     model = models[best_k]
@@ -107,7 +106,35 @@ def q_assign_unseen(spark, sf_dir):
                                 config.TEST_END)
     test_feats = panel.sku_demand_features(test_lines, config.TEST_START, config.TEST_END,
                                            clicks_daily_shifted(t.clicks()))
-    return md.assign_unseen(test_feats, feats, SKUFEAT_COLS, model, train_assign)
+    return t, best_k, md.assign_unseen(test_feats, feats, SKUFEAT_COLS, model, train_assign)
+
+
+@query("assign_unseen")
+def q_assign_unseen(spark, sf_dir):
+    """M4+U3: train assignments of the best k plus unseen test SKUs, with the splits each SKU is seen in."""
+    return _catalogue(spark, sf_dir)[2]
+
+
+@query("selected_model_summary")
+def q_selected_model_summary(spark, sf_dir):
+    """A57 over the learned clusters: the chosen k, the split, SKU counts, and the
+    score of the clusters that each split's SKUs fall in (observed clusters)."""
+    t, best_k, catalogue = _catalogue(spark, sf_dir)
+    catalogue = share(catalogue)
+    lines = share(clean_orders(t.window_orders(DEMAND_COLUMNS), clip_quantity=True).groupBy(
+        "order_date", "sku_ID", "dc_des").agg(F.sum("quantity").alias("quantity"), F.count(F.lit(1)).alias("lines")))
+    day = F.col("order_date")
+    split = lines.select("order_date").distinct().withColumn(  # the dates that the clusters were learned on
+        "split", F.when(day.between(F.lit(config.TRAIN_START), F.lit(config.TRAIN_END)), "train")
+        .when(day.between(F.lit(config.TEST_START), F.lit(config.TEST_END)), "test").otherwise("unused"))
+    scores = []
+    for seen, start, end in (("seen_in_train", config.TRAIN_START, config.TRAIN_END),
+                             ("seen_in_test", config.TEST_START, config.TEST_END)):
+        mapping = catalogue.filter(F.col(seen) == 1).select("sku_ID", "sku_cluster_ID")
+        grid = panel.demand_grid(lines, mapping, start, end, cluster_universe="observed")
+        scores.append(panel.cluster_score(panel.cluster_summary(panel.series_metrics(grid))))
+    summary = panel.model_summary(panel.split_meta(lines, split), panel.sku_split_counts(lines, split), *scores)
+    return summary.withColumn("chosen_k", F.lit(best_k))
 
 
 # ----------------------------------------------------------------- forecasting models

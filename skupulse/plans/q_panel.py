@@ -132,3 +132,43 @@ def q_split_meta(spark, sf_dir):
     lines = share(window_lines(spark, sf_dir).groupBy("order_date").agg(F.count(F.lit(1)).alias("lines")))   # one row per day
     split, _, _ = panel.split_by_distinct_dates(lines)
     return panel.split_meta(lines, split)
+
+
+_SCORES = ("objective", "avg_zero_rate", "avg_cv", "avg_high_sparsity_share", "avg_low_variance_share")
+
+
+def _score_sql(role: str) -> str:
+    """The score of one split in SQL, from its dense grid."""
+    return f"""
+{role}_series as (select sku_cluster_ID, dc_des, count_if(demand = 0) / count(*) as zero_rate, avg(demand) as m,
+    coalesce(stddev_samp(demand), 0.0) as sd from wh_grid_{role} group by 1, 2),
+{role}_flags as (select sku_cluster_ID, zero_rate, coalesce(sd / nullif(m, 0), 0.0) as cv, sd from {role}_series),
+{role}_cluster as (select sku_cluster_ID, avg(zero_rate) as zero_rate, avg(cv) as cv,
+    avg(cast(zero_rate >= 0.7 as integer)) as sparse, avg(cast(sd = 0.0 or cv < 0.1 as integer)) as flat
+    from {role}_flags group by 1),
+{role}_score as (select avg(sparse) + avg(flat) as objective, avg(zero_rate) as avg_zero_rate, avg(cv) as avg_cv,
+    avg(sparse) as avg_high_sparsity_share, avg(flat) as avg_low_variance_share from {role}_cluster)"""
+
+
+@query("model_summary", sql(f"""
+with skus as (select sku_ID, max(cast(order_date <= date '1998-03-24' as integer)) as tr,
+    max(cast(order_date >= date '1998-03-25' as integer)) as te from win_lines where sku_ID is not null group by 1),
+counts as (select count_if(tr = 1) as train_skus, count_if(te = 1) as test_skus,
+    count_if(te = 1 and tr = 0) as new_test_skus from skus),
+days as (select distinct order_date from win_lines),
+meta as (select min(order_date) as train_start, max(order_date) filter (order_date <= date '1998-03-24') as train_end,
+    min(order_date) filter (order_date >= date '1998-03-25') as test_start, max(order_date) as test_end,
+    count(*) - 31 as unused_days from days),
+{_score_sql("train")},
+{_score_sql("test")}
+select meta.*, counts.*, {", ".join(f"round({r}_score.{c}, 6) as {r}_{c}" for r in ("train", "test") for c in _SCORES)}
+from meta, counts, train_score, test_score""", "win_lines", "wh_grid_train", "wh_grid_test"))
+def q_model_summary(spark, sf_dir):
+    """A57 over the given mapping: split, SKU counts, train and test scores."""
+    lines = share(window_lines(spark, sf_dir).groupBy("order_date", "sku_ID", "dc_des").agg(
+        F.sum("quantity").alias("quantity"), F.count(F.lit(1)).alias("lines")))
+    split, _, _ = panel.split_by_distinct_dates(lines)
+    facts = panel.demand_facts(lines, bind(spark, sf_dir).clusters(), config.WINDOW_START, config.WINDOW_END)
+    scores = [panel.cluster_score(panel.cluster_summary(panel.series_metrics(grid(spark, sf_dir, facts))))
+              for grid in (train_grid, test_grid)]
+    return panel.model_summary(panel.split_meta(lines, split), panel.sku_split_counts(lines, split), *scores)

@@ -106,3 +106,16 @@ def test_importances_cover_all_candidates(spark):
         assert len(own) <= 15 and [r.importance for r in own] == sorted((r.importance for r in own), reverse=True)
     assert {r.importance_type for r in by["direct_warehouse__lasso_alpha_0.0100"]} == {"abs_coefficient"}
     assert [(r.feature, r.importance) for r in by["cluster_to_warehouse__blend_50_50"]] == [("lag_1", 0.5), ("rolling_mean_3", 0.5)]
+
+
+def test_catalogue_says_where_a_sku_was_seen(spark):
+    train = spark.createDataFrame([(i, float(i % 2), 1.0 * i) for i in range(1, 9)], "sku_ID long, x double, y double").coalesce(1)
+    test = spark.createDataFrame([(1, 0.0, 1.0), (20, 1.0, 8.0), (21, 0.0, 2.0)], "sku_ID long, x double, y double")
+    cols = ["x", "y"]
+    model = md.fit_kmeans(md.assemble(md.zscore(train, cols), cols), 2, 1, 1)
+    own = model.transform(md.assemble(md.zscore(train, cols), cols)).selectExpr("sku_ID", "prediction sku_cluster_ID")
+    rows = {r.sku_ID: r for r in md.assign_unseen(test, train, cols, model, own).collect()}
+    assert set(rows) == {*range(1, 9), 20, 21}
+    assert {i for i, r in rows.items() if r.seen_in_train} == set(range(1, 9))
+    assert {i for i, r in rows.items() if r.seen_in_test} == {1, 20, 21}
+    assert all(r.assignment_source == ("train_fit" if r.seen_in_train else "test_predict_unseen") for r in rows.values())

@@ -166,3 +166,24 @@ def test_time_difference_ignores_the_session_zone(spark):
             assert (r.up, r.down) == (24.0, -24.0)
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_split_counts_of_skus(spark):
+    lines = spark.createDataFrame(
+        [(D(2018, 3, 1), 1), (D(2018, 3, 1), 2), (D(2018, 3, 2), 2), (D(2018, 3, 3), 9), (D(2018, 3, 4), 2),
+         (D(2018, 3, 4), 3), (D(2018, 3, 4), 3), (D(2018, 3, 4), None)], "order_date date, sku_ID long")
+    split = spark.createDataFrame([(D(2018, 3, 1), "train"), (D(2018, 3, 2), "train"), (D(2018, 3, 3), "unused"),
+                                   (D(2018, 3, 4), "test")], "order_date date, split string")
+    assert tuple(panel.sku_split_counts(lines, split).first()) == (2, 2, 1)
+    assert tuple(panel.sku_split_counts(lines.limit(0), split).first()) == (0, 0, 0)
+
+
+def test_panel_alignment_names_missing_clusters(spark):
+    facts = spark.createDataFrame(
+        [(D(2018, 3, 1), 1, 7, 1.0), (D(2018, 3, 2), 1, 5, 2.0), (D(2018, 3, 3), 1, 5, 2.0), (D(2018, 3, 3), None, 7, 4.0)],
+        "date date, warehouse int, sku_cluster_ID int, demand double")
+    mapping = spark.createDataFrame([(1, 5), (2, 7)], "sku_ID long, sku_cluster_ID int")
+    week = (D(2018, 3, 2), D(2018, 3, 3))
+    test = fc.facts_panels(facts, mapping, (D(2018, 3, 1), D(2018, 3, 1)), week)[1]
+    got = {tuple(r) for r in fc.panel_alignment(facts, test, week).collect()}
+    assert got == {(5, 2, 0, 0), (7, 0, 2, 1)}
