@@ -124,15 +124,21 @@ def capacity_legacy(summary: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------- SKU / order composition
 
+COMPOSITION_ROWS = 250_000   # order lines of a task, about
+
+
 def order_composition(orders: DataFrame) -> DataFrame:
     """Per order distinct SKUs, 1P count ('1' as text, T21), missing
     count, 1P fraction and composition label."""
     t = F.coalesce(F.col("type").cast("string"), F.lit("MISSING"))
-    items = orders.select("order_ID", "sku_ID", t.alias("sku_type")).distinct()
-    per = items.groupBy("order_ID").agg(
-        F.countDistinct("sku_ID").alias("total_items"),
-        F.sum((F.col("sku_type") == "1").cast("long")).alias("n_1p"),
-        F.sum((F.col("sku_type") == "MISSING").cast("long")).alias("n_missing"))
+    lines = orders.select("order_ID", "sku_ID", (t == "1").cast("long").alias("one"), (t == "MISSING").cast("long").alias("missing"))
+    # nearly every line is a pair of its own: orders meet before anything is grouped
+    parts = max(lines.sparkSession.sparkContext.defaultParallelism, -(-orders.count() // COMPOSITION_ROWS))
+    # a SKU's types count once each
+    items = lines.repartition(parts, "order_ID").groupBy("order_ID", "sku_ID").agg(
+        F.max("one").alias("one"), F.max("missing").alias("missing"))
+    per = items.groupBy("order_ID").agg(F.count("sku_ID").alias("total_items"), F.sum("one").alias("n_1p"),
+                                        F.sum("missing").alias("n_missing"))
     per = per.withColumn("frac_1p", F.col("n_1p") / F.col("total_items"))
     return per.withColumn("composition", F.when(F.col("n_missing") > 0, "contains_missing_sku_info")
                           .when(F.col("frac_1p") == 1.0, "all_1p").when(F.col("frac_1p") == 0.0, "all_3p")
