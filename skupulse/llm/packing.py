@@ -55,28 +55,28 @@ SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø
 class _Words(dict):
     """Ids, as little-endian bytes, of words and other text without white space."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = WORDS):
         super().__init__()
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
 
     def __missing__(self, word: str) -> bytes:
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         ids = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) < WORDS:
+        if len(self) < self.most:
             self[word] = ids
         return ids
 
 
-def known_words(path: str) -> _Words:
+def known_words(path: str, most: int = WORDS) -> _Words:
     """The worker process's own store, which outlives a task: functions that
     travel by value get fresh globals each time, the interpreter's stay."""
     stores = vars(sys).setdefault(STORE + "words", {})
-    if path not in stores:
+    if (path, most) not in stores:
         release_stores()
         stores = vars(sys).setdefault(STORE + "words", {})
-        stores[path] = _Words(path)
-    return stores[path]
+        stores[path, most] = _Words(path, most)
+    return stores[path, most]
 
 
 def _take(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -43,14 +43,16 @@ MAX_BITS = 16            # code length; more only if there are over 2**16 ids
 BLOCK_TOKENS = 65_536    # ids per block, about
 STEP = 64                # ids per bit offset
 PART_TOKENS = 32_000_000  # ids per range of documents, at most about
+SLICE = 1 << 23          # bytes of text split together, about: the more, the fewer words are split and looked up again
+WORDS = 400_000          # words whose ids a worker remembers
 
 
 # ---- tokens
 
 def _stage(path: str, end_id: int, width: str):
     def run(batches):
-        known = known_words(path)
-        for batch in by_size(batches):
+        known = known_words(path, WORDS)
+        for batch in by_size(batches, SLICE):
             ids, n = split_ids(batch.column("text"), known, width)
             docs = batch.num_rows
             out = np.full(len(ids) + docs, end_id, width)
@@ -171,8 +173,14 @@ def count_ids(staged: DataFrame, width: str) -> dict[int, int]:
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                own = np.bincount(np.frombuffer(ids.as_buffer(), width), minlength=len(total))
+            # the cells lie in a row: counted in stretches, not a vocabulary's counters per document
+            column = batch.column("ids").cast(pa.large_binary())
+            if not len(column):
+                continue
+            bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+            ids = np.frombuffer(column.buffers()[2], np.uint8)[bounds[0]:bounds[-1]].view(width)
+            for first in range(0, len(ids), 1 << 20):
+                own = np.bincount(ids[first:first + (1 << 20)], minlength=len(total))
                 own[:len(total)] += total
                 total = own
         used = np.flatnonzero(total)
