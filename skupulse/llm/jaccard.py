@@ -126,6 +126,16 @@ class Shingler:
         return out[new]
 
 
+def _step(df: DataFrame) -> DataFrame:
+    """``cut``, after which the driver lets go of what the step has left: each of
+    its stages leaves some megabytes on the heap (a broadcast is built in blocks
+    of 4 MB), which otherwise grows with the number of stages, not with what is
+    held, until it has its full size."""
+    out = cut(df)
+    tidy(df.sparkSession)
+    return out
+
+
 def _digest(members: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(members.tobytes())
 
@@ -220,7 +230,7 @@ def _member_filter(ids: DataFrame) -> np.ndarray:
     def either(a: bytes, b: bytes) -> bytes:
         return zlib.compress((np.frombuffer(zlib.decompress(a), np.uint8) | np.frombuffer(zlib.decompress(b), np.uint8)).tobytes(), 1)
 
-    packed = cut(ids.mapInArrow(frugal(run), "bits binary")).rdd.map(lambda r: bytes(r[0]))
+    packed = _step(ids.mapInArrow(frugal(run), "bits binary")).rdd.map(lambda r: bytes(r[0]))
     packed = packed.coalesce(max(1, min(packed.getNumPartitions(), 64)))
     return np.frombuffer(zlib.decompress(packed.treeReduce(either, 2)), np.uint8)
 
@@ -290,15 +300,15 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, comp): smallest id reachable over links (a, b).  Labels flow over
     links, then jump to their label's label, until nothing changes."""
-    both = cut(links.select("a", "b").union(links.select("b", "a")).where("a is not null and b is not null").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
+    both = _step(links.select("a", "b").union(links.select("b", "a")).where("a is not null and b is not null").distinct())
+    labels = _step(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
     while True:
         told = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("comp").alias("told"))
         near = (labels.join(told, F.col("id") == F.col("a"), "left")
                 .select("id", F.col("comp").alias("was"), F.least("comp", "told").alias("comp")))
         jump = labels.select(F.col("id").alias("via"), F.col("comp").alias("far"))
-        new = cut(near.join(jump, F.col("comp") == F.col("via"), "left")
-                  .select("id", "was", F.least("comp", "far").alias("comp")))
+        new = _step(near.join(jump, F.col("comp") == F.col("via"), "left")
+                    .select("id", "was", F.least("comp", "far").alias("comp")))
         if new.where("comp <> was").isEmpty():
             return new.select("id", "comp")
         labels = new.select("id", "comp")
@@ -333,10 +343,10 @@ def jaccard_components(documents: DataFrame, n: int = 5, num: int = 8, den: int
     (den * intersection >= num * union)."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = cut(docs.mapInArrow(frugal(_describe(n)), "doc_id long, size long, digest binary"))
+    described = _step(docs.mapInArrow(frugal(_describe(n)), "doc_id long, size long, digest binary"))
     sizes = described.where("size is not null")
-    classes = cut(sizes.where("size > 0").groupBy("digest")
-                  .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("size").alias("size")))
+    classes = _step(sizes.where("size > 0").groupBy("digest")
+                    .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("size").alias("size")))
     # a smaller set has no partner but its equals: already one shingle more is too far
     small = -(-num // (den - num)) if den > num else None
     counters = spark.sparkContext.broadcast(_merge_tables(described))
@@ -350,9 +360,8 @@ def jaccard_components(documents: DataFrame, n: int = 5, num: int = 8, den: int
     points = (dealt.join(reps, (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("rep_digest")))
               .groupBy("id", "digest").agg(F.first("size").alias("size"), F.first("cells").alias("cells"),
                                            F.first("pivots").alias("pivots")))
-    points = cut(points.select("id", "size", "cells", "pivots"))
+    points = _step(points.select("id", "size", "cells", "pivots"))
     counters.destroy()
-    tidy(spark)
     rows = points.select("id", F.col("size").cast("int").alias("size"), F.explode("pivots").alias("pivot"))
     regions = (rows.groupBy("pivot").agg(F.count("*").alias("n"), F.min("id").alias("hub"), F.max("id").alias("last"),
                                          F.bit_xor(F.xxhash64("id")).alias("who"),
@@ -360,11 +369,10 @@ def jaccard_components(documents: DataFrame, n: int = 5, num: int = 8, den: int
                # the size window of a region of two needs no more than this
                .where((F.col("n") > 2) | ((F.col("n") == 2) & (den * F.col("low") >= num * F.col("high")))))
     # regions with the same members are one region
-    regions = cut(regions.groupBy("n", "hub", "last", "who").agg(F.min("pivot").alias("region")))
+    regions = _step(regions.groupBy("n", "hub", "last", "who").agg(F.min("pivot").alias("region")))
     more = regions.where("n > 2").select("region", "n", "hub")
     side = F.broadcast(more) if more.count() <= BROADCAST_REGIONS else more
-    members = cut(rows.join(side, F.col("pivot") == F.col("region")).select("region", "n", "hub", "id", "size"))
-    tidy(spark)
+    members = _step(rows.join(side, F.col("pivot") == F.col("region")).select("region", "n", "hub", "id", "size"))
     twos = regions.where("n = 2").select(F.col("hub").alias("a"), F.col("last").alias("b"))
     links = _links(docs, n, points.select("id", "size", "cells"), twos, members, classes, num, den)
     named = (classes.join(components(links), F.col("rep") == F.col("id"), "left")
@@ -388,19 +396,19 @@ def _links(docs, n, facts, twos, members, classes, num, den) -> DataFrame:
     hub = left.where("id = hub").select(F.col("region").alias("at"), F.col("id").alias("b"), F.col("size").alias("size_b"))
     pairs = (left.join(hub, (F.col("region") == F.col("at")) & (F.col("id") != F.col("b")) & fits)
              .select(F.col("id").alias("a"), "b"))
-    pairs = cut(_within(twos.union(within).union(pairs), facts, num, den))
+    pairs = _step(_within(twos.union(within).union(pairs), facts, num, den))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The links among pairs, with the sets of their documents only."""
         if pairs.isEmpty():
             return spark.createDataFrame([], "a long, b long")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        wanted = spark.sparkContext.broadcast(_member_filter(ids))
-        reps = classes.select(F.col("rep").alias("id"), F.col("digest").alias("rep_digest")).join(ids, "id")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+        wanted = spark.sparkContext.broadcast(_member_filter(ids))   # needs no distinct ids, so no shuffle
+        reps = classes.select(F.col("rep").alias("id"), F.col("digest").alias("rep_digest")).join(ids.distinct(), "id")
         sets = (docs.where("doc_id is not null").mapInArrow(frugal(_sets(n, wanted)), "doc_id long, digest binary, members array<long>")
                 .join(reps, (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("rep_digest")))
                 .groupBy("id", "digest").agg(F.first("members").alias("members")).select("id", "members"))
-        found = cut(_linked(pairs, cut(sets), num, den))
+        found = _step(_linked(pairs, _step(sets), num, den))
         wanted.destroy()
         del sets
         tidy(spark)
@@ -414,7 +422,7 @@ def _links(docs, n, facts, twos, members, classes, num, den) -> DataFrame:
               .select("region", "id", F.coalesce("comp", "id").alias("comp")))
         # only regions that still hold several components go on
         open_ = (at.groupBy("region").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high"))
-        left = cut(at.join(open_.select("region", "low"), "region"))
+        left = _step(at.join(open_.select("region", "low"), "region"))
         if left.isEmpty():
             return links
         if k + 1 < HUB_ROUNDS:
@@ -424,7 +432,7 @@ def _links(docs, n, facts, twos, members, classes, num, den) -> DataFrame:
                     .select("region", F.explode(F.array_distinct(F.array(*(f"h{j}" for j in range(HUBS))))).alias("h"))
                     .select("region", F.col("h.id").alias("hub"), F.col("h.comp").alias("hub_comp")))
             pairs = left.join(hubs, "region").where("comp <> hub_comp").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-            links = links.union(confirmed(cut(_within(pairs, facts, num, den))))
+            links = links.union(confirmed(_step(_within(pairs, facts, num, den))))
     counts = left.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     cells = left.join(facts.withColumnRenamed("id", "fid"), F.col("id") == F.col("fid")).join(counts, "region")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -435,7 +443,7 @@ def _links(docs, n, facts, twos, members, classes, num, den) -> DataFrame:
               .select("region", "blocks", "one", "two", "block", "id", "comp", "size", "cells"))
     pairs = spread.groupBy("region", "blocks", "one", "two").applyInArrow(_block_pairs(num, den), "a long, b long")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return links.union(confirmed(cut(pairs)))
+    return links.union(confirmed(_step(pairs)))
 
 
 def keep_one(documents: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
