@@ -50,6 +50,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 # split like this; any other chunk goes to the tokenizer as it is.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
 
 
 class _Words(dict):
@@ -58,10 +59,19 @@ class _Words(dict):
     def __init__(self, path: str, most: int = WORDS):
         super().__init__()
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model = self.tokenizer.model
+        # how the tokenizer hands the bytes of a letter to its model
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {k: level.pre_tokenize_str(chr(k))[0][0] for k in range(256) if LETTERS.fullmatch(chr(k))}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        if LETTERS.fullmatch(word):
+            # its own normal form and one part: only the model has work to do
+            ids = [t.id for t in self.model.tokenize(word.translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         ids = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) < self.most:
             self[word] = ids
