@@ -30,6 +30,17 @@ def test_starts_are_sparks_own(spark, x):
         assert got.shape == np.shape(own) and np.allclose(got, own, atol=1e-12)
 
 
+def test_candidates_a_rounding_error_apart_keep_their_own_rows(spark):
+    x = blobs(300)
+    x[:3] *= 40   # far off, so both of a pair are drawn
+    x = np.concatenate([x, np.nextafter(x[:3], np.inf)])
+    vec = md.share(vectors(spark, x, 2))
+    wanted = [(k, seed) for k in (6, 12) for seed in range(42, 48)]
+    for (k, seed), got in zip(wanted, starts.parallel_starts(vec, wanted), strict=True):
+        own = clustering.KMeans(k=k, seed=seed, maxIter=0, solver="row", featuresCol="features").fit(vec).clusterCenters()
+        assert got.shape == np.shape(own) and np.allclose(got, own, atol=1e-12)
+
+
 def plain_steps(x, centers, steps, tol):
     for done in range(1, steps + 1):
         own = ((x[:, None] - centers) ** 2).sum(axis=2).argmin(axis=1)
